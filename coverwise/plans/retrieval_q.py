@@ -1 +1,228 @@
-"""(filled in below)"""
+"""Retrieval queries (R1-R8, W2, W3, J1) over the active gold corpus."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import effective_stop_words, retrieval_tokens, with_bigrams
+from ..operators import retrieval as rt
+from ..sources import adapters as ad
+from ..sources import tables
+from .catalog import query
+from .medallion_q import corpus
+from .sqlkit import cte, statement
+
+TOP_K = 3
+HYBRID_DEPTH = 10
+HYBRID_K = 5
+VECTOR_K = 5
+
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in effective_stop_words()) + "]"
+_TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
+
+
+def sql_terms(expr: str) -> str:
+    """DuckDB: unigrams + bigrams of the stop-filtered retrieval tokens of ``expr``."""
+    toks = (f"list_filter(regexp_extract_all(lower({expr}), '{_TOKEN_RE}'), "
+            f"lambda x: NOT list_contains({_STOP_SQL}, x))")
+    return toks
+
+
+cte("q_src", "SELECT item_id AS q_id, text AS question FROM benchmark")
+cte("doc_toks", f"""
+SELECT id, pos, {sql_terms("title || '. ' || text")} AS toks FROM search_corpus""", "search_corpus")
+cte("doc_tf", """
+SELECT id, pos, term, count(*) AS tf
+FROM (SELECT id, pos, unnest(toks || list_transform(range(1, len(toks)),
+             lambda i: toks[i] || ' ' || toks[i + 1])) AS term FROM doc_toks)
+GROUP BY id, pos, term""", "doc_toks")
+cte("n_docs", "SELECT CAST(count(*) AS DOUBLE) AS n FROM search_corpus", "search_corpus")
+cte("vocab", """
+SELECT term, count(*) AS df, ln((1 + any_value(n)) / (count(*) + 1)) + 1 AS idf
+FROM doc_tf, n_docs GROUP BY term""", "doc_tf", "n_docs")
+cte("postings", """
+SELECT id, pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight
+FROM (SELECT d.id, d.pos, d.term, (ln(d.tf) + 1) * v.idf AS w FROM doc_tf d JOIN vocab v USING (term))""",
+    "doc_tf", "vocab")
+
+
+def sql_topk(prefix: str, questions_cte: str, k: int, pad: bool,
+             corpus_cte: str = "search_corpus", postings_cte: str = "postings") -> str:
+    """Register CTEs ``{prefix}_qvec`` / ``{prefix}_topk`` and return the top-k CTE name.
+
+    ``questions_cte`` must expose (q_id, question).
+    """
+    cte(f"{prefix}_qtf", f"""
+SELECT q_id, term, count(*) AS tf
+FROM (SELECT q_id, unnest(toks || list_transform(range(1, len(toks)),
+             lambda i: toks[i] || ' ' || toks[i + 1])) AS term
+      FROM (SELECT q_id, {sql_terms("question")} AS toks FROM {questions_cte}))
+GROUP BY q_id, term""", questions_cte)
+    cte(f"{prefix}_qvec", f"""
+SELECT q_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY q_id)) AS weight
+FROM (SELECT q.q_id, q.term, (ln(q.tf) + 1) * v.idf AS w FROM {prefix}_qtf q JOIN vocab v USING (term))""",
+        f"{prefix}_qtf", "vocab")
+    pad_sql = (f"""
+      UNION ALL
+      SELECT q.q_id, p.id, p.pos, 0.0 AS c
+      FROM {questions_cte} q, (SELECT id, pos FROM {corpus_cte} ORDER BY pos LIMIT {k}) p"""
+               if pad else "")
+    cte(f"{prefix}_scores", f"""
+SELECT q_id, id, pos, sum(c) AS score_raw
+FROM (SELECT q.q_id, p.id, p.pos, q.weight * p.weight AS c
+      FROM {prefix}_qvec q JOIN {postings_cte} p USING (term){pad_sql})
+GROUP BY q_id, id, pos""", f"{prefix}_qvec", postings_cte, corpus_cte, questions_cte)
+    cte(f"{prefix}_topk", f"""
+SELECT q_id, rank, id, pos, round(score_raw, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score_raw, 9) DESC, pos) AS rank
+      FROM {prefix}_scores)
+WHERE rank <= {k}""", f"{prefix}_scores")
+    return f"{prefix}_topk"
+
+
+# -- Spark side helpers --------------------------------------------------------------------
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.questions(tables.benchmark(spark, sf_dir))
+
+
+def index(spark: SparkSession, sf_dir: str) -> rt.TfidfIndex:
+    return rt.build_tfidf_index(ad.spread(corpus(spark, sf_dir)))
+
+
+# -- queries ---------------------------------------------------------------------------------
+
+@query("token_stats", statement(f"""
+SELECT id, len(toks) AS n_tokens,
+       len(list_distinct(toks || list_transform(range(1, len(toks)),
+           lambda i: toks[i] || ' ' || toks[i + 1]))) AS n_distinct_terms
+FROM doc_toks""", "doc_toks"), ops=("R1", "R2"))
+def q_token_stats(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    toks = retrieval_tokens(rt.doc_text(F.col("title"), F.col("text")))
+    return c.select("id", toks.alias("toks")).select(
+        "id", F.size("toks").alias("n_tokens"),
+        F.size(F.array_distinct(with_bigrams(F.col("toks")))).alias("n_distinct_terms"))
+
+
+@query("tfidf_vocab", statement("SELECT term, df, round(idf, 6) AS idf FROM vocab", "vocab"),
+       ops=("R3",))
+def q_tfidf_vocab(spark, sf_dir):
+    v = index(spark, sf_dir).vocab
+    return v.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("tfidf_doc_norms", statement("""
+SELECT id, count(*) AS n_terms, round(max(weight), 6) AS max_weight,
+       round(sum(weight * weight), 6) AS sum_sq
+FROM postings GROUP BY id""", "postings"), ops=("R3",))
+def q_tfidf_doc_norms(spark, sf_dir):
+    p = index(spark, sf_dir).postings
+    return p.groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"),
+                               F.round(F.max("weight"), 6).alias("max_weight"),
+                               F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("sum_sq"))
+
+
+@query("tfidf_topk", statement(
+    f"SELECT q_id, rank, id, score FROM {sql_topk('kw', 'q_src', TOP_K, False)}",
+    "kw_topk"), ops=("R4", "R5", "J1", "W2"))
+def q_tfidf_topk(spark, sf_dir):
+    top = rt.tfidf_topk(questions(spark, sf_dir), index(spark, sf_dir), TOP_K, pad=False)
+    return top.select("q_id", "rank", "id", "score")
+
+
+@query("tfidf_topk_padded", statement(
+    f"SELECT q_id, rank, id, score FROM {sql_topk('kwp', 'q_src', TOP_K, True)}",
+    "kwp_topk"), ops=("R5", "R6"))
+def q_tfidf_topk_padded(spark, sf_dir):
+    top = rt.tfidf_topk(questions(spark, sf_dir), index(spark, sf_dir), TOP_K, pad=True)
+    return top.select("q_id", "rank", "id", "score")
+
+
+@query("rank_derived_score", statement("""
+SELECT q_id, rank, id,
+       round((greatest(count(*) OVER (PARTITION BY q_id), 1) - (rank - 1))
+             / greatest(count(*) OVER (PARTITION BY q_id), 1), 6) AS rank_score
+FROM kwp_topk""", "kwp_topk"), ops=("W3",))
+def q_rank_derived(spark, sf_dir):
+    top = rt.tfidf_topk(questions(spark, sf_dir), index(spark, sf_dir), TOP_K, pad=True)
+    return rt.rank_derived_score(top).select("q_id", "rank", "id", "rank_score")
+
+
+cte("corpus_en", "SELECT * FROM search_corpus WHERE category = 'en'", "search_corpus")
+cte("postings_en", "SELECT p.* FROM postings p SEMI JOIN corpus_en c ON p.id = c.id",
+    "postings", "corpus_en")
+
+
+@query("filtered_topk", statement(
+    f"SELECT q_id, rank, id, score FROM "
+    f"{sql_topk('kwf', 'q_src', TOP_K, True, 'corpus_en', 'postings_en')}", "kwf_topk"),
+    ops=("R8",))
+def q_filtered_topk(spark, sf_dir):
+    idx = index(spark, sf_dir)
+    allowed = idx.docs.where(F.col("category") == "en")
+    top = rt.tfidf_topk(questions(spark, sf_dir), idx, TOP_K, pad=True, allowed_docs=allowed)
+    return top.select("q_id", "rank", "id", "score")
+
+
+# -- vectors and hybrid --------------------------------------------------------------------
+
+cte("q_vecs", """
+SELECT b.item_id AS q_id, CAST(e.embedding AS DOUBLE[]) AS vec
+FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""")
+cte("doc_vecs", """
+SELECT e.vec_id AS id, e.vec_id AS pos, CAST(e.embedding AS DOUBLE[]) AS vec
+FROM embeddings e SEMI JOIN search_corpus c ON c.pos = e.vec_id""", "search_corpus")
+
+
+def sql_vector_topk(name: str, k: int) -> str:
+    cte(name, f"""
+SELECT q_id, rank, id, pos, round(s, 6) AS score
+FROM (SELECT q.q_id, d.id, d.pos, list_cosine_similarity(q.vec, d.vec) AS s,
+             row_number() OVER (PARTITION BY q.q_id
+                                ORDER BY round(list_cosine_similarity(q.vec, d.vec), 9) DESC, d.pos) AS rank
+      FROM q_vecs q, doc_vecs d)
+WHERE rank <= {k}""", "q_vecs", "doc_vecs")
+    return name
+
+
+def _vectors(spark, sf_dir):
+    emb = tables.embeddings(spark, sf_dir)
+    bench = tables.benchmark(spark, sf_dir)
+    qv = bench.join(emb, emb["vec_id"] == bench["item_id"]).select(
+        F.col("item_id").alias("q_id"), F.col("embedding").alias("vec"))
+    active = corpus(spark, sf_dir).select("pos")
+    dv = emb.join(active, emb["vec_id"] == active["pos"], "left_semi").select(
+        F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    return qv, dv
+
+
+@query("vector_topk", statement(
+    f"SELECT q_id, rank, id, score FROM {sql_vector_topk('vec_topk', VECTOR_K)}", "vec_topk"),
+    ops=("R7",))
+def q_vector_topk(spark, sf_dir):
+    qv, dv = _vectors(spark, sf_dir)
+    return rt.vector_topk(qv, dv, VECTOR_K).select("q_id", "rank", "id", "score")
+
+
+@query("hybrid_topk", statement(f"""
+SELECT q_id, rank, 'doc-' || CAST(pos AS VARCHAR) AS id, fused,
+       round((greatest(count(*) OVER (PARTITION BY q_id), 1) - (rank - 1))
+             / greatest(count(*) OVER (PARTITION BY q_id), 1), 6) AS score
+FROM (SELECT q_id, pos, round(f, 6) AS fused,
+             row_number() OVER (PARTITION BY q_id ORDER BY round(f, 9) DESC, pos) AS rank
+      FROM (SELECT q_id, pos, sum(1.0 / (60 + rank)) AS f
+            FROM (SELECT q_id, pos, rank FROM {sql_topk('kwh', 'q_src', HYBRID_DEPTH, False)}
+                  UNION ALL
+                  SELECT q_id, pos, rank FROM {sql_vector_topk('vec_h', HYBRID_DEPTH)})
+            GROUP BY q_id, pos))
+WHERE rank <= {HYBRID_K}""", "kwh_topk", "vec_h"), ops=("R7", "R10"))
+def q_hybrid_topk(spark, sf_dir):
+    qs = questions(spark, sf_dir)
+    kw = rt.tfidf_topk(qs, index(spark, sf_dir), HYBRID_DEPTH, pad=False)
+    qv, dv = _vectors(spark, sf_dir)
+    vec = rt.vector_topk(qv, dv, HYBRID_DEPTH)
+    fused = rt.reciprocal_rank_fusion([kw, vec], HYBRID_K)
+    scored = rt.rank_derived_score(fused).withColumnRenamed("rank_score", "score")
+    return scored.select("q_id", "rank", F.concat(F.lit("doc-"), F.col("pos").cast("string")).alias("id"),
+                         "fused", "score")
