@@ -126,7 +126,8 @@ def rewrite_count(ok0: Column, ok1: Column, max_rewrites: Column | int) -> Colum
 # -- passes -------------------------------------------------------------------------------
 
 def gather_pass(top: DataFrame, docs_text: DataFrame, questions: DataFrame,
-                q_col: str = "q_id", question_col: str = "question") -> DataFrame:
+                q_col: str = "q_id", question_col: str = "question",
+                docs_extra: list[str] | None = None) -> DataFrame:
     """One row per question: its ranked documents (rank <= k) with title/text.
 
     Columns: q_id, question, docs array<struct<rank,id,score,title,text>>,
@@ -136,7 +137,7 @@ def gather_pass(top: DataFrame, docs_text: DataFrame, questions: DataFrame,
     """
     withtext = top.join(docs_text.select("id", "title", "text"), "id")
     per_q = withtext.groupBy("q_id").agg(F.sort_array(F.collect_list(
-        F.struct("rank", "id", "score", "title", "text"))).alias("docs"))
+        F.struct("rank", "id", "score", "title", "text", *(docs_extra or [])))).alias("docs"))
     qs = questions.select(F.col(q_col).alias("q_id"), F.col(question_col).alias("question"))
     j = qs.join(per_q, "q_id", "left")
     first = F.element_at("docs", 1)
