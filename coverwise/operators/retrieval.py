@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import retrieval_terms
+from ..functions.text import retrieval_tokens, with_bigrams
 
 RANK_DIGITS = 9
 OUT_DIGITS = 6
@@ -44,10 +44,18 @@ OUT_DIGITS = 6
 @dataclass
 class TfidfIndex:
     docs: DataFrame        # (id, pos, title, category) — the indexed corpus
-    postings: DataFrame    # (id, pos, term, weight)
+    postings: DataFrame    # (pos, term, weight)
     vocab: DataFrame       # (term, df, idf)
     stop_words: list[str] | None = None
 
+    def checkpoint(self) -> "TfidfIndex":
+        """Materialise postings and vocabulary once in the shared checkpoint folder.
+
+        Use when one job ranks several question sets (e.g. both QA passes).
+        """
+        return TfidfIndex(self.docs, self.postings.checkpoint(eager=True),
+                          self.vocab.checkpoint(eager=True), self.stop_words)
+
     def persist(self, path: str) -> "TfidfIndex":
         """Write postings and vocab once (postings bucketed by term) and read them back.
 
@@ -71,7 +79,10 @@ def doc_text(title: Column, text: Column) -> Column:
 def term_frequencies(df: DataFrame, key_cols: list[str], text: Column,
                      stop_words: list[str] | None = None) -> DataFrame:
     """(keys..., term, tf): explode terms, count with map-side partial aggregation."""
-    exploded = df.select(*key_cols, F.explode(retrieval_terms(text, stop_words)).alias("term"))
+    # tokens are projected once and referenced by column: building bigrams from
+    # the raw expression would make Catalyst inline the tokenizer several times
+    toks = df.select(*key_cols, retrieval_tokens(text, stop_words).alias("_toks"))
+    exploded = toks.select(*key_cols, F.explode(with_bigrams(F.col("_toks"))).alias("term"))
     return exploded.groupBy(*key_cols, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -84,21 +95,31 @@ def _l2_normalised(df: DataFrame, key: str, raw: str = "w_raw") -> DataFrame:
 def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos",
                       title_col: str = "title", text_col: str = "text",
                       category_col: str | None = "category",
-                      stop_words: list[str] | None = None) -> TfidfIndex:
-    """Fit the TF-IDF index over a corpus DataFrame."""
+                      stop_words: list[str] | None = None, checkpoint: bool = True) -> TfidfIndex:
+    """Fit the TF-IDF index over a corpus DataFrame.
+
+    ``pos`` (unique, numeric) is the internal document key. When the corpus
+    arrives hash-partitioned by ``pos`` the per-document term counts need no
+    shuffle at all (all tokens of a document are in one task). With
+    ``checkpoint`` the term frequencies are written once to the shared
+    checkpoint folder, so the corpus is tokenised exactly once although both
+    the vocabulary and the postings are derived from it.
+    """
     cols = [F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), F.col(title_col).alias("title")]
     cols.append(F.col(category_col).alias("category") if category_col else F.lit(None).alias("category"))
     docs = corpus.select(*cols)
-    n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_frequencies(corpus.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"),
+    n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
+    tf = term_frequencies(corpus.select(F.col(pos_col).alias("pos"),
                                         doc_text(F.col(title_col), F.col(text_col)).alias("_t")),
-                          ["id", "pos"], F.col("_t"), stop_words)
-    vocab = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                          ["pos"], F.col("_t"), stop_words)
+    if checkpoint:
+        tf = tf.checkpoint(eager=True)
+    vocab = (tf.groupBy("term").agg(F.count("tf").alias("df"))
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1))
     weighted = (tf.join(vocab.select("term", "idf"), "term")
-                .select("id", "pos", "term",
+                .select("pos", "term",
                         ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w_raw")))
-    postings = _l2_normalised(weighted, "id")
+    postings = _l2_normalised(weighted, "pos")
     return TfidfIndex(docs, postings, vocab, stop_words)
 
 
@@ -134,24 +155,23 @@ def tfidf_topk(questions: DataFrame, index: TfidfIndex, k: int, pad: bool = True
     Returns (q_id, rank, id, pos, score). With ``pad`` every question gets
     min(k, N) rows. ``allowed_docs`` (a DataFrame with an ``id`` column)
     restricts the candidates *before* ranking; idf stays that of the full index.
+    Document ids are joined back only to the k winners per question.
     """
     qv = query_vectors(questions, index, q_col, text_col)
     postings = index.postings
     docs = index.docs
     if allowed_docs is not None:
-        keep = allowed_docs.select("id").distinct()
-        postings = postings.join(keep, "id", "left_semi")
-        docs = docs.join(keep, "id", "left_semi")
+        docs = docs.join(allowed_docs.select("id").distinct(), "id", "left_semi")
+        postings = postings.join(docs.select("pos"), "pos", "left_semi")
     contrib = qv.join(postings.withColumnRenamed("weight", "dw"), "term").select(
-        "q_id", "id", "pos", (F.col("weight") * F.col("dw")).alias("c"))
+        "q_id", "pos", (F.col("weight") * F.col("dw")).alias("c"))
     if pad:
         pads = questions.select(F.col(q_col).alias("q_id"),
                                 F.explode(first_k_docs(docs, k)).alias("p"))
-        contrib = contrib.unionByName(pads.select("q_id", F.col("p.id").alias("id"),
-                                                  F.col("p.pos").alias("pos"),
+        contrib = contrib.unionByName(pads.select("q_id", F.col("p.pos").alias("pos"),
                                                   F.lit(0.0).alias("c")))
-    scored = contrib.groupBy("q_id", "id", "pos").agg(F.sum("c").alias("score_raw"))
-    top = rank_top_k(scored, k)
+    scored = contrib.groupBy("q_id", "pos").agg(F.sum("c").alias("score_raw"))
+    top = rank_top_k(scored, k).join(docs.select("pos", "id"), "pos")
     return top.select("q_id", "rank", "id", "pos",
                       F.round("score_raw", OUT_DIGITS).alias("score"))
 

@@ -11,7 +11,7 @@ from ..operators import qa
 from ..operators import retrieval as rt
 from ..sources import tables
 from .catalog import query
-from .retrieval_q import index, questions, sql_topk
+from .retrieval_q import Ctx, sql_topk
 from .qa_q import sql_rewrite
 from .sqlkit import cte, statement
 
@@ -140,8 +140,9 @@ cte("ps_cur", f"SELECT score AS v FROM {_ps1}", _ps1)
     "SELECT psi, severity, n_reference, n_current FROM psi_rs",
     sql_psi("psi_rs", "ps_ref", "ps_cur", [], [])), ops=("M4",))
 def q_psi_scores(spark, sf_dir):
-    qs = questions(spark, sf_dir)
-    idx = index(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir)
+    qs = ctx.questions
+    idx = ctx.index_reused
     s0 = rt.tfidf_topk(qs, idx, 1, pad=True).select(F.col("score").alias("v"))
     q1 = qs.select("q_id", qa.rewrite(F.col("question")).alias("question"))
     s1 = rt.tfidf_topk(q1, idx, 1, pad=True).select(F.col("score").alias("v"))

@@ -9,9 +9,8 @@ from ..operators import registry as reg
 from ..sources import sinks, tables
 from ..session import scratch_path
 from .catalog import query
-from .medallion_q import corpus
 from .qa_q import _MARK, DEFAULT, answers, sql_overlap, sql_rewrite, sql_strip, sql_words
-from .retrieval_q import index, questions, sql_topk
+from .retrieval_q import Ctx, sql_topk
 from .sqlkit import cte, statement
 
 GRID = grid_configs()
@@ -141,33 +140,35 @@ FROM gate""", "gate")
 
 # -- Spark side ---------------------------------------------------------------------
 
-def eval_inputs(spark, sf_dir):
-    qs = questions(spark, sf_dir)
-    docs = tables.documents(spark, sf_dir).select(
+def eval_inputs(ctx: Ctx):
+    if "_eval_inputs" in ctx.__dict__:
+        return ctx.__dict__["_eval_inputs"]
+    qs = ctx.questions
+    docs = tables.documents(ctx.spark, ctx.sf_dir).select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
     pairs = ev.containment_pairs(qs, docs)
     must = qs.select("q_id", ev.first_word(F.col("question")).alias("must_include"))
+    ctx.__dict__["_eval_inputs"] = (qs, pairs, must)
     return qs, pairs, must
 
 
-def default_metrics(spark, sf_dir):
-    _, pairs, must = eval_inputs(spark, sf_dir)
-    return ev.evaluate_answers(answers(spark, sf_dir, DEFAULT), pairs, must)
+def default_metrics(ctx: Ctx):
+    _, pairs, must = eval_inputs(ctx)
+    return ev.evaluate_answers(answers(ctx, DEFAULT), pairs, must)
 
 
-def sweep_results(spark, sf_dir):
-    qs, pairs, must = eval_inputs(spark, sf_dir)
-    c = corpus(spark, sf_dir)
-    return ev.sweep(qs, index(spark, sf_dir), c.select("id", "title", "text"), pairs, must,
-                    configs_frame(spark, GRID))
+def sweep_results(ctx: Ctx):
+    qs, pairs, must = eval_inputs(ctx)
+    return ev.sweep(qs, ctx.index_reused, ctx.docs_text, pairs, must,
+                    configs_frame(ctx.spark, GRID))
 
 
-def gate_results(spark, sf_dir):
-    return ev.promotion_gate(sweep_results(spark, sf_dir), default_metrics(spark, sf_dir), key=[])
+def gate_results(ctx: Ctx):
+    return ev.promotion_gate(sweep_results(ctx), default_metrics(ctx), key=[])
 
 
-def registry_frames(spark, sf_dir):
-    g = gate_results(spark, sf_dir).withColumn("model_key", F.lit("qa"))
+def registry_frames(ctx: Ctx):
+    g = gate_results(ctx).withColumn("model_key", F.lit("qa")).checkpoint(eager=True)
     regs = reg.assign_versions(g.select("model_key", "config_id",
                                         F.col("config_id").alias("event_seq"),
                                         F.col("config_id").alias("created_at")))
@@ -179,7 +180,7 @@ def registry_frames(spark, sf_dir):
 
 @query("eval_relevance_pairs", statement("SELECT q_id, id FROM ev_pairs", "ev_pairs"), ops=("J3",))
 def q_eval_pairs(spark, sf_dir):
-    _, pairs, _ = eval_inputs(spark, sf_dir)
+    _, pairs, _ = eval_inputs(Ctx(spark, sf_dir))
     return pairs
 
 
@@ -188,7 +189,7 @@ SELECT m.q_id, count(p.id) AS n_relevant, m.w AS must_include
 FROM ev_must m LEFT JOIN ev_pairs p USING (q_id) GROUP BY m.q_id, m.w""", "ev_must", "ev_pairs"),
     ops=("S2",))
 def q_eval_set(spark, sf_dir):
-    qs, pairs, must = eval_inputs(spark, sf_dir)
+    qs, pairs, must = eval_inputs(Ctx(spark, sf_dir))
     n = pairs.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     return must.join(n, "q_id", "left").select(
         "q_id", F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"),
@@ -197,48 +198,48 @@ def q_eval_set(spark, sf_dir):
 
 @query("eval_recall", statement("SELECT recall_at_k, n FROM ev_default", "ev_default"), ops=("E1", "J3"))
 def q_eval_recall(spark, sf_dir):
-    return default_metrics(spark, sf_dir).select("recall_at_k", "n")
+    return default_metrics(Ctx(spark, sf_dir)).select("recall_at_k", "n")
 
 
 @query("eval_accuracy", statement("SELECT answer_accuracy, n FROM ev_default", "ev_default"),
        ops=("E2",))
 def q_eval_accuracy(spark, sf_dir):
-    return default_metrics(spark, sf_dir).select("answer_accuracy", "n")
+    return default_metrics(Ctx(spark, sf_dir)).select("answer_accuracy", "n")
 
 
 @query("eval_metrics", statement("SELECT * FROM ev_default", "ev_default"), ops=("E3", "A5"))
 def q_eval_metrics(spark, sf_dir):
-    return default_metrics(spark, sf_dir)
+    return default_metrics(Ctx(spark, sf_dir))
 
 
 @query("config_sweep", statement("SELECT * FROM sweep", "sweep"), ops=("E5", "J6"))
 def q_config_sweep(spark, sf_dir):
-    return sweep_results(spark, sf_dir)
+    return sweep_results(Ctx(spark, sf_dir))
 
 
 @query("best_trial", statement("""
 SELECT * FROM sweep ORDER BY composite DESC, config_id LIMIT 1""", "sweep"), ops=("E6",))
 def q_best_trial(spark, sf_dir):
-    return ev.best_trial(sweep_results(spark, sf_dir))
+    return ev.best_trial(sweep_results(Ctx(spark, sf_dir)))
 
 
 @query("promotion_gate", statement(
     "SELECT config_id, promote, reason FROM gate", "gate"), ops=("E4", "J4"))
 def q_promotion_gate(spark, sf_dir):
-    return gate_results(spark, sf_dir).select("config_id", "promote", "reason")
+    return gate_results(Ctx(spark, sf_dir)).select("config_id", "promote", "reason")
 
 
 @query("registry_register", statement(
     "SELECT model_key, config_id, version FROM reg_state", "reg_state"), ops=("L1",))
 def q_registry_register(spark, sf_dir):
-    regs, _ = registry_frames(spark, sf_dir)
+    regs, _ = registry_frames(Ctx(spark, sf_dir))
     return regs.select("model_key", "config_id", "version")
 
 
 @query("registry_promote", statement(
     "SELECT model_key, config_id, version, stage FROM reg_state", "reg_state"), ops=("L2", "S10"))
 def q_registry_promote(spark, sf_dir):
-    regs, promos = registry_frames(spark, sf_dir)
+    regs, promos = registry_frames(Ctx(spark, sf_dir))
     return reg.registry_state(regs, promos).select("model_key", "config_id", "version", "stage")
 
 
@@ -246,7 +247,7 @@ def q_registry_promote(spark, sf_dir):
     "SELECT model_key, max(version) AS version FROM reg_state WHERE stage = 'Production' "
     "GROUP BY model_key", "reg_state"), ops=("L3",))
 def q_registry_production(spark, sf_dir):
-    regs, promos = registry_frames(spark, sf_dir)
+    regs, promos = registry_frames(Ctx(spark, sf_dir))
     return reg.production(reg.registry_state(regs, promos))
 
 
@@ -254,7 +255,7 @@ def q_registry_production(spark, sf_dir):
 SELECT model_key, max(version) AS version, arg_max(stage, version) AS stage
 FROM reg_state GROUP BY model_key""", "reg_state"), ops=("L4",))
 def q_registry_latest(spark, sf_dir):
-    regs, promos = registry_frames(spark, sf_dir)
+    regs, promos = registry_frames(Ctx(spark, sf_dir))
     return reg.latest(reg.registry_state(regs, promos))
 
 
@@ -262,6 +263,6 @@ def q_registry_latest(spark, sf_dir):
 def q_run_log(spark, sf_dir):
     import uuid
     path = scratch_path(spark, "runs", uuid.uuid4().hex)
-    sinks.append_runs(sweep_results(spark, sf_dir), path)
+    sinks.append_runs(sweep_results(Ctx(spark, sf_dir)), path)
     return sinks.read_runs(spark, path).select(
         "run_name", F.to_json("params").alias("params"), F.to_json("metrics").alias("metrics"))

@@ -8,8 +8,7 @@ from ..functions.text import keyword_overlap
 from ..operators import qa
 from ..operators import retrieval as rt
 from .catalog import query
-from .medallion_q import corpus
-from .retrieval_q import index, questions, sql_topk
+from .retrieval_q import Ctx, sql_topk
 from .sqlkit import cte, statement
 
 DEFAULT = QaConfig()
@@ -124,10 +123,8 @@ FROM (SELECT *, length({sql_strip('answer')}) > 0
     return f"{p}_qa"
 
 
-def answers(spark, sf_dir, cfg: QaConfig):
-    c = corpus(spark, sf_dir)
-    return qa.answer_questions(questions(spark, sf_dir), index(spark, sf_dir),
-                               c.select("id", "title", "text"), cfg)
+def answers(ctx: Ctx, cfg: QaConfig):
+    return qa.answer_questions(ctx.questions, ctx.index_reused, ctx.docs_text, cfg)
 
 
 QA_COLS = ["q_id", "final_query", "rewrite_count", "n_retrieves", "retrieval_ok", "top_id",
@@ -138,9 +135,10 @@ QA_COLS = ["q_id", "final_query", "rewrite_count", "n_retrieves", "retrieval_ok"
     "SELECT q_id, round(overlap, 6) AS overlap FROM qad_g0", sql_qa("qad", DEFAULT)),
     ops=("K1",))
 def q_keyword_overlap(spark, sf_dir):
-    qs = questions(spark, sf_dir)
-    top = rt.tfidf_topk(qs, index(spark, sf_dir), DEFAULT.top_k, pad=True).where(F.col("rank") == 1)
-    c = corpus(spark, sf_dir).select("id", "title", "text")
+    ctx = Ctx(spark, sf_dir)
+    qs = ctx.questions
+    top = rt.tfidf_topk(qs, ctx.index, DEFAULT.top_k, pad=True).where(F.col("rank") == 1)
+    c = ctx.corpus.select("id", "title", "text")
     j = qs.join(top, "q_id", "left").join(c, "id", "left")
     ov = F.when(F.col("id").isNull(), F.lit(None).cast("double")).otherwise(
         keyword_overlap(F.col("question"), F.concat(F.col("title"), F.lit(" "), F.col("text"))))
@@ -151,9 +149,10 @@ def q_keyword_overlap(spark, sf_dir):
     "SELECT q_id, top_score, round(overlap, 6) AS overlap, ok0 AS retrieval_ok FROM qad_g0",
     "qad_g0"), ops=("K2",))
 def q_grade_retrieval(spark, sf_dir):
-    qs = questions(spark, sf_dir)
-    c = corpus(spark, sf_dir)
-    top = rt.tfidf_topk(qs, index(spark, sf_dir), DEFAULT.top_k, pad=True)
+    ctx = Ctx(spark, sf_dir)
+    qs = ctx.questions
+    c = ctx.corpus
+    top = rt.tfidf_topk(qs, ctx.index, DEFAULT.top_k, pad=True)
     g = qa.gather_pass(top, c, qs)
     return g.select("q_id", "top_score", F.round("overlap", 6).alias("overlap"),
                     qa.grade_retrieval(F.col("top_score"), F.col("overlap"),
@@ -164,44 +163,45 @@ def q_grade_retrieval(spark, sf_dir):
 @query("rewrite_query", statement(
     f"SELECT q_id, {sql_rewrite('question')} AS query1 FROM q_src", "q_src"), ops=("K3",))
 def q_rewrite_query(spark, sf_dir):
-    return questions(spark, sf_dir).select("q_id", qa.rewrite(F.col("question")).alias("query1"))
+    ctx = Ctx(spark, sf_dir)
+    return ctx.questions.select("q_id", qa.rewrite(F.col("question")).alias("query1"))
 
 
 @query("rewrite_loop", statement(
     "SELECT q_id, final_query, rewrite_count, n_retrieves, retrieval_ok FROM qas_qa",
     sql_qa("qas", STRICT)), ops=("K4",))
 def q_rewrite_loop(spark, sf_dir):
-    return answers(spark, sf_dir, STRICT).select(
+    return answers(Ctx(spark, sf_dir), STRICT).select(
         "q_id", "final_query", "rewrite_count", "n_retrieves", "retrieval_ok")
 
 
 @query("extractive_answer", statement(
     "SELECT q_id, context_ids, answer FROM qad_qa", "qad_qa"), ops=("K5", "K6"))
 def q_extractive_answer(spark, sf_dir):
-    return answers(spark, sf_dir, DEFAULT).select("q_id", "context_ids", "answer")
+    return answers(Ctx(spark, sf_dir), DEFAULT).select("q_id", "context_ids", "answer")
 
 
 @query("grade_answer", statement("SELECT q_id, answer_ok FROM qad_qa", "qad_qa"), ops=("K7",))
 def q_grade_answer(spark, sf_dir):
-    return answers(spark, sf_dir, DEFAULT).select("q_id", "answer_ok")
+    return answers(Ctx(spark, sf_dir), DEFAULT).select("q_id", "answer_ok")
 
 
 @query("regen_accounting", statement(
     "SELECT q_id, answer_ok, regen_count, n_generations FROM qar_qa", sql_qa("qar", REGEN)),
     ops=("K8",))
 def q_regen(spark, sf_dir):
-    return answers(spark, sf_dir, REGEN).select("q_id", "answer_ok", "regen_count", "n_generations")
+    return answers(Ctx(spark, sf_dir), REGEN).select("q_id", "answer_ok", "regen_count", "n_generations")
 
 
 @query("qa_end_to_end", statement(f"SELECT {', '.join(QA_COLS)} FROM qad_qa", "qad_qa"),
        ops=("K9", "R10"))
 def q_qa_end_to_end(spark, sf_dir):
-    return answers(spark, sf_dir, DEFAULT).select(*QA_COLS)
+    return answers(Ctx(spark, sf_dir), DEFAULT).select(*QA_COLS)
 
 
 @query("qa_trace", None, ops=("K10",))
 def q_qa_trace(spark, sf_dir):
-    a = answers(spark, sf_dir, STRICT)
+    a = answers(Ctx(spark, sf_dir), STRICT)
     t = qa.qa_trace(a, STRICT)
     return t.select("q_id", F.posexplode("trace").alias("seq", "ev")).select(
         "q_id", "seq", "ev.step", "ev.round", "ev.detail")

@@ -1,6 +1,8 @@
 """Retrieval queries (R1-R8, W2, W3, J1) over the active gold corpus."""
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +88,36 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.questions(tables.benchmark(spark, sf_dir))
 
 
-def index(spark: SparkSession, sf_dir: str) -> rt.TfidfIndex:
-    return rt.build_tfidf_index(ad.spread(corpus(spark, sf_dir)))
+class Ctx:
+    """Per-query inputs, each built once: the active corpus (hash-partitioned by
+    position and checkpointed, since ranking, padding, N and answer text all
+    read it), the TF-IDF index over it, and the questions."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        n = max(self.spark.sparkContext.defaultParallelism,
+                int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return corpus(self.spark, self.sf_dir).repartition(n, "pos").checkpoint(eager=True)
+
+    @cached_property
+    def index(self) -> rt.TfidfIndex:
+        return rt.build_tfidf_index(self.corpus)
+
+    @cached_property
+    def index_reused(self) -> rt.TfidfIndex:
+        """The index with postings materialised, for jobs that rank more than once."""
+        return self.index.checkpoint()
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return questions(self.spark, self.sf_dir)
+
+    @cached_property
+    def docs_text(self) -> DataFrame:
+        return self.corpus.select("id", "title", "text")
 
 
 # -- queries ---------------------------------------------------------------------------------
@@ -98,7 +128,8 @@ SELECT id, len(toks) AS n_tokens,
            lambda i: toks[i] || ' ' || toks[i + 1]))) AS n_distinct_terms
 FROM doc_toks""", "doc_toks"), ops=("R1", "R2"))
 def q_token_stats(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir)
+    c = ctx.corpus
     toks = retrieval_tokens(rt.doc_text(F.col("title"), F.col("text")))
     return c.select("id", toks.alias("toks")).select(
         "id", F.size("toks").alias("n_tokens"),
@@ -108,7 +139,8 @@ def q_token_stats(spark, sf_dir):
 @query("tfidf_vocab", statement("SELECT term, df, round(idf, 6) AS idf FROM vocab", "vocab"),
        ops=("R3",))
 def q_tfidf_vocab(spark, sf_dir):
-    v = index(spark, sf_dir).vocab
+    ctx = Ctx(spark, sf_dir)
+    v = ctx.index.vocab
     return v.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -117,17 +149,20 @@ SELECT id, count(*) AS n_terms, round(max(weight), 6) AS max_weight,
        round(sum(weight * weight), 6) AS sum_sq
 FROM postings GROUP BY id""", "postings"), ops=("R3",))
 def q_tfidf_doc_norms(spark, sf_dir):
-    p = index(spark, sf_dir).postings
-    return p.groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"),
-                               F.round(F.max("weight"), 6).alias("max_weight"),
-                               F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("sum_sq"))
+    ctx = Ctx(spark, sf_dir)
+    p = ctx.index.postings
+    per_doc = p.groupBy("pos").agg(F.count(F.lit(1)).alias("n_terms"),
+                                   F.round(F.max("weight"), 6).alias("max_weight"),
+                                   F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("sum_sq"))
+    return per_doc.join(ctx.index.docs.select("pos", "id"), "pos").drop("pos")
 
 
 @query("tfidf_topk", statement(
     f"SELECT q_id, rank, id, score FROM {sql_topk('kw', 'q_src', TOP_K, False)}",
     "kw_topk"), ops=("R4", "R5", "J1", "W2"))
 def q_tfidf_topk(spark, sf_dir):
-    top = rt.tfidf_topk(questions(spark, sf_dir), index(spark, sf_dir), TOP_K, pad=False)
+    ctx = Ctx(spark, sf_dir)
+    top = rt.tfidf_topk(ctx.questions, ctx.index, TOP_K, pad=False)
     return top.select("q_id", "rank", "id", "score")
 
 
@@ -135,7 +170,8 @@ def q_tfidf_topk(spark, sf_dir):
     f"SELECT q_id, rank, id, score FROM {sql_topk('kwp', 'q_src', TOP_K, True)}",
     "kwp_topk"), ops=("R5", "R6"))
 def q_tfidf_topk_padded(spark, sf_dir):
-    top = rt.tfidf_topk(questions(spark, sf_dir), index(spark, sf_dir), TOP_K, pad=True)
+    ctx = Ctx(spark, sf_dir)
+    top = rt.tfidf_topk(ctx.questions, ctx.index, TOP_K, pad=True)
     return top.select("q_id", "rank", "id", "score")
 
 
@@ -145,7 +181,8 @@ SELECT q_id, rank, id,
              / greatest(count(*) OVER (PARTITION BY q_id), 1), 6) AS rank_score
 FROM kwp_topk""", "kwp_topk"), ops=("W3",))
 def q_rank_derived(spark, sf_dir):
-    top = rt.tfidf_topk(questions(spark, sf_dir), index(spark, sf_dir), TOP_K, pad=True)
+    ctx = Ctx(spark, sf_dir)
+    top = rt.tfidf_topk(ctx.questions, ctx.index, TOP_K, pad=True)
     return rt.rank_derived_score(top).select("q_id", "rank", "id", "rank_score")
 
 
@@ -159,9 +196,10 @@ cte("postings_en", "SELECT p.* FROM postings p SEMI JOIN corpus_en c ON p.id = c
     f"{sql_topk('kwf', 'q_src', TOP_K, True, 'corpus_en', 'postings_en')}", "kwf_topk"),
     ops=("R8",))
 def q_filtered_topk(spark, sf_dir):
-    idx = index(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir)
+    idx = ctx.index
     allowed = idx.docs.where(F.col("category") == "en")
-    top = rt.tfidf_topk(questions(spark, sf_dir), idx, TOP_K, pad=True, allowed_docs=allowed)
+    top = rt.tfidf_topk(ctx.questions, idx, TOP_K, pad=True, allowed_docs=allowed)
     return top.select("q_id", "rank", "id", "score")
 
 
@@ -186,12 +224,12 @@ WHERE rank <= {k}""", "q_vecs", "doc_vecs")
     return name
 
 
-def _vectors(spark, sf_dir):
+def _vectors(spark, sf_dir, active_corpus: DataFrame):
     emb = tables.embeddings(spark, sf_dir)
     bench = tables.benchmark(spark, sf_dir)
     qv = bench.join(emb, emb["vec_id"] == bench["item_id"]).select(
         F.col("item_id").alias("q_id"), F.col("embedding").alias("vec"))
-    active = corpus(spark, sf_dir).select("pos")
+    active = active_corpus.select("pos")
     dv = emb.join(active, emb["vec_id"] == active["pos"], "left_semi").select(
         F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
     return qv, dv
@@ -201,7 +239,7 @@ def _vectors(spark, sf_dir):
     f"SELECT q_id, rank, id, score FROM {sql_vector_topk('vec_topk', VECTOR_K)}", "vec_topk"),
     ops=("R7",))
 def q_vector_topk(spark, sf_dir):
-    qv, dv = _vectors(spark, sf_dir)
+    qv, dv = _vectors(spark, sf_dir, corpus(spark, sf_dir))
     return rt.vector_topk(qv, dv, VECTOR_K).select("q_id", "rank", "id", "score")
 
 
@@ -218,9 +256,10 @@ FROM (SELECT q_id, pos, round(f, 6) AS fused,
             GROUP BY q_id, pos))
 WHERE rank <= {HYBRID_K}""", "kwh_topk", "vec_h"), ops=("R7", "R10"))
 def q_hybrid_topk(spark, sf_dir):
-    qs = questions(spark, sf_dir)
-    kw = rt.tfidf_topk(qs, index(spark, sf_dir), HYBRID_DEPTH, pad=False)
-    qv, dv = _vectors(spark, sf_dir)
+    ctx = Ctx(spark, sf_dir)
+    qs = ctx.questions
+    kw = rt.tfidf_topk(qs, ctx.index, HYBRID_DEPTH, pad=False)
+    qv, dv = _vectors(spark, sf_dir, ctx.corpus)
     vec = rt.vector_topk(qv, dv, HYBRID_DEPTH)
     fused = rt.reciprocal_rank_fusion([kw, vec], HYBRID_K)
     scored = rt.rank_derived_score(fused).withColumnRenamed("rank_score", "score")
