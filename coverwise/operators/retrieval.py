@@ -43,32 +43,46 @@ OUT_DIGITS = 6
 
 @dataclass
 class TfidfIndex:
+    """A fitted TF-IDF index.
+
+    ``tf`` (pos, term, tf) holds the raw counts, ``vocab`` (term, df, idf) the
+    document frequencies and ``norms`` (pos, norm) each document's L2 norm of
+    (1 + ln tf) * idf. Scores are computed as sum(q_weight * (1 + ln tf) * idf)
+    over the matching terms, divided by the document norm *after* the per
+    (question, document) sum, so ranking never rewrites all postings.
+    """
     docs: DataFrame        # (id, pos, title, category) — the indexed corpus
-    postings: DataFrame    # (pos, term, weight)
+    tf: DataFrame          # (pos, term, tf)
     vocab: DataFrame       # (term, df, idf)
+    norms: DataFrame       # (pos, norm)
     stop_words: list[str] | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        """Normalised postings (pos, term, weight) — for export and inspection."""
+        w = self.tf.join(self.vocab.select("term", "idf"), "term").join(self.norms, "pos")
+        return w.select("pos", "term", (_w_raw(F.col("tf"), F.col("idf")) / F.col("norm")).alias("weight"))
+
     def checkpoint(self) -> "TfidfIndex":
-        """Materialise postings and vocabulary once in the shared checkpoint folder.
+        """Materialise vocabulary and norms once in the shared checkpoint folder.
 
         Use when one job ranks several question sets (e.g. both QA passes).
         """
-        return TfidfIndex(self.docs, self.postings.checkpoint(eager=True),
-                          self.vocab.checkpoint(eager=True), self.stop_words)
+        from ..session import materialize
+        return TfidfIndex(self.docs, self.tf, materialize(self.vocab), materialize(self.norms),
+                          self.stop_words)
 
     def persist(self, path: str) -> "TfidfIndex":
-        """Write postings and vocab once (postings bucketed by term) and read them back.
+        """Write the index once and read it back (lineage cut at the written tables)."""
+        spark = self.tf.sparkSession
+        for name in ("docs", "tf", "vocab", "norms"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        r = {n: spark.read.parquet(f"{path}/{n}") for n in ("docs", "tf", "vocab", "norms")}
+        return TfidfIndex(r["docs"], r["tf"], r["vocab"], r["norms"], self.stop_words)
 
-        Later query batches then reuse the materialised index instead of
-        re-tokenising the corpus, and the lineage is cut at the written table.
-        """
-        spark = self.postings.sparkSession
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        return TfidfIndex(spark.read.parquet(f"{path}/docs"),
-                          spark.read.parquet(f"{path}/postings"),
-                          spark.read.parquet(f"{path}/vocab"), self.stop_words)
+
+def _w_raw(tf: Column, idf: Column) -> Column:
+    return (F.log(tf.cast("double")) + 1) * idf
 
 
 def doc_text(title: Column, text: Column) -> Column:
@@ -100,11 +114,14 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
 
     ``pos`` (unique, numeric) is the internal document key. When the corpus
     arrives hash-partitioned by ``pos`` the per-document term counts need no
-    shuffle at all (all tokens of a document are in one task). With
-    ``checkpoint`` the term frequencies are written once to the shared
-    checkpoint folder, so the corpus is tokenised exactly once although both
-    the vocabulary and the postings are derived from it.
+    shuffle (all tokens of a document are in one task). With ``checkpoint``
+    the term frequencies are materialised once in the shared checkpoint
+    folder, so the corpus is tokenised exactly once although vocabulary,
+    norms and scoring all read them. The vocabulary is a partial aggregate
+    per term; the norms join tf to idf on term (a hot term is a skewed key
+    that AQE's skew join splits) and then aggregate per document.
     """
+    from ..session import materialize
     cols = [F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), F.col(title_col).alias("title")]
     cols.append(F.col(category_col).alias("category") if category_col else F.lit(None).alias("category"))
     docs = corpus.select(*cols)
@@ -113,23 +130,21 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
                                         doc_text(F.col(title_col), F.col(text_col)).alias("_t")),
                           ["pos"], F.col("_t"), stop_words)
     if checkpoint:
-        tf = tf.checkpoint(eager=True)
+        tf = materialize(tf)
     vocab = (tf.groupBy("term").agg(F.count("tf").alias("df"))
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1))
-    weighted = (tf.join(vocab.select("term", "idf"), "term")
-                .select("pos", "term",
-                        ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w_raw")))
-    postings = _l2_normalised(weighted, "pos")
-    return TfidfIndex(docs, postings, vocab, stop_words)
+    w = tf.join(vocab.select("term", "idf"), "term").select("pos", _w_raw(F.col("tf"), F.col("idf")).alias("w"))
+    norms = w.groupBy("pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return TfidfIndex(docs, tf, vocab, norms, stop_words)
 
 
 def query_vectors(questions: DataFrame, index: TfidfIndex, q_col: str = "q_id",
                   text_col: str = "question") -> DataFrame:
-    """(q_id, term, weight): out-of-vocabulary terms dropped before normalising."""
+    """(q_id, term, idf, weight): out-of-vocabulary terms dropped before normalising."""
     tf = term_frequencies(questions.select(F.col(q_col).alias("q_id"), F.col(text_col).alias("_t")),
                           ["q_id"], F.col("_t"), index.stop_words)
     w = (tf.join(index.vocab.select("term", "idf"), "term")
-         .select("q_id", "term", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w_raw")))
+         .select("q_id", "term", "idf", _w_raw(F.col("tf"), F.col("idf")).alias("w_raw")))
     return _l2_normalised(w, "q_id")
 
 
@@ -158,19 +173,22 @@ def tfidf_topk(questions: DataFrame, index: TfidfIndex, k: int, pad: bool = True
     Document ids are joined back only to the k winners per question.
     """
     qv = query_vectors(questions, index, q_col, text_col)
-    postings = index.postings
+    tf = index.tf
     docs = index.docs
     if allowed_docs is not None:
         docs = docs.join(allowed_docs.select("id").distinct(), "id", "left_semi")
-        postings = postings.join(docs.select("pos"), "pos", "left_semi")
-    contrib = qv.join(postings.withColumnRenamed("weight", "dw"), "term").select(
-        "q_id", "pos", (F.col("weight") * F.col("dw")).alias("c"))
+        tf = tf.join(docs.select("pos"), "pos", "left_semi")
+    # the question side carries idf, so the big tf table is joined as stored
+    contrib = qv.join(tf, "term").select(
+        "q_id", "pos", (F.col("weight") * _w_raw(F.col("tf"), F.col("idf"))).alias("c"))
     if pad:
         pads = questions.select(F.col(q_col).alias("q_id"),
                                 F.explode(first_k_docs(docs, k)).alias("p"))
         contrib = contrib.unionByName(pads.select("q_id", F.col("p.pos").alias("pos"),
                                                   F.lit(0.0).alias("c")))
-    scored = contrib.groupBy("q_id", "pos").agg(F.sum("c").alias("score_raw"))
+    summed = contrib.groupBy("q_id", "pos").agg(F.sum("c").alias("dot"))
+    scored = summed.join(index.norms, "pos", "left").select(
+        "q_id", "pos", F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)).alias("score_raw"))
     top = rank_top_k(scored, k).join(docs.select("pos", "id"), "pos")
     return top.select("q_id", "rank", "id", "pos",
                       F.round("score_raw", OUT_DIGITS).alias("score"))

@@ -46,10 +46,13 @@ cte("postings", """
 SELECT id, pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight
 FROM (SELECT d.id, d.pos, d.term, (ln(d.tf) + 1) * v.idf AS w FROM doc_tf d JOIN vocab v USING (term))""",
     "doc_tf", "vocab")
+cte("norms", """
+SELECT d.pos, sqrt(sum(((ln(d.tf) + 1) * v.idf) * ((ln(d.tf) + 1) * v.idf))) AS norm
+FROM doc_tf d JOIN vocab v USING (term) GROUP BY d.pos""", "doc_tf", "vocab")
 
 
 def sql_topk(prefix: str, questions_cte: str, k: int, pad: bool,
-             corpus_cte: str = "search_corpus", postings_cte: str = "postings") -> str:
+             corpus_cte: str = "search_corpus", tf_cte: str = "doc_tf") -> str:
     """Register CTEs ``{prefix}_qvec`` / ``{prefix}_topk`` and return the top-k CTE name.
 
     ``questions_cte`` must expose (q_id, question).
@@ -61,19 +64,22 @@ FROM (SELECT q_id, unnest(toks || list_transform(range(1, len(toks)),
       FROM (SELECT q_id, {sql_terms("question")} AS toks FROM {questions_cte}))
 GROUP BY q_id, term""", questions_cte)
     cte(f"{prefix}_qvec", f"""
-SELECT q_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY q_id)) AS weight
-FROM (SELECT q.q_id, q.term, (ln(q.tf) + 1) * v.idf AS w FROM {prefix}_qtf q JOIN vocab v USING (term))""",
+SELECT q_id, term, idf, w / sqrt(sum(w * w) OVER (PARTITION BY q_id)) AS weight
+FROM (SELECT q.q_id, q.term, v.idf, (ln(q.tf) + 1) * v.idf AS w FROM {prefix}_qtf q JOIN vocab v USING (term))""",
         f"{prefix}_qtf", "vocab")
     pad_sql = (f"""
       UNION ALL
-      SELECT q.q_id, p.id, p.pos, 0.0 AS c
-      FROM {questions_cte} q, (SELECT id, pos FROM {corpus_cte} ORDER BY pos LIMIT {k}) p"""
+      SELECT q.q_id, p.pos, 0.0 AS c
+      FROM {questions_cte} q, (SELECT pos FROM {corpus_cte} ORDER BY pos LIMIT {k}) p"""
                if pad else "")
     cte(f"{prefix}_scores", f"""
-SELECT q_id, id, pos, sum(c) AS score_raw
-FROM (SELECT q.q_id, p.id, p.pos, q.weight * p.weight AS c
-      FROM {prefix}_qvec q JOIN {postings_cte} p USING (term){pad_sql})
-GROUP BY q_id, id, pos""", f"{prefix}_qvec", postings_cte, corpus_cte, questions_cte)
+SELECT s.q_id, c.id, s.pos, coalesce(s.dot / n.norm, 0.0) AS score_raw
+FROM (SELECT q_id, pos, sum(c) AS dot
+      FROM (SELECT q.q_id, d.pos, q.weight * ((ln(d.tf) + 1) * q.idf) AS c
+            FROM {prefix}_qvec q JOIN {tf_cte} d USING (term){pad_sql})
+      GROUP BY q_id, pos) s
+JOIN {corpus_cte} c ON c.pos = s.pos
+LEFT JOIN norms n ON n.pos = s.pos""", f"{prefix}_qvec", tf_cte, corpus_cte, questions_cte, "norms")
     cte(f"{prefix}_topk", f"""
 SELECT q_id, rank, id, pos, round(score_raw, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score_raw, 9) DESC, pos) AS rank
@@ -187,13 +193,13 @@ def q_rank_derived(spark, sf_dir):
 
 
 cte("corpus_en", "SELECT * FROM search_corpus WHERE category = 'en'", "search_corpus")
-cte("postings_en", "SELECT p.* FROM postings p SEMI JOIN corpus_en c ON p.id = c.id",
-    "postings", "corpus_en")
+cte("doc_tf_en", "SELECT d.* FROM doc_tf d SEMI JOIN corpus_en c ON d.pos = c.pos",
+    "doc_tf", "corpus_en")
 
 
 @query("filtered_topk", statement(
     f"SELECT q_id, rank, id, score FROM "
-    f"{sql_topk('kwf', 'q_src', TOP_K, True, 'corpus_en', 'postings_en')}", "kwf_topk"),
+    f"{sql_topk('kwf', 'q_src', TOP_K, True, 'corpus_en', 'doc_tf_en')}", "kwf_topk"),
     ops=("R8",))
 def q_filtered_topk(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)

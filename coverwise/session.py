@@ -58,3 +58,17 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder, for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "coverwise", *parts])
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage in the shared checkpoint folder.
+
+    An eager reliable checkpoint runs its input twice (one job to count, one to
+    write the files) unless the input is persisted, so persist, checkpoint,
+    then drop the cache: the result reads only the checkpoint files.
+    """
+    from pyspark import StorageLevel
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
