@@ -35,7 +35,12 @@ def assign_versions(registrations: DataFrame, key: str = "model_key",
 
 def registry_state(versions: DataFrame, promotions: DataFrame,
                    key: str = "model_key") -> DataFrame:
-    """Stage of every version after replaying all promotions (L2)."""
+    """Stage of every version after replaying all promotions (L2).
+
+    A promotion naming an unregistered version fails in the reference and
+    changes nothing, so such events are ignored here (see ``unknown_promotions``).
+    """
+    promotions = promotions.join(versions.select(key, "version"), [key, "version"], "left_semi")
     last = promotions.groupBy(key).agg(
         F.max_by("version", F.struct("at", "event_seq")).alias("prod_version"))
     ever = promotions.select(key, "version").distinct().withColumn("was_promoted", F.lit(True))
