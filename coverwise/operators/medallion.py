@@ -172,3 +172,47 @@ def dq_not_null(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFram
     with_reasons = df.withColumn("dq_reasons", F.concat_ws(",", *checks))
     bad = F.col("dq_reasons") != ""
     return (with_reasons.where(~bad).drop("dq_reasons"), with_reasons.where(bad))
+
+
+# -- incremental merge into gold (C1) --------------------------------------------------
+
+def merge_gold(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """MERGE of a freshly built gold snapshot into the current gold table, by ``id``.
+
+    A full outer join (one shuffle on id per side) classifies every id:
+    ``insert`` (new id), ``update`` (content or lineage changed),
+    ``deactivate`` (id no longer produced: kept, with is_active = false),
+    ``unchanged``. Plain Parquet has no MERGE statement, so the result is
+    written as a new table version by the caller.
+    """
+    cur = current.select(*[F.col(c).alias(f"c_{c}") for c in GOLD_COLUMNS])
+    inc = incoming.select(*[F.col(c).alias(f"n_{c}") for c in GOLD_COLUMNS])
+    j = cur.join(inc, F.col("c_id") == F.col("n_id"), "full_outer")
+    changed = ~(F.col("c_title").eqNullSafe(F.col("n_title"))
+                & F.col("c_category").eqNullSafe(F.col("n_category"))
+                & F.col("c_text").eqNullSafe(F.col("n_text"))
+                & F.col("c_lineage_sk").eqNullSafe(F.col("n_lineage_sk"))
+                & F.col("c_is_active").eqNullSafe(F.col("n_is_active")))
+    change = (F.when(F.col("c_id").isNull(), F.lit("insert"))
+               .when(F.col("n_id").isNull(),
+                     F.when(F.col("c_is_active"), F.lit("deactivate")).otherwise(F.lit("unchanged")))
+               .when(changed, F.lit("update"))
+               .otherwise(F.lit("unchanged")))
+    take_new = F.col("n_id").isNotNull()
+    cols = [F.when(take_new, F.col(f"n_{c}")).otherwise(F.col(f"c_{c}")).alias(c) for c in GOLD_COLUMNS]
+    out = j.select(*cols, change.alias("change"))
+    return out.withColumn("is_active", F.when(F.col("change") == "deactivate", F.lit(False))
+                          .otherwise(F.col("is_active")))
+
+
+def scd2_history(versions: DataFrame, key: str = "id", valid_from: str = "updated_at") -> DataFrame:
+    """Slowly changing dimension, type 2: each version valid until the next one of its key.
+
+    ``valid_to`` is NULL for the current version. The window is per key, so its
+    size is the number of versions of one policy.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy(key).orderBy(F.col(valid_from))
+    return (versions.withColumn("valid_from", F.col(valid_from))
+            .withColumn("valid_to", F.lead(F.col(valid_from)).over(w))
+            .withColumn("is_current", F.col("valid_to").isNull()))

@@ -316,3 +316,64 @@ def q_row_policy_agent(spark, sf_dir):
 def q_row_policy_admin(spark, sf_dir):
     return gov.apply_row_policy(gold(spark, sf_dir), gov.ACTIVE_KB_ONLY, gov.ADMIN_ROLE).select(
         "id", "is_active")
+
+
+# -- incremental merge (C1) -----------------------------------------------------------------
+# The previous gold snapshot is what a load at LOAD_CUTOFF produced: bronze rows
+# landed up to that time. The new snapshot covers every row landed since.
+
+LOAD_CUTOFF = "2024-01-01 00:08:20"
+
+cte("raw_prev", f"SELECT * FROM raw_policy_feed WHERE ingested_at <= TIMESTAMP '{LOAD_CUTOFF}'",
+    "raw_policy_feed")
+cte("silver_prev", """
+SELECT md5(coalesce(file_hash, source_id)) AS policy_sk, source_id AS policy_id,
+       trim(raw_title, ' ') AS title, lower(trim(raw_category, ' ')) AS category,
+       trim(raw_body, ' ') AS body_text, ingest_batch_id, ingested_at
+FROM raw_prev
+WHERE raw_body IS NOT NULL AND length(trim(raw_body, ' ')) > 0
+QUALIFY row_number() OVER (PARTITION BY coalesce(file_hash, source_id)
+                           ORDER BY ingested_at DESC, ingest_batch_id DESC, source_id DESC) = 1""",
+    "raw_prev")
+cte("gold_prev", """
+SELECT s.policy_id AS id, s.title, s.category, s.body_text AS text,
+       coalesce(l.quality = 1, TRUE) AS is_active, s.policy_sk AS lineage_sk, s.ingested_at AS updated_at
+FROM silver_prev s LEFT JOIN labels l ON s.policy_id = 'doc-' || CAST(l.doc_id AS VARCHAR)""",
+    "silver_prev")
+cte("gold_merge", """
+SELECT coalesce(n.id, c.id) AS id,
+       CASE WHEN c.id IS NULL THEN 'insert'
+            WHEN n.id IS NULL THEN CASE WHEN c.is_active THEN 'deactivate' ELSE 'unchanged' END
+            WHEN c.title IS NOT DISTINCT FROM n.title AND c.category IS NOT DISTINCT FROM n.category
+             AND c.text IS NOT DISTINCT FROM n.text AND c.lineage_sk IS NOT DISTINCT FROM n.lineage_sk
+             AND c.is_active IS NOT DISTINCT FROM n.is_active THEN 'unchanged'
+            ELSE 'update' END AS change,
+       CASE WHEN n.id IS NULL AND c.is_active THEN FALSE ELSE coalesce(n.is_active, c.is_active) END
+         AS is_active,
+       coalesce(n.updated_at, c.updated_at) AS updated_at
+FROM gold_prev c FULL OUTER JOIN gold n ON c.id = n.id""", "gold_prev", "gold")
+
+
+def _gold_at(spark, sf_dir, cutoff: str | None):
+    b = bronze(spark, sf_dir)
+    if cutoff:
+        b = b.where(F.col("ingested_at") <= F.lit(cutoff).cast("timestamp_ntz"))
+    return med.gold_member_kb(med.silver_benefit_policy(b), ad.active_flags(tables.labels(spark, sf_dir)))
+
+
+@query("gold_merge", statement("SELECT * FROM gold_merge", "gold_merge"), ops=("C1",))
+def q_gold_merge(spark, sf_dir):
+    merged = med.merge_gold(_gold_at(spark, sf_dir, LOAD_CUTOFF), _gold_at(spark, sf_dir, None))
+    return merged.select("id", "change", "is_active", "updated_at")
+
+
+@query("gold_scd2", statement("""
+SELECT id, valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) AS valid_to,
+       lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) IS NULL AS is_current, lineage_sk
+FROM (SELECT id, updated_at AS valid_from, lineage_sk FROM gold_prev
+      UNION
+      SELECT id, updated_at AS valid_from, lineage_sk FROM gold)""", "gold_prev", "gold"), ops=("C1",))
+def q_gold_scd2(spark, sf_dir):
+    versions = (_gold_at(spark, sf_dir, LOAD_CUTOFF).select("id", "updated_at", "lineage_sk")
+                .union(_gold_at(spark, sf_dir, None).select("id", "updated_at", "lineage_sk")).distinct())
+    return med.scd2_history(versions).select("id", "valid_from", "valid_to", "is_current", "lineage_sk")
