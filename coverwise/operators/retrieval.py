@@ -69,7 +69,7 @@ class TfidfIndex:
         Use when one job ranks several question sets (e.g. both QA passes).
         """
         from ..session import materialize
-        return TfidfIndex(self.docs, self.tf, materialize(self.vocab), materialize(self.norms),
+        return TfidfIndex(self.docs, self.tf, materialize(self.vocab, "vocab"), materialize(self.norms, "norms"),
                           self.stop_words)
 
     def persist(self, path: str) -> "TfidfIndex":
@@ -130,7 +130,7 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
                                         doc_text(F.col(title_col), F.col(text_col)).alias("_t")),
                           ["pos"], F.col("_t"), stop_words)
     if checkpoint:
-        tf = materialize(tf)
+        tf = materialize(tf, "tf")
     vocab = (tf.groupBy("term").agg(F.count("tf").alias("df"))
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1))
     w = tf.join(vocab.select("term", "idf"), "term").select("pos", _w_raw(F.col("tf"), F.col("idf")).alias("w"))

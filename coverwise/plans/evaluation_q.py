@@ -7,7 +7,7 @@ from ..config import QaConfig, configs_frame, grid_configs
 from ..operators import evaluation as ev
 from ..operators import registry as reg
 from ..sources import sinks, tables
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .catalog import query
 from .qa_q import _MARK, DEFAULT, answers, sql_overlap, sql_rewrite, sql_strip, sql_words
 from .retrieval_q import Ctx, sql_topk
@@ -168,7 +168,7 @@ def gate_results(ctx: Ctx):
 
 
 def registry_frames(ctx: Ctx):
-    g = gate_results(ctx).withColumn("model_key", F.lit("qa")).checkpoint(eager=True)
+    g = materialize(gate_results(ctx).withColumn("model_key", F.lit("qa")), "gate")
     regs = reg.assign_versions(g.select("model_key", "config_id",
                                         F.col("config_id").alias("event_seq"),
                                         F.col("config_id").alias("created_at")))

@@ -377,3 +377,22 @@ def q_gold_scd2(spark, sf_dir):
     versions = (_gold_at(spark, sf_dir, LOAD_CUTOFF).select("id", "updated_at", "lineage_sk")
                 .union(_gold_at(spark, sf_dir, None).select("id", "updated_at", "lineage_sk")).distinct())
     return med.scd2_history(versions).select("id", "valid_from", "valid_to", "is_current", "lineage_sk")
+
+
+# -- JSON document source (S1, S2) -----------------------------------------------------------
+
+@query("kb_category_counts", """
+SELECT lang AS category, count(*) AS n_documents, sum(length(text)) AS n_chars
+FROM documents GROUP BY lang""", ops=("S1",))
+def q_kb_category_counts(spark, sf_dir):
+    import uuid
+    from ..session import scratch_path
+    from ..sources.json_docs import read_documents
+    path = scratch_path(spark, "kb_json", uuid.uuid4().hex)
+    docs = tables.documents(spark, sf_dir).select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
+        F.substring("text", 1, 60).alias("title"), F.col("lang").alias("category"), "text")
+    docs.write.mode("overwrite").json(path)          # one document per line: splittable
+    kb = read_documents(spark, path, multiline=False)
+    return kb.groupBy("category").agg(F.count(F.lit(1)).alias("n_documents"),
+                                      F.sum(F.length("text")).alias("n_chars"))

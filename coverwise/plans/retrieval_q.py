@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import effective_stop_words, retrieval_tokens, with_bigrams
 from ..operators import retrieval as rt
+from ..session import materialize
 from ..sources import adapters as ad
 from ..sources import tables
 from .catalog import query
@@ -106,7 +107,7 @@ class Ctx:
     def corpus(self) -> DataFrame:
         n = max(self.spark.sparkContext.defaultParallelism,
                 int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return corpus(self.spark, self.sf_dir).repartition(n, "pos").checkpoint(eager=True)
+        return materialize(corpus(self.spark, self.sf_dir).repartition(n, "pos"), "corpus")
 
     @cached_property
     def index(self) -> rt.TfidfIndex:

@@ -78,3 +78,4 @@ def test_entry_and_contract():
     qs, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(qs)
     assert {n for n in qs if n not in sqls} == {"qa_trace", "run_log"}
+    assert "kb_category_counts" in sqls
