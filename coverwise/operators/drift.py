@@ -7,11 +7,12 @@ half-open [e_i, e_i+1); shares are floored at 1e-4 without renormalising;
 PSI = Σ (cur - ref) · ln(cur / ref). An empty side or fewer than two distinct
 edges gives 0 ("stable").
 
-Plan shape: the reference quantiles are one ``percentile`` aggregate per
-reference group (exact; its buffer holds distinct values with counts, merged
-after a map-side partial aggregation). Because the bin count depends on the
-data, the aggregate computes every quantile any bin count 2..bins can need
-(a constant list) and the edges are picked afterwards. Each row then gets
+Plan shape: the reference quantiles are exact order statistics found
+without gathering any group into one task (``exact_quantiles``): the reference
+is range-sorted, every row gets its global rank from per-partition offsets,
+and only the few ranks the quantiles need are fetched by an equi-join. Because
+the bin count depends on the data, every quantile any bin count 2..bins can
+need (a constant list) is computed and the edges are picked afterwards. Each row then gets
 its bin by counting interior edges <= value (a projection), and both sides
 are histogrammed with a partial ``count`` per (group, bin). A global
 reference (no grouping keys) is attached as a scalar subquery, never by a
@@ -20,7 +21,7 @@ broadcast by AQE only when measured small).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Share floor and severity bands of the reference.
@@ -48,12 +49,50 @@ def severity(psi: Column) -> Column:
              .otherwise(F.lit("significant")))
 
 
+def exact_quantiles(df: DataFrame, value_col: str, by: list[str], fractions: list[float]) -> DataFrame:
+    """(by..., n, q array<double>): exact linear-interpolated quantiles per group.
+
+    For group size n and fraction f, position h = (n - 1) * f and the value is
+    x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h) over the sorted group.
+    The data is sorted with range partitioning (a group larger than a partition
+    is split across several), a row's rank is its partition's offset plus its
+    position inside the partition (``monotonically_increasing_id`` after the
+    sort), and only 2 * len(fractions) ranks per group are looked up. The
+    sorted, ranked column is written once to the shared checkpoint folder so
+    the ranks are stable across the jobs that read them.
+    """
+    from ..session import materialize
+    x = df.select(*by, F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    srt = x.orderBy(*by, "v").withColumn("_mid", F.monotonically_increasing_id())
+    srt = materialize(srt.select(*by, "v", F.shiftright(F.col("_mid"), 33).alias("_part"),
+                                 (F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("_local")),
+                      "sorted")
+    # one row per non-empty partition: its first global rank
+    parts = srt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = parts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c"))
+                           .alias("_off"))
+    ranked = srt.join(offsets, "_part").select(*by, "v", (F.col("_off") + F.col("_local")).alias("_r"))
+    groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("_start"))
+    fr = F.array(*[F.lit(float(f)) for f in fractions])
+    need = groups.select(*by, "n", "_start", F.posexplode(fr).alias("_i", "_f")).withColumn(
+        "_h", (F.col("n") - 1).cast("double") * F.col("_f"))
+    need = need.withColumn("_lo", F.col("_start") + F.floor("_h").cast("long")) \
+               .withColumn("_hi", F.col("_start") + F.ceil("_h").cast("long"))
+    vals = ranked.select(F.col("_r"), F.col("v"))
+    lo = need.join(vals.withColumnRenamed("_r", "_lo").withColumnRenamed("v", "_vlo"), "_lo")
+    both = lo.join(vals.withColumnRenamed("_r", "_hi").withColumnRenamed("v", "_vhi"), "_hi")
+    q = both.select(*by, "n", "_i",
+                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h")))
+                    .alias("_q"))
+    return q.groupBy(*by, "n").agg(F.sort_array(F.collect_list(F.struct("_i", "_q"))).alias("_qs")) \
+        .select(*by, "n", F.transform("_qs", lambda e: e["_q"]).alias("q"))
+
+
 def reference_edges(reference: DataFrame, value_col: str, by: list[str], bins: int = 10) -> DataFrame:
     """(by..., n_reference, edges): distinct reference quantile edges per group."""
     fr, idx = quantile_plan(bins)
-    agg = reference.groupBy(*by).agg(
-        F.count(F.col(value_col)).alias("n_reference"),
-        F.percentile(F.col(value_col), F.array(*[F.lit(f) for f in fr])).alias("_q"))
+    agg = exact_quantiles(reference, value_col, by, fr).select(
+        *by, F.col("n").alias("n_reference"), F.col("q").alias("_q"))
     eff = F.greatest(F.lit(2), F.least(F.lit(bins), (F.col("n_reference") / 5).cast("long")))
     pick = None
     for b, ids in idx.items():
