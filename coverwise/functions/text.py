@@ -58,8 +58,9 @@ def retrieval_tokens(text: Column, stop_words: list[str] | None = None) -> Colum
     stops = effective_stop_words(stop_words)
     if not stops:
         return toks
-    stop_arr = F.array(*[F.lit(w) for w in stops])
-    return F.filter(toks, lambda t: ~F.array_contains(stop_arr, t))
+    # a literal IN list becomes a hashed INSET (one lookup per token), where
+    # array_contains over a literal array would scan every stop word
+    return F.filter(toks, lambda t: ~t.isin(stops))
 
 
 def with_bigrams(tokens: Column) -> Column:

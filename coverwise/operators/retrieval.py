@@ -56,6 +56,7 @@ class TfidfIndex:
     vocab: DataFrame       # (term, df, idf)
     norms: DataFrame       # (pos, norm)
     stop_words: list[str] | None = None
+    fitted: bool = False   # the tables are written (lineage cut), not plans
 
     @property
     def postings(self) -> DataFrame:
@@ -67,10 +68,13 @@ class TfidfIndex:
         """Materialise vocabulary and norms once in the shared checkpoint folder.
 
         Use when one job ranks several question sets (e.g. both QA passes).
+        A fitted index (the default build) is returned as is.
         """
+        if self.fitted:
+            return self
         from ..session import materialize
         return TfidfIndex(self.docs, self.tf, materialize(self.vocab, "vocab"), materialize(self.norms, "norms"),
-                          self.stop_words)
+                          self.stop_words, fitted=True)
 
     def persist(self, path: str) -> "TfidfIndex":
         """Write the index once and read it back (lineage cut at the written tables)."""
@@ -78,7 +82,7 @@ class TfidfIndex:
         for name in ("docs", "tf", "vocab", "norms"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         r = {n: spark.read.parquet(f"{path}/{n}") for n in ("docs", "tf", "vocab", "norms")}
-        return TfidfIndex(r["docs"], r["tf"], r["vocab"], r["norms"], self.stop_words)
+        return TfidfIndex(r["docs"], r["tf"], r["vocab"], r["norms"], self.stop_words, fitted=True)
 
 
 def _w_raw(tf: Column, idf: Column) -> Column:
@@ -112,14 +116,15 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
                       stop_words: list[str] | None = None, checkpoint: bool = True) -> TfidfIndex:
     """Fit the TF-IDF index over a corpus DataFrame.
 
-    ``pos`` (unique, numeric) is the internal document key. When the corpus
-    arrives hash-partitioned by ``pos`` the per-document term counts need no
-    shuffle (all tokens of a document are in one task). With ``checkpoint``
-    the term frequencies are materialised once in the shared checkpoint
-    folder, so the corpus is tokenised exactly once although vocabulary,
-    norms and scoring all read them. The vocabulary is a partial aggregate
-    per term; the norms join tf to idf on term (a hot term is a skewed key
-    that AQE's skew join splits) and then aggregate per document.
+    ``pos`` (unique, numeric) is the internal document key. The corpus is
+    tokenised once: term counts are a partial aggregate per (pos, term). With
+    ``checkpoint`` (the default) the three index tables are fitted once and
+    written to the shared checkpoint folder, as the reference fits its matrix
+    once: term frequencies, then the vocabulary (a partial aggregate per
+    term), then the document norms (tf joined to idf on term -- a hot term is a
+    skewed key that AQE's skew join splits -- aggregated per document). Every
+    ranking then scans the written tables: it never re-tokenises the corpus,
+    re-counts the vocabulary or re-shuffles tf to rebuild norms.
     """
     from ..session import materialize
     cols = [F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), F.col(title_col).alias("title")]
@@ -133,17 +138,34 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
         tf = materialize(tf, "tf")
     vocab = (tf.groupBy("term").agg(F.count("tf").alias("df"))
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1))
+    if checkpoint:
+        vocab = materialize(vocab, "vocab")
     w = tf.join(vocab.select("term", "idf"), "term").select("pos", _w_raw(F.col("tf"), F.col("idf")).alias("w"))
     norms = w.groupBy("pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return TfidfIndex(docs, tf, vocab, norms, stop_words)
+    if checkpoint:
+        norms = materialize(norms, "norms")
+    return TfidfIndex(docs, tf, vocab, norms, stop_words, fitted=checkpoint)
+
+
+# Question-side term rows (q_id, term) are broadcast to the scans of the index
+# tables only up to this many rows (counted first); beyond it both joins are
+# shuffle joins on term.
+MAX_BROADCAST_QUERY_TERMS = 1_000_000
 
 
 def query_vectors(questions: DataFrame, index: TfidfIndex, q_col: str = "q_id",
-                  text_col: str = "question") -> DataFrame:
-    """(q_id, term, idf, weight): out-of-vocabulary terms dropped before normalising."""
+                  text_col: str = "question", broadcast: bool | None = None) -> DataFrame:
+    """(q_id, term, idf, weight): out-of-vocabulary terms dropped before normalising.
+
+    ``broadcast`` says whether the question terms may be broadcast to the
+    vocabulary scan; ``None`` decides by counting them first.
+    """
     tf = term_frequencies(questions.select(F.col(q_col).alias("q_id"), F.col(text_col).alias("_t")),
                           ["q_id"], F.col("_t"), index.stop_words)
-    w = (tf.join(index.vocab.select("term", "idf"), "term")
+    if broadcast is None:
+        broadcast = tf.count() <= MAX_BROADCAST_QUERY_TERMS
+    q = F.broadcast(tf) if broadcast else tf
+    w = (q.join(index.vocab.select("term", "idf"), "term")
          .select("q_id", "term", "idf", _w_raw(F.col("tf"), F.col("idf")).alias("w_raw")))
     return _l2_normalised(w, "q_id")
 
@@ -172,14 +194,21 @@ def tfidf_topk(questions: DataFrame, index: TfidfIndex, k: int, pad: bool = True
     restricts the candidates *before* ranking; idf stays that of the full index.
     Document ids are joined back only to the k winners per question.
     """
-    qv = query_vectors(questions, index, q_col, text_col)
+    q_terms = term_frequencies(questions.select(F.col(q_col).alias("q_id"),
+                                                F.col(text_col).alias("_t")),
+                               ["q_id"], F.col("_t"), index.stop_words)
+    # one count bounds both question-side joins: question vectors have at most
+    # as many rows as question terms. Small: broadcast them to the scans of the
+    # vocabulary and of tf (tf is never shuffled). Large: shuffle joins on term.
+    small = q_terms.count() <= MAX_BROADCAST_QUERY_TERMS
+    qv = query_vectors(questions, index, q_col, text_col, broadcast=small)
     tf = index.tf
     docs = index.docs
     if allowed_docs is not None:
         docs = docs.join(allowed_docs.select("id").distinct(), "id", "left_semi")
         tf = tf.join(docs.select("pos"), "pos", "left_semi")
     # the question side carries idf, so the big tf table is joined as stored
-    contrib = qv.join(tf, "term").select(
+    contrib = (F.broadcast(qv) if small else qv).join(tf, "term").select(
         "q_id", "pos", (F.col("weight") * _w_raw(F.col("tf"), F.col("idf"))).alias("c"))
     if pad:
         pads = questions.select(F.col(q_col).alias("q_id"),
