@@ -71,6 +71,18 @@ def test_containment_short_passages(spark):
     assert got == {(1, "d1"), (1, "d2"), (2, "d1")}
 
 
+def test_containment_short_passages_brute_force(spark):
+    # overlapping, repeated and empty patterns; a null document text matches nothing
+    texts = ["abab", "ba", "a b", "xyz", None, "b.a b"]
+    passages = ["ab", "b", "ab", "", "a b", "b.a", "q"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    qs = spark.createDataFrame(list(enumerate(passages)), "q_id long, question string")
+    got = {(r["q_id"], r["id"]) for r in ev.containment_pairs(qs, docs).collect()}
+    want = {(qi, f"d{di}") for qi, q in enumerate(passages) for di, t in enumerate(texts)
+            if t is not None and q in t}
+    assert got == want
+
+
 def test_sweep_matches_per_config_runs(spark, kb):
     idx = rt.build_tfidf_index(kb)
     qs = spark.createDataFrame([(0, "When is open enrollment?"), (1, "Do I need prior authorization for an MRI?"),
