@@ -318,3 +318,28 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int, rrf_k: int = 60,
     fused = u.groupBy(part, "pos").agg(F.sum("c").alias("score_raw"))
     top = rank_top_k(fused, k, part=part)
     return top.select(part, "rank", "pos", F.round("score_raw", OUT_DIGITS).alias("fused"))
+
+
+def federated_topk(rankings: list[tuple[str, DataFrame]], k: int, rrf_k: int = 60,
+                   part: str = "q_id") -> DataFrame:
+    """Search several corpora and merge their ranked lists.
+
+    ``rankings`` pairs a corpus name with a ranked list (q_id, rank, id, pos)
+    over that corpus. Items are keyed by (corpus, id), so lists over the same
+    corpus (say, two retrievers) add their reciprocal ranks, while lists over
+    different corpora interleave by rank. Ties go to the earlier corpus in
+    ``rankings``, then to corpus position. Returns (q_id, rank, corpus, id,
+    fused), k rows per question at most.
+    """
+    u = None
+    for no, (name, r) in enumerate(rankings):
+        x = r.select(part, F.lit(name).alias("corpus"), F.lit(no).alias("corpus_no"), "id", "pos",
+                     (F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))).alias("c"))
+        u = x if u is None else u.unionByName(x)
+    fused = u.groupBy(part, "corpus", "id").agg(F.min("corpus_no").alias("corpus_no"),
+                                                F.first("pos").alias("pos"),
+                                                F.sum("c").alias("score_raw"))
+    w = Window.partitionBy(part).orderBy(F.round("score_raw", RANK_DIGITS).desc(),
+                                         F.col("corpus_no").asc(), F.col("pos").asc())
+    top = fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(part, "rank", "corpus", "id", F.round("score_raw", OUT_DIGITS).alias("fused"))

@@ -53,7 +53,8 @@ FROM doc_tf d JOIN vocab v USING (term) GROUP BY d.pos""", "doc_tf", "vocab")
 
 
 def sql_topk(prefix: str, questions_cte: str, k: int, pad: bool,
-             corpus_cte: str = "search_corpus", tf_cte: str = "doc_tf") -> str:
+             corpus_cte: str = "search_corpus", tf_cte: str = "doc_tf",
+             vocab_cte: str = "vocab", norms_cte: str = "norms") -> str:
     """Register CTEs ``{prefix}_qvec`` / ``{prefix}_topk`` and return the top-k CTE name.
 
     ``questions_cte`` must expose (q_id, question).
@@ -66,8 +67,8 @@ FROM (SELECT q_id, unnest(toks || list_transform(range(1, len(toks)),
 GROUP BY q_id, term""", questions_cte)
     cte(f"{prefix}_qvec", f"""
 SELECT q_id, term, idf, w / sqrt(sum(w * w) OVER (PARTITION BY q_id)) AS weight
-FROM (SELECT q.q_id, q.term, v.idf, (ln(q.tf) + 1) * v.idf AS w FROM {prefix}_qtf q JOIN vocab v USING (term))""",
-        f"{prefix}_qtf", "vocab")
+FROM (SELECT q.q_id, q.term, v.idf, (ln(q.tf) + 1) * v.idf AS w FROM {prefix}_qtf q JOIN {vocab_cte} v USING (term))""",
+        f"{prefix}_qtf", vocab_cte)
     pad_sql = (f"""
       UNION ALL
       SELECT q.q_id, p.pos, 0.0 AS c
@@ -80,7 +81,7 @@ FROM (SELECT q_id, pos, sum(c) AS dot
             FROM {prefix}_qvec q JOIN {tf_cte} d USING (term){pad_sql})
       GROUP BY q_id, pos) s
 JOIN {corpus_cte} c ON c.pos = s.pos
-LEFT JOIN norms n ON n.pos = s.pos""", f"{prefix}_qvec", tf_cte, corpus_cte, questions_cte, "norms")
+LEFT JOIN {norms_cte} n ON n.pos = s.pos""", f"{prefix}_qvec", tf_cte, corpus_cte, questions_cte, norms_cte)
     cte(f"{prefix}_topk", f"""
 SELECT q_id, rank, id, pos, round(score_raw, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score_raw, 9) DESC, pos) AS rank
@@ -126,6 +127,17 @@ class Ctx:
     def docs_text(self) -> DataFrame:
         return self.corpus.select("id", "title", "text")
 
+    @cached_property
+    def page_corpus(self) -> DataFrame:
+        n = max(self.spark.sparkContext.defaultParallelism,
+                int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        pages = ad.page_corpus(tables.pages(self.spark, self.sf_dir))
+        return materialize(pages.repartition(n, "pos"), "page_corpus")
+
+    @cached_property
+    def page_index(self) -> rt.TfidfIndex:
+        return rt.build_tfidf_index(self.page_corpus)
+
 
 # -- queries ---------------------------------------------------------------------------------
 
@@ -272,3 +284,52 @@ def q_hybrid_topk(spark, sf_dir):
     scored = rt.rank_derived_score(fused).withColumnRenamed("rank_score", "score")
     return scored.select("q_id", "rank", F.concat(F.lit("doc-"), F.col("pos").cast("string")).alias("id"),
                          "fused", "score")
+
+
+# -- two corpora searched and merged (C6) ------------------------------------------------------
+
+FED_DEPTH = 10
+FED_K = 5
+
+cte("page_corpus", f"""
+SELECT 'page-' || CAST(page_id AS VARCHAR) AS id, CAST(page_id AS BIGINT) AS pos,
+       regexp_extract(html, '{ad.PAGE_TITLE}', 1) AS title, 'web' AS category,
+       regexp_replace(regexp_replace(html, '{ad.SCRIPT_STYLE}', ' ', 'g'), '{ad.MARKUP_TAG}', ' ', 'g')
+         AS text
+FROM pages""")
+cte("page_toks", f"""
+SELECT id, pos, {sql_terms("title || '. ' || text")} AS toks FROM page_corpus""", "page_corpus")
+cte("page_tf", """
+SELECT id, pos, term, count(*) AS tf
+FROM (SELECT id, pos, unnest(toks || list_transform(range(1, len(toks)),
+             lambda i: toks[i] || ' ' || toks[i + 1])) AS term FROM page_toks)
+GROUP BY id, pos, term""", "page_toks")
+cte("page_vocab", """
+SELECT term, count(*) AS df,
+       ln((1 + (SELECT CAST(count(*) AS DOUBLE) FROM page_corpus)) / (count(*) + 1)) + 1 AS idf
+FROM page_tf GROUP BY term""", "page_tf", "page_corpus")
+cte("page_norms", """
+SELECT d.pos, sqrt(sum(((ln(d.tf) + 1) * v.idf) * ((ln(d.tf) + 1) * v.idf))) AS norm
+FROM page_tf d JOIN page_vocab v USING (term) GROUP BY d.pos""", "page_tf", "page_vocab")
+
+
+@query("federated_topk", statement(f"""
+SELECT q_id, rank, corpus, id, fused
+FROM (SELECT q_id, corpus, id, round(f, 6) AS fused,
+             row_number() OVER (PARTITION BY q_id ORDER BY round(f, 9) DESC, corpus_no, pos) AS rank
+      FROM (SELECT q_id, corpus, id, min(corpus_no) AS corpus_no, min(pos) AS pos,
+                   sum(1.0 / (60 + rank)) AS f
+            FROM (SELECT q_id, 'kb' AS corpus, 0 AS corpus_no, id, pos, rank
+                  FROM {sql_topk('kfa', 'q_src', FED_DEPTH, True)}
+                  UNION ALL
+                  SELECT q_id, 'web' AS corpus, 1 AS corpus_no, id, pos, rank
+                  FROM {sql_topk('kfb', 'q_src', FED_DEPTH, True, 'page_corpus', 'page_tf',
+                                 'page_vocab', 'page_norms')})
+            GROUP BY q_id, corpus, id))
+WHERE rank <= {FED_K}""", "kfa_topk", "kfb_topk"), ops=("C6", "R5", "R6"))
+def q_federated_topk(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    qs = ctx.questions
+    kb = rt.tfidf_topk(qs, ctx.index, FED_DEPTH, pad=True)
+    web = rt.tfidf_topk(qs, ctx.page_index, FED_DEPTH, pad=True)
+    return rt.federated_topk([("kb", kb), ("web", web)], FED_K)

@@ -81,6 +81,29 @@ def questions(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
 
 
+# Markup removal for the web-page corpus: script and style elements with their
+# contents, then every remaining tag (each replaced by a space).
+SCRIPT_STYLE = r"(?s)<(script|style)[^>]*>.*?</(script|style)>"
+MARKUP_TAG = r"<[^>]*>"
+PAGE_TITLE = r"<title>([^<]*)</title>"
+
+
+def page_corpus(pages: DataFrame) -> DataFrame:
+    """A second searchable corpus from raw web pages: (id, pos, title, category, text).
+
+    The text is the page with scripts, styles and tags removed; the title is
+    the ``<title>`` element; the corpus position is the page number.
+    """
+    text = F.regexp_replace(F.regexp_replace("html", SCRIPT_STYLE, " "), MARKUP_TAG, " ")
+    return pages.select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"),
+        F.col("page_id").cast("long").alias("pos"),
+        F.regexp_extract("html", PAGE_TITLE, 1).alias("title"),
+        F.lit("web").alias("category"),
+        text.alias("text"),
+    )
+
+
 def corpus_position(id_col: str = "id") -> Column:
     """Corpus position of a gold row: the numeric part of ``doc-<n>``."""
     return F.regexp_extract(F.col(id_col), r"(\d+)$", 1).cast("long")

@@ -40,6 +40,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Register every driver table as a temp view (for ad-hoc SQL)."""
     for name in TABLES:

@@ -146,3 +146,26 @@ def test_reciprocal_rank_fusion(spark):
     got = rt.reciprocal_rank_fusion([a, b], 3).orderBy("rank").collect()
     assert [r["pos"] for r in got] == [11, 10, 12]
     assert abs(got[0]["fused"] - round(1 / 62 + 1 / 61, 6)) < 1e-9
+
+
+def test_federated_topk_interleaves_and_fuses(spark):
+    rows = "q_id long, rank int, id string, pos long"
+    kb = spark.createDataFrame([(1, 1, "doc-5", 5), (1, 2, "doc-2", 2), (1, 3, "doc-9", 9)], rows)
+    web = spark.createDataFrame([(1, 1, "page-3", 3), (1, 2, "page-1", 1)], rows)
+    kb2 = spark.createDataFrame([(1, 1, "doc-9", 9)], rows)          # a second retriever over kb
+    got = [(r["rank"], r["corpus"], r["id"]) for r in
+           rt.federated_topk([("kb", kb), ("web", web)], 4).orderBy("rank").collect()]
+    # equal reciprocal ranks across corpora: the earlier corpus first
+    assert got == [(1, "kb", "doc-5"), (2, "web", "page-3"), (3, "kb", "doc-2"), (4, "web", "page-1")]
+    fused = rt.federated_topk([("kb", kb), ("web", web), ("kb", kb2)], 1).first()
+    assert (fused["corpus"], fused["id"]) == ("kb", "doc-9")            # 1/63 + 1/61 wins
+    assert abs(fused["fused"] - round(1 / 63 + 1 / 61, 6)) < 1e-12
+
+
+def test_page_corpus_strips_markup(spark):
+    from coverwise.sources import adapters as ad
+    html = ('<html><head><title>Plan A</title><style>p{x:1}</style>'
+            '<script>var t="</p>";</script></head><body><p>Copay <b>ten</b></p></body></html>')
+    r = ad.page_corpus(spark.createDataFrame([(7, "u", html)], "page_id long, url string, html string")).first()
+    assert (r["id"], r["pos"], r["title"]) == ("page-7", 7, "Plan A")
+    assert r["text"].split() == ["Plan", "A", "Copay", "ten"]
