@@ -215,6 +215,13 @@ def tfidf_topk(questions: DataFrame, index: TfidfIndex, k: int, pad: bool = True
                                 F.explode(first_k_docs(docs, k)).alias("p"))
         contrib = contrib.unionByName(pads.select("q_id", F.col("p.pos").alias("pos"),
                                                   F.lit(0.0).alias("c")))
+    return _rank_contributions(contrib, index, docs, k)
+
+
+def _rank_contributions(contrib: DataFrame, index: TfidfIndex, docs: DataFrame, k: int) -> DataFrame:
+    """(q_id, pos, c) -> top-k (q_id, rank, id, pos, score): partial sums per
+    (question, document), cosine by the document norm, ``row_number() <= k``
+    (a partial ``WindowGroupLimit`` before the shuffle), ids joined to winners."""
     summed = contrib.groupBy("q_id", "pos").agg(F.sum("c").alias("dot"))
     scored = summed.join(index.norms, "pos", "left").select(
         "q_id", "pos", F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)).alias("score_raw"))
@@ -223,6 +230,50 @@ def tfidf_topk(questions: DataFrame, index: TfidfIndex, k: int, pad: bool = True
                       F.round("score_raw", OUT_DIGITS).alias("score"))
 
 
+def tenant_topk(questions: DataFrame, index: TfidfIndex, doc_tenants: DataFrame, k: int,
+                pad: bool = True, q_col: str = "q_id", text_col: str = "question",
+                tenant_col: str = "tenant") -> DataFrame:
+    """Cosine top-k where every question searches only its own tenant's documents.
+
+    ``questions`` carries (q_id, question, tenant) and ``doc_tenants`` (pos,
+    tenant). The tenant is part of the join key: question terms meet postings
+    on (term, tenant), so no document of another tenant is ever scored, and
+    padding takes the first k documents *of the question's tenant* (a
+    per-tenant ``row_number() <= k``, partially limited before its shuffle).
+    Rows without a tenant on either side never match; report them with
+    ``tenant_rejects``. idf stays that of the shared index, as with any
+    filter applied before ranking (R8). Returns (q_id, tenant, rank, id, pos, score).
+    """
+    qs = questions.select(F.col(q_col).alias("q_id"), F.col(text_col).alias("question"),
+                          F.col(tenant_col).alias("tenant")).where(F.col("tenant").isNotNull())
+    dt = doc_tenants.select("pos", F.col(tenant_col).alias("tenant")).where(F.col("tenant").isNotNull())
+    q_terms = term_frequencies(qs.select("q_id", F.col("question").alias("_t")), ["q_id"],
+                               F.col("_t"), index.stop_words)
+    small = q_terms.count() <= MAX_BROADCAST_QUERY_TERMS
+    qv = query_vectors(qs, index, broadcast=small).join(qs.select("q_id", "tenant"), "q_id")
+    postings = index.tf.join(dt, "pos")
+    contrib = (F.broadcast(qv) if small else qv).join(postings, ["term", "tenant"]).select(
+        "q_id", "pos", (F.col("weight") * _w_raw(F.col("tf"), F.col("idf"))).alias("c"))
+    docs = index.docs.join(dt.select("pos"), "pos", "left_semi")
+    if pad:
+        first = dt.withColumn("_r", F.row_number().over(Window.partitionBy("tenant").orderBy("pos")))
+        pads = qs.select("q_id", "tenant").join(first.where(F.col("_r") <= k), "tenant")
+        contrib = contrib.unionByName(pads.select("q_id", "pos", F.lit(0.0).alias("c")))
+    top = _rank_contributions(contrib, index, docs, k)
+    return top.join(qs.select("q_id", "tenant"), "q_id").select(
+        "q_id", "tenant", "rank", "id", "pos", "score")
+
+
+def tenant_rejects(questions: DataFrame, docs: DataFrame, q_col: str = "q_id",
+                   doc_col: str = "id", tenant_col: str = "tenant") -> DataFrame:
+    """Rows that lack a tenant and are kept out of every retrieval: (kind, key, reason)."""
+    q = questions.where(F.col(tenant_col).isNull()).select(
+        F.lit("question").alias("kind"), F.col(q_col).cast("string").alias("key"))
+    d = docs.where(F.col(tenant_col).isNull()).select(
+        F.lit("document").alias("kind"), F.col(doc_col).cast("string").alias("key"))
+    return q.unionByName(d).withColumn("reason", F.lit("missing tenant"))
+
+
 def rank_derived_score(ranked: DataFrame, part: str = "q_id", rank_col: str = "rank") -> DataFrame:
     """Score a ranked list by position: (n - rank0) / n, n = rows of the list."""
     n = F.greatest(F.count(F.lit(1)).over(Window.partitionBy(part)), F.lit(1))

@@ -169,3 +169,30 @@ def test_page_corpus_strips_markup(spark):
     r = ad.page_corpus(spark.createDataFrame([(7, "u", html)], "page_id long, url string, html string")).first()
     assert (r["id"], r["pos"], r["title"]) == ("page-7", 7, "Plan A")
     assert r["text"].split() == ["Plan", "A", "Copay", "ten"]
+
+
+def test_tenant_topk_never_crosses_tenants(spark, kb):
+    idx = rt.build_tfidf_index(kb)
+    docs = idx.docs.select("pos", "id").collect()
+    # two tenants by alternating position; one document without a tenant
+    dt = spark.createDataFrame([(r["pos"], None if i == 0 else ("a" if i % 2 else "b"))
+                                for i, r in enumerate(sorted(docs, key=lambda r: r["pos"]))],
+                               "pos long, tenant string")
+    qs = spark.createDataFrame([(0, "prior authorization MRI imaging", "a"),
+                                (1, "prior authorization MRI imaging", "b"),
+                                (2, "parking fee nightly", "a"),
+                                (3, "copay", None)], "q_id long, question string, tenant string")
+    got = rt.tenant_topk(qs, idx, dt, 3).collect()
+    tenant_of = {r["pos"]: r["tenant"] for r in dt.collect()}
+    assert all(tenant_of[r["pos"]] == r["tenant"] for r in got)
+    n_a = sum(1 for t in tenant_of.values() if t == "a")
+    n_b = sum(1 for t in tenant_of.values() if t == "b")
+    per_q = {q: sum(1 for r in got if r["q_id"] == q) for q in (0, 1, 2, 3)}
+    assert per_q == {0: min(3, n_a), 1: min(3, n_b), 2: min(3, n_a), 3: 0}   # padded within the tenant
+    # the same question over one tenant equals the global ranking restricted to that tenant
+    allowed = idx.docs.join(dt.where("tenant = 'a'"), "pos", "left_semi")
+    want = rt.tfidf_topk(qs.where("q_id = 0"), idx, 3, allowed_docs=allowed).collect()
+    assert [(r["id"], r["score"]) for r in sorted(want, key=lambda r: r["rank"])] == \
+        [(r["id"], r["score"]) for r in sorted([r for r in got if r["q_id"] == 0], key=lambda r: r["rank"])]
+    rej = {(r["kind"], r["key"]) for r in rt.tenant_rejects(qs, dt.join(idx.docs, "pos"), doc_col="id").collect()}
+    assert ("question", "3") in rej and len([k for k in rej if k[0] == "document"]) == 1
