@@ -138,3 +138,22 @@ def test_registry_repromote_and_unknown(spark):
     state = {r["version"]: r["stage"] for r in reg.registry_state(regs, promos).collect()}
     assert state == {1: "Production", 2: "Archived"}      # unknown version 9 is ignored
     assert [r["version"] for r in reg.unknown_promotions(regs, promos).collect()] == [9]
+
+
+def test_slice_gate_all_slices_must_pass(spark):
+    rows = spark.createDataFrame(
+        [("m", "a", True, True, 0.5, 2), ("m", "a", True, False, 0.4, 2), ("m", "b", True, True, 0.3, 2),
+         ("m", "b", True, True, 0.3, 4), ("m", "b", True, True, 0.3, 4),
+         ("n", "a", True, True, 0.9, 2), ("n", "b", False, True, 0.9, 2)],
+        "model string, tenant string, hit boolean, correct boolean, top_score double, cost int")
+    got = {(r["model"], r["tenant"]): r for r in
+           ev.slice_gate(rows, "tenant", key=["model"], max_p95_cost=3.0).collect()}
+    assert got[("m", "a")]["slice_ok"] and got[("m", "a")]["p95_cost"] == 2.0
+    # cost [2, 4, 4]: linear-interpolated 95th percentile is 4.0, above the ceiling
+    assert not got[("m", "b")]["slice_ok"] and got[("m", "b")]["reason"] == "p95 cost 4.0 above ceiling 3.0"
+    assert got[("n", "b")]["reason"] == "recall 0.0 below floor 0.75"
+    assert {k: r["promote"] for k, r in got.items()} == {
+        ("m", "a"): False, ("m", "b"): False, ("n", "a"): False, ("n", "b"): False}
+    loose = {r["tenant"]: r["promote"] for r in
+             ev.slice_gate(rows.where("model = 'm'"), "tenant", max_p95_cost=4.0).collect()}
+    assert loose == {"a": True, "b": True}                  # one global decision, all slices pass
