@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import QaConfig
 from ..functions.text import grading_terms, keyword_overlap, py_strip, sentences
-from .retrieval import TfidfIndex, tfidf_topk
+from .retrieval import TfidfIndex, query_term_rows, tfidf_topk
 
 # The reference's offline rewrite rules (keyword -> expansion), in order.
 REWRITE_RULES = [
@@ -173,7 +173,12 @@ def answer_questions(questions: DataFrame, index: TfidfIndex, docs_text: DataFra
     if config.max_rewrites > 0:
         need = p0.where(~F.col("ok0")).select("q_id", "question",
                                               rewrite(F.col("question")).alias("query1"))
-        top1 = tfidf_topk(need.select("q_id", F.col("query1").alias("question")), index, k, pad=True)
+        # size bound from the rewrites of *all* questions (a question-only job):
+        # counting ``need`` itself would run pass 0 an extra time
+        bound1 = query_term_rows(qs.select("q_id", rewrite(F.col("question")).alias("question")),
+                                 index.stop_words)
+        top1 = tfidf_topk(need.select("q_id", F.col("query1").alias("question")), index, k, pad=True,
+                          query_terms=bound1)
         p1 = gather_pass(top1, docs_text, need.select("q_id", "question")).join(
             need.select("q_id", "query1"), "q_id")
         p1 = p1.select("q_id", "query1", F.col("docs").alias("docs1"),

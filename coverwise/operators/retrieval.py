@@ -184,23 +184,34 @@ def rank_top_k(scored: DataFrame, k: int, score_col: str = "score_raw",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def query_term_rows(questions: DataFrame, stop_words: list[str] | None = None,
+                    q_col: str = "q_id", text_col: str = "question") -> int:
+    """Number of (question, term) rows of a question table: the size that
+    decides whether question vectors are broadcast. One job over the questions."""
+    return term_frequencies(questions.select(F.col(q_col).alias("q_id"), F.col(text_col).alias("_t")),
+                            ["q_id"], F.col("_t"), stop_words).count()
+
+
 def tfidf_topk(questions: DataFrame, index: TfidfIndex, k: int, pad: bool = True,
                q_col: str = "q_id", text_col: str = "question",
-               allowed_docs: DataFrame | None = None) -> DataFrame:
+               allowed_docs: DataFrame | None = None,
+               query_terms: int | None = None) -> DataFrame:
     """Cosine top-k for every question at once.
 
     Returns (q_id, rank, id, pos, score). With ``pad`` every question gets
     min(k, N) rows. ``allowed_docs`` (a DataFrame with an ``id`` column)
     restricts the candidates *before* ranking; idf stays that of the full index.
     Document ids are joined back only to the k winners per question.
+    ``query_terms`` is an upper bound on the questions' term rows when the
+    caller knows one (say, from a superset of the questions); otherwise they
+    are counted here.
     """
-    q_terms = term_frequencies(questions.select(F.col(q_col).alias("q_id"),
-                                                F.col(text_col).alias("_t")),
-                               ["q_id"], F.col("_t"), index.stop_words)
-    # one count bounds both question-side joins: question vectors have at most
+    # one number bounds both question-side joins: question vectors have at most
     # as many rows as question terms. Small: broadcast them to the scans of the
     # vocabulary and of tf (tf is never shuffled). Large: shuffle joins on term.
-    small = q_terms.count() <= MAX_BROADCAST_QUERY_TERMS
+    if query_terms is None:
+        query_terms = query_term_rows(questions, index.stop_words, q_col, text_col)
+    small = query_terms <= MAX_BROADCAST_QUERY_TERMS
     qv = query_vectors(questions, index, q_col, text_col, broadcast=small)
     tf = index.tf
     docs = index.docs
@@ -232,7 +243,7 @@ def _rank_contributions(contrib: DataFrame, index: TfidfIndex, docs: DataFrame,
 
 def tenant_topk(questions: DataFrame, index: TfidfIndex, doc_tenants: DataFrame, k: int,
                 pad: bool = True, q_col: str = "q_id", text_col: str = "question",
-                tenant_col: str = "tenant") -> DataFrame:
+                tenant_col: str = "tenant", query_terms: int | None = None) -> DataFrame:
     """Cosine top-k where every question searches only its own tenant's documents.
 
     ``questions`` carries (q_id, question, tenant) and ``doc_tenants`` (pos,
@@ -243,13 +254,14 @@ def tenant_topk(questions: DataFrame, index: TfidfIndex, doc_tenants: DataFrame,
     Rows without a tenant on either side never match; report them with
     ``tenant_rejects``. idf stays that of the shared index, as with any
     filter applied before ranking (R8). Returns (q_id, tenant, rank, id, pos, score).
+    ``query_terms`` bounds the question term rows as in ``tfidf_topk``.
     """
     qs = questions.select(F.col(q_col).alias("q_id"), F.col(text_col).alias("question"),
                           F.col(tenant_col).alias("tenant")).where(F.col("tenant").isNotNull())
     dt = doc_tenants.select("pos", F.col(tenant_col).alias("tenant")).where(F.col("tenant").isNotNull())
-    q_terms = term_frequencies(qs.select("q_id", F.col("question").alias("_t")), ["q_id"],
-                               F.col("_t"), index.stop_words)
-    small = q_terms.count() <= MAX_BROADCAST_QUERY_TERMS
+    if query_terms is None:
+        query_terms = query_term_rows(qs, index.stop_words)
+    small = query_terms <= MAX_BROADCAST_QUERY_TERMS
     qv = query_vectors(qs, index, broadcast=small).join(qs.select("q_id", "tenant"), "q_id")
     postings = index.tf.join(dt, "pos")
     contrib = (F.broadcast(qv) if small else qv).join(postings, ["term", "tenant"]).select(

@@ -93,7 +93,9 @@ WHERE rank <= {k}""", f"{prefix}_scores")
 # -- Spark side helpers --------------------------------------------------------------------
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ad.questions(tables.benchmark(spark, sf_dir))
+    # per-question text work (answers, grading) is CPU-bound: a question table
+    # read as a single split is spread over the cores (no-op when it is not)
+    return ad.spread(ad.questions(tables.benchmark(spark, sf_dir)))
 
 
 class Ctx:
