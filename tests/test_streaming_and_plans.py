@@ -42,7 +42,8 @@ def _plan(df) -> str:
 
 def test_no_cartesian_or_python_in_ranking_and_qa(spark):
     qs = load_all()
-    for name in ("tfidf_topk_padded", "qa_end_to_end", "config_sweep", "psi_weekly"):
+    for name in ("tfidf_topk_padded", "qa_end_to_end", "config_sweep", "psi_weekly",
+                 "federated_topk", "tenant_topk", "slice_gate", "eval_relevance_pairs"):
         p = _plan(qs[name].fn(spark, SF001))
         for bad in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
             assert bad not in p, (name, bad)
@@ -55,6 +56,16 @@ def test_topk_uses_partial_window_group_limit(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
+def test_ranking_never_shuffles_term_frequencies(spark):
+    # the index is fitted before ranking; small question sides are broadcast to
+    # the tf scan, so no exchange partitions anything by term alone
+    qs = load_all()
+    for name in ("tfidf_topk_padded", "tenant_topk", "federated_topk"):
+        p = _plan(qs[name].fn(spark, SF001))
+        assert "BroadcastHashJoin" in p, name
+        assert "hashpartitioning(term" not in p, name
+
+
 def test_silver_dedupe_limits_before_shuffle(spark):
     p = _plan(load_all()["silver_benefit_policy"].fn(spark, SF001))
     assert "WindowGroupLimit" in p
