@@ -216,3 +216,29 @@ def scd2_history(versions: DataFrame, key: str = "id", valid_from: str = "update
     return (versions.withColumn("valid_from", F.col(valid_from))
             .withColumn("valid_to", F.lead(F.col(valid_from)).over(w))
             .withColumn("is_current", F.col("valid_to").isNull()))
+
+
+def member_facts(events: DataFrame, member_col: str = "member_id_hash", type_col: str = "event_type",
+                 ts_col: str = "ingested_at") -> DataFrame:
+    """Per hashed member: event count, distinct event types, first and last event time.
+
+    Partial aggregation per member; distinct types are counted with a second
+    partial aggregation over (member, type), never with an in-memory set per member.
+    """
+    per_type = events.groupBy(member_col, type_col).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(ts_col).alias("_first"), F.max(ts_col).alias("_last"))
+    return per_type.groupBy(member_col).agg(
+        F.sum("_n").alias("n_events"), F.count(F.lit(1)).alias("n_event_types"),
+        F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"))
+
+
+def lookup_member_facts(requests: DataFrame, facts: DataFrame,
+                        member_col: str = "member_id_hash") -> DataFrame:
+    """Attach each request's member facts by the hashed member id (an equi-join).
+
+    The facts side is one row per member and already partitioned by the hash
+    after its aggregation; a member holding a third of all requests is a skewed
+    key on the request side only, which AQE's skew join splits. Requests with no
+    facts keep NULL facts (left join).
+    """
+    return requests.join(facts, member_col, "left")

@@ -102,6 +102,20 @@ def q_bronze_member_events(spark, sf_dir):
                     F.variant_get("payload", "$.k", "int").alias("payload_k"), "ingested_at")
 
 
+@query("member_fact_lookup", statement("""
+SELECT e.event_id, e.member_id_hash, f.n_events, f.n_event_types, f.first_seen, f.last_seen
+FROM raw_member_events e
+LEFT JOIN (SELECT member_id_hash, count(*) AS n_events, count(DISTINCT event_type) AS n_event_types,
+                  min(ingested_at) AS first_seen, max(ingested_at) AS last_seen
+           FROM raw_member_events GROUP BY member_id_hash) f USING (member_id_hash)""",
+    "raw_member_events"), ops=("C7",))
+def q_member_fact_lookup(spark, sf_dir):
+    e = ad.bronze_events(spark, sf_dir)
+    facts = med.member_facts(e)
+    return med.lookup_member_facts(e.select("event_id", "member_id_hash"), facts).select(
+        "event_id", "member_id_hash", "n_events", "n_event_types", "first_seen", "last_seen")
+
+
 @query("bronze_from_json", """
 SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS source_id, 'portfolio_json' AS source_system,
        'batch_001' AS ingest_batch_id, substring(text, 1, 60) AS raw_title, lang AS raw_category,

@@ -93,3 +93,19 @@ def test_ambiguous_synonym(spark):
     m.synonyms["COST"] = "coinsurance_pct"
     with pytest.raises(ValueError):
         m.resolve("cost")
+
+
+def test_member_fact_lookup_with_a_hot_member(spark):
+    from datetime import datetime
+    from coverwise.operators import medallion as med
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [(f"e{i}", "hot", "view" if i % 2 else "click", t(i)) for i in range(9)] + \
+           [("x1", "cold", "signup", t(30))]
+    ev = spark.createDataFrame(rows, "event_id string, member_id_hash string, event_type string, "
+                                     "ingested_at timestamp_ntz")
+    facts = {r["member_id_hash"]: r for r in med.member_facts(ev).collect()}
+    assert (facts["hot"]["n_events"], facts["hot"]["n_event_types"]) == (9, 2)
+    assert (facts["hot"]["first_seen"], facts["hot"]["last_seen"]) == (t(0), t(8))
+    req = spark.createDataFrame([("r1", "hot"), ("r2", "nobody")], "req string, member_id_hash string")
+    got = {r["req"]: r["n_events"] for r in med.lookup_member_facts(req, med.member_facts(ev)).collect()}
+    assert got == {"r1": 9, "r2": None}
