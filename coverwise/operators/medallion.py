@@ -242,3 +242,19 @@ def lookup_member_facts(requests: DataFrame, facts: DataFrame,
     facts keep NULL facts (left join).
     """
     return requests.join(facts, member_col, "left")
+
+
+def version_in_effect(requests: DataFrame, history: DataFrame, key: str, at: str,
+                      valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:
+    """For each request (key, time), the version of that key in effect then.
+
+    Range join on the key: ``valid_from <= at < coalesce(valid_to, +inf)``.
+    The equality on ``key`` makes it a sort-merge (or, for a small history, a
+    broadcast) join with the range as a join condition, so each request only
+    meets the versions of its own key -- never a band join over all versions.
+    Requests before the first version keep NULL version columns (left join).
+    """
+    h = history.withColumnRenamed(key, "_hkey")
+    cond = ((requests[key] == h["_hkey"]) & (h[valid_from] <= requests[at])
+            & (h[valid_to].isNull() | (requests[at] < h[valid_to])))
+    return requests.join(h, cond, "left").drop("_hkey")

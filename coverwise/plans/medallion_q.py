@@ -381,18 +381,39 @@ def q_gold_merge(spark, sf_dir):
     return merged.select("id", "change", "is_active", "updated_at")
 
 
-@query("gold_scd2", statement("""
+cte("gold_hist", """
 SELECT id, valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) AS valid_to,
        lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) IS NULL AS is_current, lineage_sk
 FROM (SELECT id, updated_at AS valid_from, lineage_sk FROM gold_prev
       UNION
-      SELECT id, updated_at AS valid_from, lineage_sk FROM gold)""", "gold_prev", "gold"), ops=("C1",))
-def q_gold_scd2(spark, sf_dir):
+      SELECT id, updated_at AS valid_from, lineage_sk FROM gold)""", "gold_prev", "gold")
+
+
+def _gold_history(spark, sf_dir):
     versions = (_gold_at(spark, sf_dir, LOAD_CUTOFF).select("id", "updated_at", "lineage_sk")
                 .union(_gold_at(spark, sf_dir, None).select("id", "updated_at", "lineage_sk")).distinct())
     return med.scd2_history(versions).select("id", "valid_from", "valid_to", "is_current", "lineage_sk")
 
 
+@query("gold_scd2", statement("SELECT * FROM gold_hist", "gold_hist"), ops=("C1",))
+def q_gold_scd2(spark, sf_dir):
+    return _gold_history(spark, sf_dir)
+
+
+@query("version_in_effect", statement("""
+SELECT r.source_id, r.ingested_at, h.valid_from, h.lineage_sk
+FROM raw_policy_feed r
+LEFT JOIN gold_hist h ON h.id = r.source_id AND h.valid_from <= r.ingested_at
+                     AND (h.valid_to IS NULL OR r.ingested_at < h.valid_to)""",
+    "raw_policy_feed", "gold_hist"), ops=("C2",))
+def q_version_in_effect(spark, sf_dir):
+    # every landed row, with the gold version of its policy in effect when it landed
+    requests = bronze(spark, sf_dir).select("source_id", "ingested_at")
+    hist = _gold_history(spark, sf_dir).select("id", "valid_from", "valid_to", "lineage_sk")
+    out = med.version_in_effect(requests.withColumnRenamed("source_id", "id"), hist, "id", "ingested_at")
+    return out.select(F.col("id").alias("source_id"), "ingested_at", "valid_from", "lineage_sk")
+
+
 # -- JSON document source (S1, S2) -----------------------------------------------------------
 
 @query("kb_category_counts", """

@@ -109,3 +109,19 @@ def test_member_fact_lookup_with_a_hot_member(spark):
     req = spark.createDataFrame([("r1", "hot"), ("r2", "nobody")], "req string, member_id_hash string")
     got = {r["req"]: r["n_events"] for r in med.lookup_member_facts(req, med.member_facts(ev)).collect()}
     assert got == {"r1": 9, "r2": None}
+
+
+def test_version_in_effect_is_a_keyed_range_join(spark):
+    from datetime import datetime
+    from coverwise.operators import medallion as med
+    d = lambda day: datetime(2024, 1, day)
+    hist = spark.createDataFrame([("p1", d(1), d(5), "v1"), ("p1", d(5), None, "v2"), ("p2", d(3), None, "w1")],
+                                 "id string, valid_from timestamp_ntz, valid_to timestamp_ntz, ver string")
+    req = spark.createDataFrame([("p1", d(1)), ("p1", d(4)), ("p1", d(5)), ("p1", d(9)), ("p2", d(2)),
+                                 ("p3", d(4))], "id string, at timestamp_ntz")
+    out = med.version_in_effect(req, hist, "id", "at")
+    got = sorted((r["id"], r["at"].day, r["ver"]) for r in out.collect())
+    assert got == [("p1", 1, "v1"), ("p1", 4, "v1"), ("p1", 5, "v2"), ("p1", 9, "v2"),
+                   ("p2", 2, None), ("p3", 4, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
