@@ -259,10 +259,23 @@ def q_registry_latest(spark, sf_dir):
     return reg.latest(reg.registry_state(regs, promos))
 
 
-@query("run_log", None, ops=("S9",))
+@query("run_log", statement("""
+SELECT 'trial-' || CAST(config_id AS VARCHAR) AS run_name,
+       CAST(top_k AS VARCHAR) AS p_top_k,
+       CAST(CAST(relevance_threshold AS DOUBLE) AS VARCHAR) AS p_relevance_threshold,
+       CAST(max_rewrites AS VARCHAR) AS p_max_rewrites,
+       CAST(max_regenerations AS VARCHAR) AS p_max_regenerations,
+       CAST(CAST(min_keyword_overlap AS DOUBLE) AS VARCHAR) AS p_min_keyword_overlap,
+       prompt_version AS p_prompt_version,
+       recall_at_k AS m_recall_at_k, answer_accuracy AS m_answer_accuracy, composite AS m_composite,
+       CAST(n AS DOUBLE) AS m_n, avg_top_score AS m_avg_top_score
+FROM sweep""", "sweep"), ops=("S9",))
 def q_run_log(spark, sf_dir):
     import uuid
     path = scratch_path(spark, "runs", uuid.uuid4().hex)
     sinks.append_runs(sweep_results(Ctx(spark, sf_dir)), path)
-    return sinks.read_runs(spark, path).select(
-        "run_name", F.to_json("params").alias("params"), F.to_json("metrics").alias("metrics"))
+    runs = sinks.read_runs(spark, path)
+    # every logged parameter and metric read back from the JSON-lines log
+    return runs.select("run_name",
+                       *[F.col("params")[c].alias(f"p_{c}") for c in sinks.PARAM_COLS],
+                       *[F.col("metrics")[c].alias(f"m_{c}") for c in sinks.METRIC_COLS])

@@ -199,7 +199,25 @@ def q_qa_end_to_end(spark, sf_dir):
     return answers(Ctx(spark, sf_dir), DEFAULT).select(*QA_COLS)
 
 
-@query("qa_trace", None, ops=("K10",))
+@query("qa_trace", statement("""
+SELECT q_id, CAST(3 * r AS INTEGER) AS seq, 'retrieve' AS step, CAST(r AS INTEGER) AS round,
+       CASE WHEN r = 0 THEN question ELSE final_query END AS detail
+FROM (SELECT *, unnest(range(0, rewrite_count + 1)) AS r FROM qas_qa)
+UNION ALL
+SELECT q_id, CAST(3 * r + 1 AS INTEGER), 'grade_retrieval', CAST(r AS INTEGER),
+       CASE WHEN r = rewrite_count THEN CAST(retrieval_ok AS VARCHAR) ELSE 'false' END
+FROM (SELECT *, unnest(range(0, rewrite_count + 1)) AS r FROM qas_qa)
+UNION ALL
+SELECT q_id, CAST(3 * r + 2 AS INTEGER), 'rewrite_query', CAST(r AS INTEGER), final_query
+FROM (SELECT *, unnest(range(0, rewrite_count)) AS r FROM qas_qa)
+UNION ALL
+SELECT q_id, CAST(3 * rewrite_count + 2 * g AS INTEGER), 'generate', CAST(g AS INTEGER),
+       CAST(length(answer) AS VARCHAR)
+FROM (SELECT *, unnest(range(1, n_generations + 1)) AS g FROM qas_qa)
+UNION ALL
+SELECT q_id, CAST(3 * rewrite_count + 2 * g + 1 AS INTEGER), 'grade_answer', CAST(g AS INTEGER),
+       CAST(answer_ok AS VARCHAR)
+FROM (SELECT *, unnest(range(1, n_generations + 1)) AS g FROM qas_qa)""", "qas_qa"), ops=("K10",))
 def q_qa_trace(spark, sf_dir):
     a = answers(Ctx(spark, sf_dir), STRICT)
     t = qa.qa_trace(a, STRICT)
