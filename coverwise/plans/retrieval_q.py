@@ -99,18 +99,19 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Ctx:
-    """Per-query inputs, each built once: the active corpus (hash-partitioned by
-    position and checkpointed, since ranking, padding, N and answer text all
-    read it), the TF-IDF index over it, and the questions."""
+    """Per-query inputs, each built once: the active corpus (written once to the
+    checkpoint folder, since ranking, padding, N and answer text all read it),
+    the TF-IDF index over it, and the questions."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @cached_property
     def corpus(self) -> DataFrame:
-        n = max(self.spark.sparkContext.defaultParallelism,
-                int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return materialize(corpus(self.spark, self.sf_dir).repartition(n, "pos"), "corpus")
+        # written once, as it leaves the dedupe shuffle (already spread over
+        # the cores); a parquet table keeps no partitioning, so a repartition
+        # by position first would only add a second shuffle of all the text
+        return materialize(corpus(self.spark, self.sf_dir), "corpus")
 
     @cached_property
     def index(self) -> rt.TfidfIndex:
@@ -131,10 +132,9 @@ class Ctx:
 
     @cached_property
     def page_corpus(self) -> DataFrame:
-        n = max(self.spark.sparkContext.defaultParallelism,
-                int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        pages = ad.page_corpus(tables.pages(self.spark, self.sf_dir))
-        return materialize(pages.repartition(n, "pos"), "page_corpus")
+        # pages are read without a shuffle: spread only when under-parallelised
+        pages = ad.page_corpus(ad.spread(tables.pages(self.spark, self.sf_dir)))
+        return materialize(pages, "page_corpus")
 
     @cached_property
     def page_index(self) -> rt.TfidfIndex:
