@@ -125,3 +125,21 @@ def test_version_in_effect_is_a_keyed_range_join(spark):
                    ("p2", 2, None), ("p3", 4, None)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_latest_wins_with_a_hot_key_holding_a_third_of_rows(spark):
+    # 300 landings, 100 of them copies of one file (same hash): one survivor each
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    rows = []
+    for i in range(300):
+        hot = i % 3 == 0
+        rows.append((f"doc-{i}", "s", f"batch_{i % 7}", t0 + timedelta(seconds=i), "t", " en ",
+                     "body", "HOT" if hot else f"h{i}"))
+    b = spark.createDataFrame(rows, "source_id string, source_system string, ingest_batch_id string, "
+                                    "ingested_at timestamp_ntz, raw_title string, raw_category string, "
+                                    "raw_body string, file_hash string").repartition(8)
+    s = med.silver_benefit_policy(b).collect()
+    assert len(s) == 201                                     # 200 cold keys + 1 hot key
+    hot = [r for r in s if r["policy_id"] in {f"doc-{i}" for i in range(0, 300, 3)}]
+    assert [r["policy_id"] for r in hot] == ["doc-297"]      # the newest landing of the hot file wins
