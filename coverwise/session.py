@@ -34,7 +34,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -43,11 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is always used as
-    is. Only when it is unset (a bare local test session) do we pick a scratch
-    folder ourselves.
+    is; a cluster session without it is an error, because a machine-local
+    folder would scatter the written tables over the executors. Only a local
+    session (tests, bench) may leave it unset: then we pick a scratch folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               f"executors share (master is {master!r})")
         path = tempfile.mkdtemp(prefix="coverwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
