@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, sharding, substring_dedup
+from . import decontamination, packing, quality, sharding, substring_dedup, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -26,9 +40,15 @@ def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents", "doc_id", "text"), 40)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write_warc(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_warc(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op8_sentence_spans, op9_slot_sharding)}
+    return {f.__name__: f for f in (op2_decontamination, op6_sum_of_squares_packing, op7_quality_rules,
+                                       op8_sentence_spans, op9_slot_sharding, op10_warc)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE}
+    return {"op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE, "op10_warc": warc.ORACLE}

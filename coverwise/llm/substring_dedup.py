@@ -101,9 +101,9 @@ ORACLE = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^.!?\n]+[.!?\n]*|^[.!?\n]+'), []) AS s FROM documents
 ), keyed AS (
-  SELECT doc_id, s, list_transform(s, x -> lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS k FROM cut
+  SELECT doc_id, s, list_transform(s, lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS k FROM cut
 ), counted AS (
-  SELECT doc_id, s, k, list_transform(k, x -> CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END) AS c
+  SELECT doc_id, s, k, list_transform(k, lambda x: CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END) AS c
   FROM keyed
 ), runs AS (
   SELECT doc_id, i AS pos, 2 AS n, k[i] || chr(1) || k[i + 1] AS run
@@ -120,6 +120,6 @@ WITH cut AS (
 )
 SELECT c.doc_id, len(s)::BIGINT AS n_sentences, coalesce(n_removed, 0) AS n_removed,
        coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(array_to_string(list_filter(s, (x, i) -> NOT list_contains(coalesce(removed, []), i)), '')) AS kept_sha256
+       sha256(array_to_string(list_filter(s, lambda x, i: NOT list_contains(coalesce(removed, []), i)), '')) AS kept_sha256
 FROM cut c LEFT JOIN per USING (doc_id)
 """
