@@ -75,22 +75,24 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Name -> vote, over the columns of :func:`counts`. A ratio of an empty text abstains."""
+    """Name -> vote, over the columns of :func:`counts`. Most rules know one kind of junk and
+    abstain on everything else; only "prose" can speak for a text. A ratio of an empty text abstains."""
     n = F.col("n_words")
     per = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    never = F.lit(False)
     mean = per("word_chars", "n_words")
     symbols, dup = per("n_symbols", "n_words"), per("n_dup_lines", "n_lines")
     repeat, letters = per("n_repeat_words", "n_words"), per("n_letters", "word_chars")
     distinct, marks = per("n_distinct", "n_words"), per("n_marks", "n_words")
     return {
-        "length": _vote(n < MIN_WORDS, n >= 50),
-        "word_length": _vote((mean < 2) | (mean > 15), mean.between(3, 10)),
-        "symbols": _vote(symbols > 0.1, symbols <= 0.02),
-        "dup_lines": _vote(dup > 0.3, dup <= 0.05),
-        "repeats": _vote(repeat > 0.2, repeat <= 0.05),
-        "letters": _vote(letters < 0.7, letters >= 0.85),
-        "vocabulary": _vote((n >= MIN_WORDS) & (distinct < 0.1), (n <= 2000) & (distinct >= 0.3)),
-        "marks": _vote((n >= 50) & (marks < 0.005), marks.between(0.02, 0.5)),
+        "length": _vote(n < MIN_WORDS, never),
+        "word_length": _vote((mean < 2) | (mean > 15), never),
+        "symbols": _vote(symbols > 0.1, never),
+        "dup_lines": _vote(dup > 0.3, never),
+        "repeats": _vote(repeat > 0.25, never),
+        "letters": _vote(letters < 0.7, never),
+        "vocabulary": _vote((n >= 50) & (distinct < 0.1), never),
+        "prose": _vote((n >= 50) & (marks < 0.005), (symbols <= 0.02) & (letters >= 0.85) & marks.between(0.01, 0.5)),
     }
 
 
