@@ -15,11 +15,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Distinct pieces remembered between batches by one Python worker.
-REMEMBER = 600_000
+REMEMBER = 1_200_000
 #: Pieces that go through the tokenizer as one text.
 JOIN = 500
 #: Bytes of text handled at a time.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A]] = True
