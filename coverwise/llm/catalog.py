@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, sharding, substring_dedup, warc
+from . import decontamination, language_id, packing, quality, sharding, substring_dedup, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected", "entropy")
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -46,7 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op6_sum_of_squares_packing, op7_quality_rules,
+    return {f.__name__: f for f in (op2_decontamination, op4_kneser_ney_language, op6_sum_of_squares_packing, op7_quality_rules,
                                        op8_sentence_spans, op9_slot_sharding, op10_warc)}
 
 
