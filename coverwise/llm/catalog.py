@@ -6,12 +6,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality, sharding, substring_dedup, warc
+from . import decontamination, language_id, ngram_join, packing, quality, sharding, substring_dedup, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents", "doc_id", "text"),
                                       read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -51,9 +55,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op4_kneser_ney_language, op6_sum_of_squares_packing, op7_quality_rules,
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op4_kneser_ney_language, op6_sum_of_squares_packing, op7_quality_rules,
                                        op8_sentence_spans, op9_slot_sharding, op10_warc)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE, "op10_warc": warc.ORACLE}
