@@ -12,8 +12,8 @@ without listing the links inside a group of copies.
    travel as packed blocks, summed per block of documents first, so a shingle that
    every document has costs one posting per block.
 2. Equal sets collapse to the smallest id.
-3. What is left is ordered anew: shingles whose hash bucket is crowded come last
-   (one byte per bucket, a fixed-size table). Sets sharing a shingle of the
+3. What is left is ordered anew, by the number of sets that have a shingle (then hash):
+   passages that many documents share come last. Sets sharing a shingle of the
    (n - ceil(0.85 n) + 1)-prefix under this order are candidates; components of candidates
    are the units of work.
 4. Within a unit the ordered sets go into a prefix tree. Each set walks the tree; a step
@@ -49,8 +49,6 @@ WIDTH = 4
 PERCENT = 85
 #: Shingles of one unit of work, or of one chunk of a larger unit.
 UNIT_TOKENS = 2_000_000
-#: Buckets (bits) of the crowding table; it has one byte per bucket.
-CROWD_BITS = 18
 BLOCK = 2 << 20
 
 
@@ -172,40 +170,97 @@ def _as_sets(width: int):
 
 # ---------------------------------------------------------------- 3. candidates
 
-def _crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << CROWD_BITS, np.int64)
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            total += np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(64 - CROWD_BITS)).astype(np.int64), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
-
+def _by_part(parts: int):
+    """(doc_id, hashes) -> (part, h, ids): all shingles of a block of sets, by part."""
+    shift = np.uint64(64 - parts.bit_length() + 1)
 
-def crowding(sets: DataFrame) -> np.ndarray:
-    """One byte per bucket: the logarithm of how much more often its shingles occur than the mean."""
-    counts = np.zeros(1 << CROWD_BITS, np.float64)
-    summed = sets.select("hashes").mapInArrow(_crowd, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in summed.toLocalIterator():  # at most 2 ** CROWD_BITS rows
-        counts[r["bucket"]] = r["n"]
-    mean = max(counts.mean(), 1.0)
-    return np.maximum(np.log2(np.maximum(counts, 1) / mean), 0).astype(np.uint8)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = np.asarray(batch.column(0)), batch.column(1)
+            for lo, hi in blocks(sets, 4 * BLOCK):
+                each = [np.frombuffer(x, np.uint64) for x in sets.slice(lo, hi - lo).to_pylist()]
+                h = np.concatenate(each)
+                who = np.repeat(ids[lo:hi], [len(x) for x in each])
+                order = np.argsort(h)
+                h, who = h[order], who[order]
+                edges = np.searchsorted((h >> shift).astype(np.int64) if parts > 1 else np.zeros(len(h), np.int64), np.arange(parts + 1))
+                cut = [(p, x, y) for p, x, y in zip(range(parts), edges[:-1], edges[1:]) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cut], pa.int32()), _binary([h[x:y].tobytes() for _, x, y in cut]),
+                                                  _binary([who[x:y].astype(np.int64).tobytes() for _, x, y in cut])], names=["part", "h", "ids"])
+    return spread
 
 
-def _prefixes(shared, percent: int):
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by part -> (doc_id, h, times): per set, its shingles of the part and how many sets have each."""
+    def count(held):
+        h, who = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        order = np.argsort(h)
+        h, who = h[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(first, len(h)))
+        times = np.repeat(times, times).astype(np.int32)
+        order = np.argsort(who, kind="stable")
+        h, who, times = h[order], who[order], times[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])), len(who))
+        for k in range(0, len(edges) - 1, 20_000):
+            cut = list(zip(edges[k:k + 20_000], edges[k + 1:k + 20_001]))
+            yield pa.RecordBatch.from_arrays([pa.array(who[[x for x, _ in cut]]), _binary([h[x:y].tobytes() for x, y in cut]),
+                                              _binary([times[x:y].tobytes() for x, y in cut])], names=["doc_id", "h", "times"])
+
+    part, held = None, []
+    for batch in batches:
+        for p, h, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part and held:
+                yield from count(held)
+                held = []
+            part = p
+            held.append((np.frombuffer(h, np.uint64), np.frombuffer(ids, np.int64)))
+    if held:
+        yield from count(held)
+
+
+def _prefixes(percent: int):
+    """Rows sorted by doc_id (doc_id, h, times) -> (h, doc_id): the prefix of each set, rarest shingle first. A shingle
+    that no other set has is left out: it leads to nobody."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowd = shared.value
+        keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
+            del keys[1:], ids[1:]
+            return out
+
+        def take(doc, parts):
+            h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in parts])
+            times = np.concatenate([np.frombuffer(x, np.int32) for _, x in parts])
+            order = np.lexsort((h, times))[:len(h) - least_overlap(len(h), percent) + 1]
+            order = order[times[order] > 1]
+            keys.append(h[order].view(np.int64))
+            ids.append(np.full(len(order), doc, np.int64))
+
+        doc, parts = None, []
         for batch in batches:
-            keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.frombuffer(x, np.uint64)
-                level = crowd[(s >> np.uint64(64 - CROWD_BITS)).astype(np.int64)]
-                k = len(s) - least_overlap(len(s), percent) + 1
-                keys.append(s[np.argsort(level, kind="stable")[:k]].view(np.int64))
-                ids.append(np.full(k, i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
+            for d, *r in zip(*(c.to_pylist() for c in batch.columns)):
+                if d != doc and parts:
+                    take(doc, parts)
+                    parts = []
+                doc = d
+                parts.append(r)
+            yield flush()
+        if parts:
+            take(doc, parts)
+        yield flush()
     return emit
 
 
+def prefixes(sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """(h, doc_id): the prefixes of all sets in the order of (number of sets that have the shingle, hash)."""
+    parts = 1 << (n - 1).bit_length()
+    counted = (sets.select("doc_id", "hashes").mapInArrow(_by_part(parts), "part int, h binary, ids binary")
+               .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_frequencies, "doc_id long, h binary, times binary"))
+    return (counted.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_prefixes(percent), "h long, doc_id long"))
+
+
 # ---------------------------------------------------------------- 4. prefix tree
 
 class Forest:
@@ -399,10 +454,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     member = save(sets.select("doc_id", "n", "f1", "f2").distinct().join(same, ["n", "f1", "f2"]).select("doc_id", "rep", "n", "f1", "f2"), "equal-sets")
     whole = save(sets.where("hashes is not null").join(member.where("doc_id = rep").select("doc_id", "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"])
-                 .select("doc_id", "n", "hashes").dropDuplicates(["doc_id", "n"]), "distinct-sets")
+                 .dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", "n", "hashes"), "distinct-sets")
     forget(sets)
-    crowd = spark.sparkContext.broadcast(crowding(whole))  # 2 ** CROWD_BITS bytes
-    heads = save(whole.select("doc_id", "hashes").mapInArrow(_prefixes(crowd, percent), "h long, doc_id long"), "prefixes")
+    heads = save(prefixes(whole, percent, n_tasks), "prefixes")
     stars = heads.groupBy("h").agg(F.min("doc_id").alias("b"), F.count("*").alias("times")).where("times > 1").drop("times")
     candidate = save(components(heads.join(stars, "h").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()), "candidates")
     unit = save(whole.join(candidate.select(F.col("node").alias("doc_id"), F.col("component").alias("unit")), "doc_id"), "units")
