@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 #: Distinct pieces remembered between batches by one Python worker.
 REMEMBER = 1_200_000
 #: Pieces that go through the tokenizer as one text.
-JOIN = 500
+JOIN = 200
 #: Bytes of text handled at a time.
 BLOCK = 8 << 20
 
@@ -70,7 +70,9 @@ class PieceTokenizer:
         """(number of ids of each piece, all ids) of pieces without the separator and without trailing space."""
         joined = [self.joint.join(pieces[i:i + JOIN]) for i in range(0, len(pieces), JOIN)]
         size, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        # a few at a time: their encodings are freed before the next are made
+        encoded = chain.from_iterable(self.tokenizer.encode_batch_fast(joined[k:k + 8], add_special_tokens=False) for k in range(0, len(joined), 8))
+        for i, e in enumerate(encoded):
             ids = np.array(e.ids, np.uint32)
             marks = np.flatnonzero(ids == self.mark)
             edges = np.concatenate([[-1], marks, [len(ids)]])
