@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, packing, quality, sharding, substring_dedup, warc
+from . import decontamination, language_id, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "rejected", "entropy")
 
 
+def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_substrings(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op4_kneser_ney_language, op6_sum_of_squares_packing, op7_quality_rules,
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op4_kneser_ney_language, op5_suffix_sort, op6_sum_of_squares_packing, op7_quality_rules,
                                        op8_sentence_spans, op9_slot_sharding, op10_warc)}
 
 
