@@ -48,7 +48,7 @@ from .tokens import blocks
 WIDTH = 4
 PERCENT = 85
 #: Shingles of one unit of work, or of one chunk of a larger unit.
-UNIT_TOKENS = 2_000_000
+UNIT_TOKENS = 500_000
 BLOCK = 2 << 20
 
 
@@ -190,8 +190,9 @@ def _by_part(parts: int):
     return spread
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by part -> (doc_id, h, times): per set, its shingles of the part and how many sets have each."""
+def _frequencies(parts: int):
+    """Blocks sorted by part -> (part, ids, h, times): all shingles of the part with the number of sets that have each, dealt
+    out anew by set."""
     def count(held):
         h, who = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
         order = np.argsort(h)
@@ -199,66 +200,61 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(first, len(h)))
         times = np.repeat(times, times).astype(np.int32)
-        order = np.argsort(who, kind="stable")
+        to = (mix(who.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
         h, who, times = h[order], who[order], times[order]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])), len(who))
-        for k in range(0, len(edges) - 1, 20_000):
-            cut = list(zip(edges[k:k + 20_000], edges[k + 1:k + 20_001]))
-            yield pa.RecordBatch.from_arrays([pa.array(who[[x for x, _ in cut]]), _binary([h[x:y].tobytes() for x, y in cut]),
-                                              _binary([times[x:y].tobytes() for x, y in cut])], names=["doc_id", "h", "times"])
-
-    part, held = None, []
-    for batch in batches:
-        for p, h, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            if p != part and held:
-                yield from count(held)
-                held = []
-            part = p
-            held.append((np.frombuffer(h, np.uint64), np.frombuffer(ids, np.int64)))
-    if held:
-        yield from count(held)
+        edges = np.searchsorted(to[order], np.arange(parts + 1))
+        cut = [(p, x, y) for p, x, y in zip(range(parts), edges[:-1], edges[1:]) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cut], pa.int32()), *(_binary([c[x:y].tobytes() for _, x, y in cut]) for c in (who, h, times))],
+                                          names=["part", "ids", "h", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for p, h, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part and held:
+                    yield count(held)
+                    held = []
+                part = p
+                held.append((np.frombuffer(h, np.uint64), np.frombuffer(ids, np.int64)))
+        if held:
+            yield count(held)
+    return run
 
 
 def _prefixes(percent: int):
-    """Rows sorted by doc_id (doc_id, h, times) -> (h, doc_id): the prefix of each set, rarest shingle first. A shingle
-    that no other set has is left out: it leads to nobody."""
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
-            del keys[1:], ids[1:]
-            return out
-
-        def take(doc, parts):
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in parts])
-            times = np.concatenate([np.frombuffer(x, np.int32) for _, x in parts])
-            order = np.lexsort((h, times))[:len(h) - least_overlap(len(h), percent) + 1]
-            order = order[times[order] > 1]
-            keys.append(h[order].view(np.int64))
-            ids.append(np.full(len(order), doc, np.int64))
-
-        doc, parts = None, []
+    """Blocks sorted by part -> (h, doc_id): the prefix of each set, rarest shingle first. A shingle that no other set
+    has is left out: it leads to nobody."""
+    def cut(held):
+        who, h, times = (np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in enumerate((np.int64, np.uint64, np.int32)))
+        order = np.lexsort((h, times, who))
+        who, h, times = who[order], h[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        n = np.diff(np.append(first, len(who)))
+        keep = n - -(-n * percent // 100) + 1
+        take = (np.arange(len(who)) - np.repeat(first, n) < np.repeat(keep, n)) & (times > 1)
+        return pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(who[take])], names=["h", "doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
         for batch in batches:
-            for d, *r in zip(*(c.to_pylist() for c in batch.columns)):
-                if d != doc and parts:
-                    take(doc, parts)
-                    parts = []
-                doc = d
-                parts.append(r)
-            yield flush()
-        if parts:
-            take(doc, parts)
-        yield flush()
-    return emit
+            for p, *r in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part and held:
+                    yield cut(held)
+                    held = []
+                part = p
+                held.append(r)
+        if held:
+            yield cut(held)
+    return run
 
 
 def prefixes(sets: DataFrame, percent: int, n: int) -> DataFrame:
     """(h, doc_id): the prefixes of all sets in the order of (number of sets that have the shingle, hash)."""
     parts = 1 << (n - 1).bit_length()
     counted = (sets.select("doc_id", "hashes").mapInArrow(_by_part(parts), "part int, h binary, ids binary")
-               .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_frequencies, "doc_id long, h binary, times binary"))
-    return (counted.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_prefixes(percent), "h long, doc_id long"))
+               .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_frequencies(parts), "part int, ids binary, h binary, times binary"))
+    return counted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_prefixes(percent), "h long, doc_id long")
 
 
 # ---------------------------------------------------------------- 4. prefix tree
