@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, warc
+from . import decontamination, language_id, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, token_files, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, folder, manifest).drop("ids")
+
+
 def op4_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
         "doc_id", "held_out", "lang_pred", "score", "rejected", "entropy")
@@ -58,9 +63,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op4_kneser_ney_language, op5_suffix_sort, op6_sum_of_squares_packing, op7_quality_rules,
-                                       op8_sentence_spans, op9_slot_sharding, op10_warc)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_token_files, op4_kneser_ney_language, op5_suffix_sort, op6_sum_of_squares_packing, op7_quality_rules,
+                                       op8_sentence_spans, op9_slot_sharding, op10_warc, pipeline)}
 
 
 def oracles() -> dict[str, str]:
