@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Role names and the mask token of the reference's governance script.
-ADMIN_ROLE = "ACCOUNTADMIN"
-AGENT_ROLE = "MEMBER_BENEFITS_ASSISTANT_AGENT_ROLE"
-ANALYST_ROLE = "MEMBER_BENEFITS_ASSISTANT_ANALYST_ROLE"
+# Roles are plain arguments; these are the names the queries use.
+ADMIN_ROLE = "admin"
+AGENT_ROLE = "agent"
+ANALYST_ROLE = "analyst"
 MASK_TOKEN = "***"
 
 

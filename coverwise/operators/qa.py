@@ -76,8 +76,8 @@ def grade_retrieval(top_score: Column, overlap: Column, threshold: Column | floa
 
 def context_of(docs: Column) -> Column:
     """``[title] text`` blocks in rank order, separated by blank lines."""
-    return F.array_join(F.transform(docs, lambda d: F.concat(F.lit("["), d["title"], F.lit("] "),
-                                                             d["text"])), "\n\n")
+    return F.array_join(F.transform(docs, lambda d: F.concat(F.lit("["), F.coalesce(d["title"], F.lit("")),
+                                                             F.lit("] "), F.coalesce(d["text"], F.lit("")))), "\n\n")
 
 
 def extractive_answer(question: Column, context: Column) -> Column:

@@ -91,7 +91,7 @@ def _w_raw(tf: Column, idf: Column) -> Column:
 
 def doc_text(title: Column, text: Column) -> Column:
     """Indexed text of a document: title, ". ", body."""
-    return F.concat(title, F.lit(". "), text)
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(text, F.lit("")))
 
 
 def term_frequencies(df: DataFrame, key_cols: list[str], text: Column,
@@ -305,10 +305,11 @@ def _vector_topk_fn(bc, k: int):
             dn = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
             sims = qn @ dn.T                       # (queries, docs in this batch)
             kk = min(k, sims.shape[1])
-            # partial top-k per query inside the batch; exact ties are kept by
-            # taking every doc scoring at least the k-th best, ranked later by position
-            kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1:kk]
-            qi, di = np.nonzero(sims >= kth)
+            # partial top-k per query inside the batch: exactly k, cut by the final ranking's
+            # own key (rounded score, then position), so near-ties cannot lose a row
+            pos = pdf["pos"].to_numpy()
+            di = np.concatenate([np.lexsort((pos, -row))[:kk] for row in np.round(sims, 9)])
+            qi = np.repeat(np.arange(len(sims)), kk)
             yield pd.DataFrame({
                 "q_id": query_ids[qi],
                 "id": pdf["id"].to_numpy()[di],
