@@ -50,7 +50,7 @@ MAX_NGRAMS = 200_000
 EVIDENCE = 200
 MIN_LETTERS = 40
 REJECT_SHARE = 0.001
-MARGIN = 0.5
+MARGIN = 1.0
 BLOCK = 2 << 20
 
 _letters: np.ndarray | None = None
