@@ -49,38 +49,62 @@ def severity(psi: Column) -> Column:
              .otherwise(F.lit("significant")))
 
 
+def _attach(left: DataFrame, right: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """Left join of per-group ``cols`` on ``by``, a NULL key being a group like any other.
+
+    Without ``by`` the right side is one row, attached as a scalar subquery.
+    """
+    if not by:
+        row = right.select(F.struct(*cols).alias("_s")).scalar()
+        return left.withColumn("_s", row).select("*", *[F.col(f"_s.{c}") for c in cols]).drop("_s")
+    r = right.select(*[F.col(c).alias(f"_by_{c}") for c in by], *cols)
+    cond = [left[c].eqNullSafe(r[f"_by_{c}"]) for c in by]
+    return left.join(r, cond, "left").drop(*[f"_by_{c}" for c in by])
+
+
 def exact_quantiles(df: DataFrame, value_col: str, by: list[str], fractions: list[float]) -> DataFrame:
     """(by..., n, q array<double>): exact linear-interpolated quantiles per group.
 
     For group size n and fraction f, position h = (n - 1) * f and the value is
     x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h) over the sorted group.
-    The data is sorted with range partitioning (a group larger than a partition
-    is split across several), a row's rank is its partition's offset plus its
-    position inside the partition (``monotonically_increasing_id`` after the
-    sort), and only 2 * len(fractions) ranks per group are looked up. The
-    sorted, ranked column is written once to the shared checkpoint folder so
-    the ranks are stable across the jobs that read them.
+    Rows are first counted per distinct (group, value), so a value held by any
+    share of the rows is one row from then on. The distinct values are range
+    sorted (a group larger than a partition is split across several) and
+    written once to the shared checkpoint folder; a value's rank range is its
+    partition's offset plus the running count inside the partition, and the
+    2 * len(fractions) ranks wanted per group are looked up in those ranges.
     """
     from ..session import materialize
     x = df.select(*by, F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    srt = x.orderBy(*by, "v").withColumn("_mid", F.monotonically_increasing_id())
-    srt = materialize(srt.select(*by, "v", F.shiftright(F.col("_mid"), 33).alias("_part"),
-                                 (F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("_local")),
+    srt = (x.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("_c")).orderBy(*by, "v")
+           .withColumn("_mid", F.monotonically_increasing_id()))
+    srt = materialize(srt.select(*by, "v", "_c", F.shiftright(F.col("_mid"), 33).alias("_part"), "_mid"),
                       "sorted")
     # one row per non-empty partition: its first global rank
-    parts = srt.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = parts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c"))
-                           .alias("_off"))
-    ranked = srt.join(offsets, "_part").select(*by, "v", (F.col("_off") + F.col("_local")).alias("_r"))
-    groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("_start"))
+    parts = srt.groupBy("_part").agg(F.sum("_c").alias("_pc"))
+    offsets = parts.select("_part", (F.sum("_pc").over(Window.orderBy("_part")) - F.col("_pc")).alias("_off"))
+    running = F.sum("_c").over(Window.partitionBy("_part").orderBy("_mid")
+                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = srt.withColumn("_run", running).join(offsets, "_part").select(
+        *by, "v", (F.col("_off") + F.col("_run") - F.col("_c")).alias("_first"),
+        (F.col("_off") + F.col("_run")).alias("_end"))
     fr = F.array(*[F.lit(float(f)) for f in fractions])
-    need = groups.select(*by, "n", "_start", F.posexplode(fr).alias("_i", "_f")).withColumn(
-        "_h", (F.col("n") - 1).cast("double") * F.col("_f"))
-    need = need.withColumn("_lo", F.col("_start") + F.floor("_h").cast("long")) \
-               .withColumn("_hi", F.col("_start") + F.ceil("_h").cast("long"))
-    vals = ranked.select(F.col("_r"), F.col("v"))
-    lo = need.join(vals.withColumnRenamed("_r", "_lo").withColumnRenamed("v", "_vlo"), "_lo")
-    both = lo.join(vals.withColumnRenamed("_r", "_hi").withColumnRenamed("v", "_vhi"), "_hi")
+    groups = ranked.groupBy(*by).agg((F.max("_end") - F.min("_first")).alias("n"),
+                                     F.min("_first").alias("_start"))
+    need = groups.select(*by, "n", "_start", F.transform(
+        fr, lambda f, i: F.struct(i.alias("i"), ((F.col("n") - 1).cast("double") * f).alias("h"))).alias("_want"))
+
+    def holds(rank: Column) -> Column:
+        r = F.col("_start") + rank.cast("long")
+        return (r >= F.col("_first")) & (r < F.col("_end"))
+
+    hit = _attach(ranked, need, by, ["n", "_start", "_want"]).withColumn(
+        "_want", F.filter("_want", lambda w: holds(F.floor(w["h"])) | holds(F.ceil(w["h"]))))
+    w = hit.withColumn("_w", F.explode("_want"))
+    both = w.groupBy(*by, "n", F.col("_w.i").alias("_i")).agg(
+        F.max("_w.h").alias("_h"),
+        F.max(F.when(holds(F.floor("_w.h")), F.col("v"))).alias("_vlo"),
+        F.max(F.when(holds(F.ceil("_w.h")), F.col("v"))).alias("_vhi"))
     q = both.select(*by, "n", "_i",
                     (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h")))
                     .alias("_q"))
@@ -107,39 +131,41 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(interior, lambda e: e <= value))
 
 
-def _attach_edges(df: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    if by:
-        return df.join(edges.select(*by, "edges"), by)
-    return df.withColumn("edges", edges.select("edges").scalar())
+def _binned(df: DataFrame, edges: DataFrame, value_col: str, keys: list[str], by: list[str]) -> DataFrame:
+    """(keys..., bin, n): NULL values are counted under a NULL bin; a group without edges has bin 0."""
+    v = F.col(value_col)
+    b = F.when(v.isNotNull(), F.when(F.col("edges").isNull(), F.lit(0)).otherwise(bin_of(v, F.col("edges"))))
+    return (_attach(df, edges, by, ["edges"]).select(*keys, b.alias("bin"))
+            .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
 def histogram(df: DataFrame, edges: DataFrame, value_col: str, keys: list[str],
               by: list[str]) -> DataFrame:
     """(keys..., bin, n) with bins from the reference ``edges`` of each ``by`` group."""
-    x = _attach_edges(df.where(F.col(value_col).isNotNull()), edges, by)
-    return (x.select(*keys, bin_of(F.col(value_col), F.col("edges")).alias("bin"))
-            .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
+    return _binned(df, edges, value_col, keys, by).where(F.col("bin").isNotNull())
 
 
 def _counts_map(hist: DataFrame, keys: list[str], name: str) -> DataFrame:
     # at most `bins` entries per group
+    known = F.col("bin").isNotNull()
     return hist.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias(name),
-        F.sum("n").alias(f"{name}_total"))
+        F.map_from_entries(F.collect_list(F.when(known, F.struct("bin", "n")))).alias(name),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0).cast("long")).alias(f"{name}_total"))
 
 
 def psi(reference: DataFrame, current: DataFrame, value_col: str, by: list[str] | None = None,
         period: list[str] | None = None, bins: int = 10) -> DataFrame:
     """PSI of ``current`` (grouped by ``by + period``) against ``reference`` (grouped by ``by``).
 
-    Returns (by..., period..., psi, severity, n_reference, n_current).
+    Returns (by..., period..., psi, severity, n_reference, n_current): one row for
+    every key of ``current``, also NULL ones. A key with no reference values
+    (n_reference 0) or no current ones (n_current 0) has PSI 0.0, "stable".
     """
     by, period = by or [], period or []
     edges = reference_edges(reference, value_col, by, bins)
-    ref_hist = _counts_map(histogram(reference, edges, value_col, by, by), by, "rc")
-    cur_hist = _counts_map(histogram(current, edges, value_col, by + period, by), by + period, "cc")
-    base = cur_hist.join(edges, by, "left") if by else _attach_all(cur_hist, edges)
-    j = base.join(ref_hist, by, "left") if by else _attach_ref(base, ref_hist)
+    ref_hist = _counts_map(_binned(reference, edges, value_col, by, by), by, "rc")
+    cur_hist = _counts_map(_binned(current, edges, value_col, by + period, by), by + period, "cc")
+    j = _attach(_attach(cur_hist, edges, by, ["n_reference", "edges"]), ref_hist, by, ["rc", "rc_total"])
     m = F.size("edges") - 1
     n_ref = F.coalesce(F.col("n_reference"), F.lit(0))
     n_cur = F.coalesce(F.col("cc_total"), F.lit(0))
@@ -157,13 +183,3 @@ def psi(reference: DataFrame, current: DataFrame, value_col: str, by: list[str]
                     n_cur.alias("n_current")).select(
         *by, *period, F.bround("psi_raw", 4).alias("psi"), severity(F.col("psi_raw")).alias("severity"),
         "n_reference", "n_current")
-
-
-def _attach_all(cur: DataFrame, edges: DataFrame) -> DataFrame:
-    row = edges.select(F.struct("n_reference", "edges").alias("s")).scalar()
-    return cur.withColumn("_e", row).select("*", "_e.n_reference", "_e.edges").drop("_e")
-
-
-def _attach_ref(cur: DataFrame, ref_hist: DataFrame) -> DataFrame:
-    row = ref_hist.select(F.struct("rc", "rc_total").alias("s")).scalar()
-    return cur.withColumn("_r", row).select("*", "_r.rc", "_r.rc_total").drop("_r")

@@ -30,7 +30,8 @@ def sql_psi(name: str, ref: str, cur: str, by: list[str], period: list[str], bin
     byc = ", ".join(by)
     by_sel = f"{byc}, " if by else ""
     by_grp = f"GROUP BY {byc}" if by else ""
-    j_by = " AND ".join(f"x.{c} = e.{c}" for c in by) or "TRUE"
+    same = "{0}.{2} IS NOT DISTINCT FROM {1}.{2}".format
+    j_by = " AND ".join(same("x", "e", c) for c in by) or "TRUE"
     cte(f"{name}_edges", f"""
 SELECT {by_sel}n_reference,
        list_sort(list_distinct(CASE greatest(2, least({bins}, n_reference // 5)) {cases} END)) AS edges
@@ -41,19 +42,18 @@ FROM (SELECT {by_sel}count(v) AS n_reference, quantile_cont(v, {frs}) AS q FROM
     kc_sel = f"{kc}, " if keys_c else ""
     cte(f"{name}_rh", f"""
 SELECT {''.join(f'x.{c}, ' for c in by)}{binx} AS bin, count(*) AS n
-FROM {ref} x JOIN {name}_edges e ON {j_by}
+FROM {ref} x JOIN {name}_edges e ON {j_by} WHERE x.v IS NOT NULL
 GROUP BY ALL""", ref, f"{name}_edges")
     cte(f"{name}_ch", f"""
 SELECT {kc_sel}{binx} AS bin, count(*) AS n
-FROM {cur} x JOIN {name}_edges e ON {j_by}
+FROM {cur} x JOIN {name}_edges e ON {j_by} WHERE x.v IS NOT NULL
 GROUP BY ALL""", cur, f"{name}_edges")
     t_keys = ", ".join(keys_c)
-    j_rc = " AND ".join([f"rh.{c} = t.{c}" for c in by] + ["rh.bin = t.bin"])
-    j_cc = " AND ".join([f"ch.{c} = t.{c}" for c in keys_c] + ["ch.bin = t.bin"])
-    j_te = " AND ".join(f"t0.{c} = e.{c}" for c in by) or "TRUE"
+    j_rc = " AND ".join([same("rh", "t", c) for c in by] + ["rh.bin = t.bin"])
+    j_cc = " AND ".join([same("ch", "t", c) for c in keys_c] + ["ch.bin = t.bin"])
+    j_te = " AND ".join(same("t0", "e", c) for c in by) or "TRUE"
     cte(f"{name}_tot", f"""
-SELECT {t_keys + ', ' if keys_c else ''}sum(n) AS n_current FROM {name}_ch x {'GROUP BY ' + t_keys if keys_c else ''}""",
-        f"{name}_ch")
+SELECT {t_keys + ', ' if keys_c else ''}count(v) AS n_current FROM {cur} x {'GROUP BY ' + t_keys if keys_c else ''}""", cur)
     sel_keys = "".join(f"t.{c}, " for c in keys_c)
     grp = "".join(f"t.{c}, " for c in keys_c)
     cte(f"{name}_raw", f"""
@@ -62,8 +62,9 @@ FROM (SELECT t.*, (greatest(coalesce(ch.n, 0) / t.n_current, 1e-4)
                    - greatest(coalesce(rh.n, 0) / t.n_reference, 1e-4))
                   * ln(greatest(coalesce(ch.n, 0) / t.n_current, 1e-4)
                        / greatest(coalesce(rh.n, 0) / t.n_reference, 1e-4)) AS term
-      FROM (SELECT t0.*, e.n_reference, e.edges, unnest(range(0, greatest(len(e.edges) - 1, 1))) AS bin
-            FROM {name}_tot t0 JOIN {name}_edges e ON {j_te}) t
+      FROM (SELECT t0.*, coalesce(e.n_reference, 0) AS n_reference, e.edges,
+                   unnest(range(0, greatest(coalesce(len(e.edges), 0) - 1, 1))) AS bin
+            FROM {name}_tot t0 LEFT JOIN {name}_edges e ON {j_te}) t
       LEFT JOIN {name}_rh rh ON {j_rc}
       LEFT JOIN {name}_ch ch ON {j_cc}) t
 GROUP BY {grp}t.n_reference, t.n_current, t.edges""",
@@ -115,6 +116,27 @@ def q_psi_by_type(spark, sf_dir):
     return drift.psi(ref, cur, "v", by=["event_type"], period=["week_start"], bins=BINS)
 
 
+# reference per user: the first day only, so many users of later weeks have no reference
+cte("us_ref", """
+SELECT user_id, value AS v FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-01'""")
+cte("us_cur", f"""
+SELECT user_id, value AS v, date_trunc('week', ts) AS week_start FROM events
+WHERE date_trunc('week', ts) > {_REF_SQL}""")
+
+
+@query("psi_by_user", statement(
+    "SELECT user_id, week_start, psi, severity, n_reference, n_current FROM psi_us",
+    sql_psi("psi_us", "us_ref", "us_cur", ["user_id"], ["week_start"])), ops=("M3",))
+def q_psi_by_user(spark, sf_dir):
+    e = tables.events(spark, sf_dir).select(
+        "user_id", F.col("value").alias("v"), F.date_trunc("week", "ts").alias("week_start"),
+        F.to_date("ts").alias("day"))
+    ref_day = F.lit(REFERENCE_WEEK.date())
+    ref_ts = F.lit(REFERENCE_WEEK.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return drift.psi(e.where(F.col("day") == ref_day), e.where(F.col("week_start") > ref_ts),
+                     "v", by=["user_id"], period=["week_start"], bins=BINS)
+
+
 @query("psi_histogram", statement("""
 SELECT x.week_start, len(list_filter(list_slice(e.edges, 2, len(e.edges) - 1), lambda t: t <= x.v)) AS bin,
        count(*) AS n

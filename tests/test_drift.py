@@ -78,6 +78,7 @@ def test_grouped_by_key_and_period(spark):
     ref = spark.createDataFrame(rows_ref, "k string, v double")
     cur = spark.createDataFrame(rows_cur, "k string, p int, v double")
     got = {(r["k"], r["p"]): r["psi"] for r in drift.psi(ref, cur, "v", by=["k"], period=["p"]).collect()}
+    assert set(got) == {(k, p) for k, p, _ in rows_cur}
     for (k, p), val in got.items():
         want = _brute_psi([v for kk, v in rows_ref if kk == k], [v for kk, pp, v in rows_cur if kk == k and pp == p])
         assert abs(val - round(want, 4)) < 1e-4
@@ -90,3 +91,34 @@ def test_severity_bands(spark):
     got = [r[0] for r in df.select(drift.severity(F.col("p"))).collect()]
     assert got == ["stable", "moderate", "moderate", "significant"]
     assert math.isclose(drift.SHARE_FLOOR, 1e-4)
+
+
+def test_groups_without_reference_stay(spark):
+    ref = spark.createDataFrame([("a", float(i)) for i in range(20)] + [("gone", 1.0), ("void", None)],
+                                "k string, v double")
+    cur = spark.createDataFrame([("a", float(i)) for i in range(20)] +
+                                [("new", 1.0), (None, 2.0), (None, 3.0), ("void", 4.0), ("empty", None)],
+                                "k string, v double")
+    got = {r["k"]: (r["psi"], r["severity"], r["n_reference"], r["n_current"])
+           for r in drift.psi(ref, cur, "v", by=["k"]).collect()}
+    assert got == {"a": (0.0, "stable", 20, 20), "new": (0.0, "stable", 0, 1), None: (0.0, "stable", 0, 2),
+                   "void": (0.0, "stable", 0, 1), "empty": (0.0, "stable", 0, 0)}
+
+
+def test_null_key_is_compared_with_its_own_reference(spark):
+    ref = spark.createDataFrame([(None, float(i)) for i in range(40)], "k string, v double")
+    cur = spark.createDataFrame([(None, float(i) + 30) for i in range(40)], "k string, v double")
+    r = drift.psi(ref, cur, "v", by=["k"]).collect()
+    assert len(r) == 1 and r[0]["n_reference"] == 40
+    assert abs(r[0]["psi"] - round(_brute_psi(range(40), [i + 30 for i in range(40)]), 4)) < 1e-4
+
+
+def test_quantiles_with_one_value_holding_a_third_of_the_rows(spark):
+    from coverwise.operators.drift import exact_quantiles
+    rng = np.random.default_rng(3)
+    x = [0.0] * 1000 + [float(v) for v in rng.normal(0, 1, 2000)]
+    df = spark.createDataFrame([("g", v) for v in x] + [("h", 1.0), ("h", 2.0)], "k string, v double").repartition(6)
+    fr = [0.0, 0.1, 0.25, 0.5, 0.73, 1.0]
+    got = {r["k"]: r["q"] for r in exact_quantiles(df, "v", ["k"], fr).collect()}
+    assert np.allclose(got["g"], np.quantile(x, fr), atol=1e-12)
+    assert np.allclose(got["h"], np.quantile([1.0, 2.0], fr), atol=1e-12)
