@@ -176,6 +176,19 @@ def dq_not_null(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFram
 
 # -- incremental merge into gold (C1) --------------------------------------------------
 
+def _matched(current: DataFrame, incoming: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    cur = current.select(*[F.col(c).alias(f"c_{c}") for c in [*GOLD_COLUMNS, *extra]])
+    inc = incoming.select(*[F.col(c).alias(f"n_{c}") for c in GOLD_COLUMNS])
+    return cur.join(inc, F.col("c_id") == F.col("n_id"), "full_outer")
+
+
+def _changed() -> Column:
+    same = F.lit(True)
+    for c in ("title", "category", "text", "lineage_sk", "is_active"):
+        same = same & F.col(f"c_{c}").eqNullSafe(F.col(f"n_{c}"))
+    return ~same
+
+
 def merge_gold(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """MERGE of a freshly built gold snapshot into the current gold table, by ``id``.
 
@@ -185,18 +198,11 @@ def merge_gold(current: DataFrame, incoming: DataFrame) -> DataFrame:
     ``unchanged``. Plain Parquet has no MERGE statement, so the result is
     written as a new table version by the caller.
     """
-    cur = current.select(*[F.col(c).alias(f"c_{c}") for c in GOLD_COLUMNS])
-    inc = incoming.select(*[F.col(c).alias(f"n_{c}") for c in GOLD_COLUMNS])
-    j = cur.join(inc, F.col("c_id") == F.col("n_id"), "full_outer")
-    changed = ~(F.col("c_title").eqNullSafe(F.col("n_title"))
-                & F.col("c_category").eqNullSafe(F.col("n_category"))
-                & F.col("c_text").eqNullSafe(F.col("n_text"))
-                & F.col("c_lineage_sk").eqNullSafe(F.col("n_lineage_sk"))
-                & F.col("c_is_active").eqNullSafe(F.col("n_is_active")))
+    j = _matched(current, incoming)
     change = (F.when(F.col("c_id").isNull(), F.lit("insert"))
                .when(F.col("n_id").isNull(),
                      F.when(F.col("c_is_active"), F.lit("deactivate")).otherwise(F.lit("unchanged")))
-               .when(changed, F.lit("update"))
+               .when(_changed(), F.lit("update"))
                .otherwise(F.lit("unchanged")))
     take_new = F.col("n_id").isNotNull()
     cols = [F.when(take_new, F.col(f"n_{c}")).otherwise(F.col(f"c_{c}")).alias(c) for c in GOLD_COLUMNS]
@@ -205,6 +211,43 @@ def merge_gold(current: DataFrame, incoming: DataFrame) -> DataFrame:
                           .otherwise(F.col("is_active")))
 
 
+HISTORY_COLUMNS = [*GOLD_COLUMNS, "valid_from", "valid_to"]
+
+
+def scd2_open(snapshot: DataFrame) -> DataFrame:
+    """The history after a first load: every row valid since it was last updated, none closed."""
+    return snapshot.select(*GOLD_COLUMNS, F.col("updated_at").alias("valid_from"),
+                           F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+
+
+def scd2_merge(history: DataFrame, incoming: DataFrame, load_at: Column) -> DataFrame:
+    """Apply one load to an SCD2 history (HISTORY_COLUMNS); at most one open version per id.
+
+    Versions are half-open, ``[valid_from, valid_to)``; open ones have no
+    ``valid_to``. An id whose content or active flag changed has its open
+    version closed and a new one opened at the new row's ``updated_at`` (at
+    ``load_at`` if the row itself is not newer, e.g. a flag that flipped). An id
+    the load no longer produces is closed at ``load_at``. A new id opens at its
+    ``updated_at``. Closed versions pass through; one full outer join by id of
+    the open ones, so no key's history is gathered anywhere.
+    """
+    closed = history.where(F.col("valid_to").isNotNull()).select(*HISTORY_COLUMNS)
+    j = _matched(history.where(F.col("valid_to").isNull()), incoming, ("valid_from",))
+    known, produced = F.col("c_id").isNotNull(), F.col("n_id").isNotNull()
+    update = known & produced & _changed()
+    starts = (F.when(~known | (F.col("n_updated_at") > F.col("c_valid_from")), F.col("n_updated_at"))
+              .otherwise(load_at))
+    old_end = F.when(update, F.col("_starts")).when(~produced, F.col("_load_at"))
+    old = F.struct(*[F.col(f"c_{c}").alias(c) for c in GOLD_COLUMNS], F.col("c_valid_from").alias("valid_from"),
+                   old_end.cast("timestamp_ntz").alias("valid_to"))
+    new = F.struct(*[F.col(f"n_{c}").alias(c) for c in GOLD_COLUMNS], F.col("_starts").alias("valid_from"),
+                   F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    versions = F.array_compact(F.array(F.when(known, old), F.when(~known | update, new)))
+    open_ = (j.withColumn("_load_at", load_at).withColumn("_starts", starts)
+             .select(F.explode(versions).alias("_v")).select("_v.*"))
+    return closed.unionByName(open_.select(*HISTORY_COLUMNS))
+
+
 def scd2_history(versions: DataFrame, key: str = "id", valid_from: str = "updated_at") -> DataFrame:
     """Slowly changing dimension, type 2: each version valid until the next one of its key.
 

@@ -333,66 +333,79 @@ def q_row_policy_admin(spark, sf_dir):
 
 
 # -- incremental merge (C1) -----------------------------------------------------------------
-# The previous gold snapshot is what a load at LOAD_CUTOFF produced: bronze rows
-# landed up to that time. The new snapshot covers every row landed since.
-
-LOAD_CUTOFF = "2024-01-01 00:08:20"
-
-cte("raw_prev", f"SELECT * FROM raw_policy_feed WHERE ingested_at <= TIMESTAMP '{LOAD_CUTOFF}'",
-    "raw_policy_feed")
-cte("silver_prev", """
-SELECT md5(coalesce(file_hash, source_id)) AS policy_sk, source_id AS policy_id,
-       trim(raw_title, ' ') AS title, lower(trim(raw_category, ' ')) AS category,
-       trim(raw_body, ' ') AS body_text, ingest_batch_id, ingested_at
-FROM raw_prev
-WHERE raw_body IS NOT NULL AND length(trim(raw_body, ' ')) > 0
-QUALIFY row_number() OVER (PARTITION BY coalesce(file_hash, source_id)
-                           ORDER BY ingested_at DESC, ingest_batch_id DESC, source_id DESC) = 1""",
-    "raw_prev")
+# Two loads, cut from the data: the first covers every row landed up to the middle of the
+# landing period and ran before any label was known (every policy active); the second covers
+# every row, with labels, and ran at the last landing time.
+
+cte("load_times", """
+SELECT (CAST(epoch(min(ingested_at)) AS BIGINT) + CAST(epoch(max(ingested_at)) AS BIGINT)) // 2 AS cut_s,
+       max(ingested_at) AS load_at
+FROM raw_policy_feed""", "raw_policy_feed")
+# the first load from its definition: a present body that no other present body of the same
+# file, landed in time, comes after
+cte("raw_prev", """
+SELECT coalesce(file_hash, source_id) AS k, raw_policy_feed.* FROM raw_policy_feed, load_times
+WHERE epoch(ingested_at) <= cut_s AND trim(coalesce(raw_body, ''), ' ') <> ''""",
+    "raw_policy_feed", "load_times")
 cte("gold_prev", """
-SELECT s.policy_id AS id, s.title, s.category, s.body_text AS text,
-       coalesce(l.quality = 1, TRUE) AS is_active, s.policy_sk AS lineage_sk, s.ingested_at AS updated_at
-FROM silver_prev s LEFT JOIN labels l ON s.policy_id = 'doc-' || CAST(l.doc_id AS VARCHAR)""",
-    "silver_prev")
+SELECT r.source_id AS id, trim(r.raw_title, ' ') AS title, lower(trim(r.raw_category, ' ')) AS category,
+       trim(r.raw_body, ' ') AS text, TRUE AS is_active, md5(r.k) AS lineage_sk, r.ingested_at AS updated_at
+FROM raw_prev r
+WHERE NOT EXISTS (SELECT 1 FROM raw_prev o
+                  WHERE o.k = r.k AND (o.ingested_at > r.ingested_at
+                     OR (o.ingested_at = r.ingested_at AND (o.ingest_batch_id > r.ingest_batch_id
+                         OR (o.ingest_batch_id = r.ingest_batch_id AND o.source_id > r.source_id)))))""",
+    "raw_prev")
+cte("gold_same", """
+SELECT c.id FROM gold_prev c JOIN gold n ON c.id = n.id
+ AND (c.title, c.category, c.text, c.lineage_sk, c.is_active)
+     IS NOT DISTINCT FROM (n.title, n.category, n.text, n.lineage_sk, n.is_active)""", "gold_prev", "gold")
 cte("gold_merge", """
-SELECT coalesce(n.id, c.id) AS id,
-       CASE WHEN c.id IS NULL THEN 'insert'
-            WHEN n.id IS NULL THEN CASE WHEN c.is_active THEN 'deactivate' ELSE 'unchanged' END
-            WHEN c.title IS NOT DISTINCT FROM n.title AND c.category IS NOT DISTINCT FROM n.category
-             AND c.text IS NOT DISTINCT FROM n.text AND c.lineage_sk IS NOT DISTINCT FROM n.lineage_sk
-             AND c.is_active IS NOT DISTINCT FROM n.is_active THEN 'unchanged'
-            ELSE 'update' END AS change,
-       CASE WHEN n.id IS NULL AND c.is_active THEN FALSE ELSE coalesce(n.is_active, c.is_active) END
-         AS is_active,
-       coalesce(n.updated_at, c.updated_at) AS updated_at
-FROM gold_prev c FULL OUTER JOIN gold n ON c.id = n.id""", "gold_prev", "gold")
-
-
-def _gold_at(spark, sf_dir, cutoff: str | None):
+SELECT id, CASE WHEN id NOT IN (SELECT id FROM gold_prev) THEN 'insert'
+                WHEN id IN (SELECT id FROM gold_same) THEN 'unchanged' ELSE 'update' END AS change,
+       is_active, updated_at
+FROM gold
+UNION ALL
+SELECT id, 'deactivate' AS change, FALSE AS is_active, updated_at
+FROM gold_prev WHERE id NOT IN (SELECT id FROM gold)""", "gold_prev", "gold", "gold_same")
+
+
+def _snapshots(spark, sf_dir):
+    """(first snapshot, second snapshot, time of the second load as a column)."""
     b = bronze(spark, sf_dir)
-    if cutoff:
-        b = b.where(F.col("ingested_at") <= F.lit(cutoff).cast("timestamp_ntz"))
-    return med.gold_member_kb(med.silver_benefit_policy(b), ad.active_flags(tables.labels(spark, sf_dir)))
+    seconds = F.unix_timestamp(F.col("ingested_at").cast("timestamp"))
+    cut = b.select(F.floor((F.min(seconds) + F.max(seconds)) / 2).alias("cut_s"))
+    load_at = b.select(F.max("ingested_at").alias("load_at"))
+    labels = ad.active_flags(tables.labels(spark, sf_dir))
+    first = med.gold_member_kb(med.silver_benefit_policy(b.where(seconds <= cut.scalar())),
+                               labels.where(F.lit(False)))
+    return first, med.gold_member_kb(med.silver_benefit_policy(b), labels), load_at.scalar()
 
 
 @query("gold_merge", statement("SELECT * FROM gold_merge", "gold_merge"), ops=("C1",))
 def q_gold_merge(spark, sf_dir):
-    merged = med.merge_gold(_gold_at(spark, sf_dir, LOAD_CUTOFF), _gold_at(spark, sf_dir, None))
-    return merged.select("id", "change", "is_active", "updated_at")
+    first, second, _ = _snapshots(spark, sf_dir)
+    return med.merge_gold(first, second).select("id", "change", "is_active", "updated_at")
 
 
 cte("gold_hist", """
-SELECT id, valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) AS valid_to,
-       lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) IS NULL AS is_current, lineage_sk
-FROM (SELECT id, updated_at AS valid_from, lineage_sk FROM gold_prev
-      UNION
-      SELECT id, updated_at AS valid_from, lineage_sk FROM gold)""", "gold_prev", "gold")
+WITH v AS (SELECT id, updated_at AS valid_from, is_active, lineage_sk FROM gold_prev
+           UNION ALL
+           SELECT id, CASE WHEN change = 'update' AND updated_at <= (SELECT p.updated_at FROM gold_prev p WHERE p.id = m.id)
+                           THEN load_at ELSE updated_at END,
+                  is_active, (SELECT g.lineage_sk FROM gold g WHERE g.id = m.id)
+           FROM gold_merge m, load_times WHERE change IN ('insert', 'update')),
+     e AS (SELECT v.*, (SELECT min(w.valid_from) FROM v w WHERE w.id = v.id AND w.valid_from > v.valid_from) AS next_from,
+                  id IN (SELECT id FROM gold_merge WHERE change = 'deactivate') AS gone FROM v)
+SELECT id, valid_from, CASE WHEN gone THEN load_at ELSE next_from END AS valid_to,
+       NOT gone AND next_from IS NULL AS is_current, is_active, lineage_sk
+FROM e, load_times""", "gold_prev", "gold", "gold_merge", "load_times")
 
 
 def _gold_history(spark, sf_dir):
-    versions = (_gold_at(spark, sf_dir, LOAD_CUTOFF).select("id", "updated_at", "lineage_sk")
-                .union(_gold_at(spark, sf_dir, None).select("id", "updated_at", "lineage_sk")).distinct())
-    return med.scd2_history(versions).select("id", "valid_from", "valid_to", "is_current", "lineage_sk")
+    first, second, load_at = _snapshots(spark, sf_dir)
+    return med.scd2_merge(med.scd2_open(first), second, load_at).select(
+        "id", "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"), "is_active", "lineage_sk")
 
 
 @query("gold_scd2", statement("SELECT * FROM gold_hist", "gold_hist"), ops=("C1",))
@@ -401,17 +414,19 @@ def q_gold_scd2(spark, sf_dir):
 
 
 @query("version_in_effect", statement("""
-SELECT r.source_id, r.ingested_at, h.valid_from, h.lineage_sk
-FROM raw_policy_feed r
-LEFT JOIN gold_hist h ON h.id = r.source_id AND h.valid_from <= r.ingested_at
-                     AND (h.valid_to IS NULL OR r.ingested_at < h.valid_to)""",
-    "raw_policy_feed", "gold_hist"), ops=("C2",))
+SELECT r.source_id, r.asked_at, h.valid_from, h.is_active, h.lineage_sk
+FROM (SELECT source_id, ingested_at AS asked_at FROM raw_policy_feed
+      UNION ALL SELECT source_id, load_at FROM raw_policy_feed, load_times) r
+LEFT JOIN gold_hist h ON h.id = r.source_id AND h.valid_from <= r.asked_at
+                     AND (h.valid_to IS NULL OR r.asked_at < h.valid_to)""",
+    "raw_policy_feed", "load_times", "gold_hist"), ops=("C2",))
 def q_version_in_effect(spark, sf_dir):
-    # every landed row, with the gold version of its policy in effect when it landed
-    requests = bronze(spark, sf_dir).select("source_id", "ingested_at")
-    hist = _gold_history(spark, sf_dir).select("id", "valid_from", "valid_to", "lineage_sk")
-    out = med.version_in_effect(requests.withColumnRenamed("source_id", "id"), hist, "id", "ingested_at")
-    return out.select(F.col("id").alias("source_id"), "ingested_at", "valid_from", "lineage_sk")
+    # every landed row asks twice: for the version of its policy when it landed, and at the last load
+    b = bronze(spark, sf_dir)
+    last = b.select(F.max("ingested_at").alias("load_at")).scalar()
+    asked = b.select(F.col("source_id").alias("id"), F.explode(F.array("ingested_at", last)).alias("asked_at"))
+    out = med.version_in_effect(asked, _gold_history(spark, sf_dir), "id", "asked_at")
+    return out.select(F.col("id").alias("source_id"), "asked_at", "valid_from", "is_active", "lineage_sk")
 
 
 # -- JSON document source (S1, S2) -----------------------------------------------------------

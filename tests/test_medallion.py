@@ -143,3 +143,37 @@ def test_latest_wins_with_a_hot_key_holding_a_third_of_rows(spark):
     assert len(s) == 201                                     # 200 cold keys + 1 hot key
     hot = [r for r in s if r["policy_id"] in {f"doc-{i}" for i in range(0, 300, 3)}]
     assert [r["policy_id"] for r in hot] == ["doc-297"]      # the newest landing of the hot file wins
+
+
+def test_history_closes_updated_and_deactivated_versions(spark):
+    from datetime import datetime
+    from pyspark.sql import functions as F
+    from coverwise.operators import medallion as med
+    d = lambda day: datetime(2024, 1, day)
+    ddl = ("id string, title string, category string, text string, effective_date date, is_active boolean, "
+           "lineage_sk string, updated_at timestamp_ntz")
+
+    def snap(*rows):
+        return spark.createDataFrame([(i, "t", "c", text, d(u).date(), active, sk, d(u))
+                                      for i, text, active, sk, u in rows], ddl)
+
+    first = snap(("same", "x", True, "s", 1), ("flag", "x", True, "f", 1), ("text", "x", True, "a", 1),
+                 ("gone", "x", True, "g", 1))
+    second = snap(("same", "x", True, "s", 1), ("flag", "x", False, "f", 1), ("text", "y", True, "b", 5),
+                  ("new", "x", True, "n", 6))
+    load = F.lit("2024-01-09").cast("timestamp_ntz")
+    hist = med.scd2_merge(med.scd2_open(first), second, load)
+    day = lambda t: t.day if t else None
+    got = sorted((r["id"], day(r["valid_from"]), day(r["valid_to"]) or 0, r["is_active"]) for r in hist.collect())
+    assert got == [("flag", 1, 9, True), ("flag", 9, 0, False), ("gone", 1, 9, True), ("new", 6, 0, True),
+                   ("same", 1, 0, True), ("text", 1, 5, True), ("text", 5, 0, True)]
+    # a load that changes nothing changes no version; a policy that comes back opens a new one
+    again = med.scd2_merge(hist, second, F.lit("2024-01-10").cast("timestamp_ntz"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, hist.collect()))
+    back = med.scd2_merge(hist, second.union(snap(("gone", "x", True, "g", 12))),
+                          F.lit("2024-01-13").cast("timestamp_ntz"))
+    gone = sorted((day(r["valid_from"]), day(r["valid_to"]) or 0) for r in back.where("id = 'gone'").collect())
+    assert gone == [(1, 9), (12, 0)]
+    changes = {r["id"]: r["change"] for r in med.merge_gold(first, second).collect()}
+    assert changes == {"same": "unchanged", "flag": "update", "text": "update", "gone": "deactivate",
+                       "new": "insert"}
