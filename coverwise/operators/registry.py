@@ -16,12 +16,24 @@ never lands in one task as raw rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STAGING, PRODUCTION, ARCHIVED = "Staging", "Production", "Archived"
 
 
+def append_events(registrations: DataFrame | None, promotions: DataFrame | None, path: str) -> None:
+    """Append register and promote events to the log under ``path`` (shared storage)."""
+    for kind, events in (("register", registrations), ("promote", promotions)):
+        if events is not None:
+            events.write.mode("append").parquet(f"{path}/{kind}")
+
+
+def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(registrations, promotions) of a reopened log, in no order; replay orders them by their columns."""
+    return spark.read.parquet(f"{path}/register"), spark.read.parquet(f"{path}/promote")
+
+
 def assign_versions(registrations: DataFrame, key: str = "model_key",
                     order: tuple[str, ...] = ("created_at", "event_seq")) -> DataFrame:
     """L1: version = count + 1 at registration time, i.e. row_number per key.

@@ -119,24 +119,36 @@ SELECT c.*, coalesce(m.recall_at_k, 0.0) AS recall_at_k,
        coalesce(m.avg_top_score, 0.0) AS avg_top_score
 FROM configs c LEFT JOIN ({sql_metrics('sw_rows', 'config_id')}) m USING (config_id)""",
     "configs", "sw_rows")
-cte("gate", """
-SELECT s.config_id, s.recall_at_k, s.answer_accuracy, s.composite,
-       s.recall_at_k >= 0.75 AND s.answer_accuracy >= 0.5
+# Floors some trials clear on the driver tables, so that promotion itself is compared: a query
+# parameter, like the default floors.
+LOW_FLOORS = {"recall_at_k": 0.05, "answer_accuracy": 0.4}
+
+
+def sql_gate(name: str, floors: dict[str, float]) -> str:
+    fr, fa = floors["recall_at_k"], floors["answer_accuracy"]
+    return cte(name, f"""
+SELECT s.config_id, s.recall_at_k, s.answer_accuracy, s.composite, i.composite AS incumbent_composite,
+       s.recall_at_k >= {fr} AND s.answer_accuracy >= {fa}
          AND (i.composite IS NULL OR s.composite > i.composite) AS promote,
-       CASE WHEN s.recall_at_k < 0.75 THEN 'recall ' || CAST(s.recall_at_k AS VARCHAR) || ' below floor 0.75'
-            WHEN s.answer_accuracy < 0.5 THEN 'accuracy ' || CAST(s.answer_accuracy AS VARCHAR) || ' below floor 0.5'
-            WHEN i.composite IS NULL THEN 'no incumbent; candidate clears floors'
-            WHEN s.composite > i.composite THEN 'composite ' || CAST(s.composite AS VARCHAR)
-                 || ' beats incumbent ' || CAST(i.composite AS VARCHAR)
-            ELSE 'composite ' || CAST(s.composite AS VARCHAR) || ' does not beat incumbent '
-                 || CAST(i.composite AS VARCHAR) END AS reason
+       CASE WHEN s.recall_at_k < {fr} THEN 'recall_below_floor'
+            WHEN s.answer_accuracy < {fa} THEN 'accuracy_below_floor'
+            WHEN i.composite IS NULL THEN 'no_incumbent'
+            WHEN s.composite > i.composite THEN 'beats_incumbent' ELSE 'not_better' END AS reason
 FROM sweep s LEFT JOIN ev_default i ON TRUE""", "sweep", "ev_default")
-cte("reg_state", """
+
+
+def sql_stages(name: str, gate: str) -> str:
+    return cte(name, f"""
 SELECT 'qa' AS model_key, config_id, config_id + 1 AS version,
-       CASE WHEN config_id = (SELECT max(config_id) FROM gate WHERE promote) THEN 'Production'
+       CASE WHEN config_id = (SELECT max(config_id) FROM {gate} WHERE promote) THEN 'Production'
             WHEN promote THEN 'Archived' ELSE 'Staging' END AS stage
-FROM gate""", "gate")
+FROM {gate}""", gate)
+
 
+sql_gate("gate", ev.PROMOTION_FLOORS)
+sql_stages("reg_state", "gate")
+sql_gate("gate_low", LOW_FLOORS)
+sql_stages("reg_low", "gate_low")
 
 # -- Spark side ---------------------------------------------------------------------
 
@@ -163,12 +175,16 @@ def sweep_results(ctx: Ctx):
                     configs_frame(ctx.spark, GRID))
 
 
-def gate_results(ctx: Ctx):
-    return ev.promotion_gate(sweep_results(ctx), default_metrics(ctx), key=[])
+def gate_results(ctx: Ctx, floors: dict[str, float] | None = None):
+    return ev.promotion_gate(sweep_results(ctx), default_metrics(ctx), key=[], floors=floors)
+
 
+GATE_COLUMNS = ["config_id", "promote", "reason", "recall_at_k", "answer_accuracy", "composite",
+                "incumbent_composite"]
 
-def registry_frames(ctx: Ctx):
-    g = materialize(gate_results(ctx).withColumn("model_key", F.lit("qa")), "gate")
+
+def registry_frames(ctx: Ctx, floors: dict[str, float] | None = None):
+    g = materialize(gate_results(ctx, floors).withColumn("model_key", F.lit("qa")), "gate")
     regs = reg.assign_versions(g.select("model_key", "config_id",
                                         F.col("config_id").alias("event_seq"),
                                         F.col("config_id").alias("created_at")))
@@ -224,9 +240,28 @@ def q_best_trial(spark, sf_dir):
 
 
 @query("promotion_gate", statement(
-    "SELECT config_id, promote, reason FROM gate", "gate"), ops=("E4", "J4"))
+    f"SELECT {', '.join(GATE_COLUMNS)} FROM gate", "gate"), ops=("E4", "J4"))
 def q_promotion_gate(spark, sf_dir):
-    return gate_results(Ctx(spark, sf_dir)).select("config_id", "promote", "reason")
+    return gate_results(Ctx(spark, sf_dir)).select(*GATE_COLUMNS)
+
+
+@query("promotion_gate_low_floors", statement(
+    f"SELECT {', '.join(GATE_COLUMNS)} FROM gate_low", "gate_low"), ops=("E4", "J4"))
+def q_promotion_gate_low(spark, sf_dir):
+    return gate_results(Ctx(spark, sf_dir), LOW_FLOORS).select(*GATE_COLUMNS)
+
+
+@query("registry_replay", statement(
+    "SELECT model_key, config_id, version, stage FROM reg_low", "reg_low"), ops=("L2", "L3", "S10"))
+def q_registry_replay(spark, sf_dir):
+    # events appended to a written log, reopened and replayed
+    import uuid
+    regs, promos = registry_frames(Ctx(spark, sf_dir), LOW_FLOORS)
+    log = scratch_path(spark, "registry", uuid.uuid4().hex)
+    reg.append_events(regs.drop("version"), promos, log)
+    registrations, promotions = reg.read_events(spark, log)
+    return reg.registry_state(reg.assign_versions(registrations), promotions).select(
+        "model_key", "config_id", "version", "stage")
 
 
 @query("registry_register", statement(
