@@ -85,14 +85,18 @@ def extractive_answer(question: Column, context: Column) -> Column:
 
     No sentence shares a word => the first sentence; blank context => fixed fallback.
     """
-    q = grading_terms(question)
-    sents = sentences(context)
-    scored = F.transform(sents, lambda s, i: F.struct(
-        (-F.size(F.array_intersect(q, grading_terms(s)))).alias("neg_ov"),
-        i.alias("idx"), s.alias("s")))
-    kept = F.sort_array(F.filter(scored, lambda x: x["neg_ov"] < 0))
-    best = F.array_join(F.transform(F.slice(kept, 1, 2), lambda x: py_strip(x["s"])), " ")
-    answer = F.when(F.size(kept) > 0, best).otherwise(py_strip(F.element_at(sents, 1)))
+    def best_of(b: Column) -> Column:
+        scored = F.transform(b["sents"], lambda s, i: F.struct(
+            (-F.size(F.array_intersect(b["q"], grading_terms(s)))).alias("neg_ov"),
+            i.alias("idx"), s.alias("s")))
+        return F.struct(b["sents"].alias("sents"), F.slice(F.sort_array(
+            F.filter(scored, lambda x: x["neg_ov"] < 0)), 1, 2).alias("kept"))
+
+    # one-element arrays bind the question's words, the sentences and the best two once per row
+    bound = F.array(F.struct(grading_terms(question).alias("q"), sentences(context).alias("sents")))
+    answer = F.element_at(F.transform(F.transform(bound, best_of), lambda b: F.when(
+        F.size(b["kept"]) > 0, F.array_join(F.transform(b["kept"], lambda x: py_strip(x["s"])), " ")).otherwise(
+        py_strip(F.get(b["sents"], F.lit(0))))), 1)
     return F.when(F.length(py_strip(context)) == 0, F.lit(FALLBACK_ANSWER)).otherwise(answer)
 
 

@@ -9,8 +9,8 @@ per document. ``pos`` is the corpus position used to break score ties.
 
 Plan shape (``tfidf_topk``)
 ---------------------------
-questions -> terms -> (q, term, weight) ⋈ postings on ``term`` -> partial
-``sum`` per (q, doc) -> top-k per question with ``row_number() <= k``, which
+questions -> terms -> (q, term, weight) ⋈ tf on ``term`` -> ``sum`` per
+(q, doc) inside the buckets of ``pos`` -> top-k per question with ``row_number() <= k``, which
 Catalyst compiles into a partial ``WindowGroupLimit`` before the shuffle: each
 map task forwards at most k rows per question. Questions are never crossed
 with documents; only documents sharing a term are touched. A hot term (one in
@@ -18,9 +18,8 @@ most documents) is a skewed join key: AQE's skew-join splits that partition
 (the postings side) and replicates the matching query rows.
 
 Zero-score padding (the reference always returns min(k, N) documents): the
-first k corpus documents by position are fetched once as a scalar subquery
-and added as score-0 contributions *before* the per-(q, doc) sum, so no extra
-shuffle or join is needed and positives are never duplicated.
+first k corpus documents by position are fetched once as a scalar subquery and
+ranked at score 0 with each question's winners, at most 2k rows a question.
 
 Scores are summed in different orders by different engines; ranking uses the
 score rounded to 9 places, output is rounded to 6.
@@ -116,26 +115,29 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
                       stop_words: list[str] | None = None, checkpoint: bool = True) -> TfidfIndex:
     """Fit the TF-IDF index over a corpus DataFrame.
 
-    ``pos`` (unique, numeric) is the internal document key. The corpus is
-    tokenised once: term counts are a partial aggregate per (pos, term). With
-    ``checkpoint`` (the default) the three index tables are fitted once and
-    written to the shared checkpoint folder, as the reference fits its matrix
-    once: term frequencies, then the vocabulary (a partial aggregate per
-    term), then the document norms (tf joined to idf on term -- a hot term is a
-    skewed key that AQE's skew join splits -- aggregated per document). Every
-    ranking then scans the written tables: it never re-tokenises the corpus,
-    re-counts the vocabulary or re-shuffles tf to rebuild norms.
+    ``pos`` (unique, numeric) is the internal document key. With ``checkpoint``
+    (the default) the three index tables are fitted once and written to the
+    shared checkpoint folder: term frequencies, then the vocabulary (a partial
+    aggregate per term), then the document norms (tf joined to idf on term -- a
+    hot term is a skewed key that AQE's skew join splits -- aggregated per
+    document). The texts are dealt by ``pos`` once; a document's terms are
+    counted where its text is, and tf and norms are written bucketed by ``pos``
+    with as many buckets as shuffle partitions. A ranking scans the written
+    tables: it never re-tokenises the corpus, and its sums per (question,
+    document) and the norms join run inside a bucket, without an exchange.
     """
-    from ..session import materialize
+    from ..session import materialize, materialize_buckets
     cols = [F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), F.col(title_col).alias("title")]
     cols.append(F.col(category_col).alias("category") if category_col else F.lit(None).alias("category"))
     docs = corpus.select(*cols)
     n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_frequencies(corpus.select(F.col(pos_col).alias("pos"),
-                                        doc_text(F.col(title_col), F.col(text_col)).alias("_t")),
-                          ["pos"], F.col("_t"), stop_words)
+    texts = corpus.select(F.col(pos_col).alias("pos"), doc_text(F.col(title_col), F.col(text_col)).alias("_t"))
+    buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if checkpoint:
-        tf = materialize(tf, "tf")
+        texts = texts.repartition(buckets, "pos")
+    tf = term_frequencies(texts, ["pos"], F.col("_t"), stop_words)
+    if checkpoint:
+        tf = materialize_buckets(tf, "tf", "pos", buckets)
     vocab = (tf.groupBy("term").agg(F.count("tf").alias("df"))
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1))
     if checkpoint:
@@ -143,7 +145,7 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
     w = tf.join(vocab.select("term", "idf"), "term").select("pos", _w_raw(F.col("tf"), F.col("idf")).alias("w"))
     norms = w.groupBy("pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     if checkpoint:
-        norms = materialize(norms, "norms")
+        norms = materialize_buckets(norms.repartition(buckets, "pos"), "norms", "pos", buckets)
     return TfidfIndex(docs, tf, vocab, norms, stop_words, fitted=checkpoint)
 
 
@@ -213,30 +215,36 @@ def tfidf_topk(questions: DataFrame, index: TfidfIndex, k: int, pad: bool = True
         query_terms = query_term_rows(questions, index.stop_words, q_col, text_col)
     small = query_terms <= MAX_BROADCAST_QUERY_TERMS
     qv = query_vectors(questions, index, q_col, text_col, broadcast=small)
-    tf = index.tf
     docs = index.docs
-    if allowed_docs is not None:
-        docs = docs.join(allowed_docs.select("id").distinct(), "id", "left_semi")
-        tf = tf.join(docs.select("pos"), "pos", "left_semi")
     # the question side carries idf, so the big tf table is joined as stored
-    contrib = (F.broadcast(qv) if small else qv).join(tf, "term").select(
+    contrib = (F.broadcast(qv) if small else qv).join(index.tf, "term").select(
         "q_id", "pos", (F.col("weight") * _w_raw(F.col("tf"), F.col("idf"))).alias("c"))
-    if pad:
-        pads = questions.select(F.col(q_col).alias("q_id"),
-                                F.explode(first_k_docs(docs, k)).alias("p"))
-        contrib = contrib.unionByName(pads.select("q_id", F.col("p.pos").alias("pos"),
-                                                  F.lit(0.0).alias("c")))
-    return _rank_contributions(contrib, index, docs, k)
-
-
-def _rank_contributions(contrib: DataFrame, index: TfidfIndex, docs: DataFrame, k: int) -> DataFrame:
-    """(q_id, pos, c) -> top-k (q_id, rank, id, pos, score): partial sums per
-    (question, document), cosine by the document norm, ``row_number() <= k``
-    (a partial ``WindowGroupLimit`` before the shuffle), ids joined to winners."""
+    if allowed_docs is not None:
+        docs = docs.join(allowed_docs.select("id").distinct(), "id", "left_semi")
+    pads = questions.select(F.col(q_col).alias("q_id"), F.explode(first_k_docs(docs, k)).alias("p")) \
+        .select("q_id", F.col("p.pos").alias("pos")) if pad else None
+    return _rank_contributions(contrib, index, docs, k, pads, docs.select("pos") if allowed_docs is not None else None)
+
+
+def _rank_contributions(contrib: DataFrame, index: TfidfIndex, docs: DataFrame, k: int,
+                        pads: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(q_id, pos, c) -> top-k (q_id, rank, id, pos, score): sums per (question,
+    document) and the cosine by the document norm inside the index's buckets,
+    ``row_number() <= k`` (a partial ``WindowGroupLimit`` before the one shuffle),
+    ids joined to the winners. ``only`` (pos) restricts the documents once the
+    terms have cut the index down. ``pads`` (q_id, pos) are candidates with score 0,
+    ranked with the winners: at most 2k rows per question, so a pad that scores but
+    is no winner has k better rows before it."""
     summed = contrib.groupBy("q_id", "pos").agg(F.sum("c").alias("dot"))
+    if only is not None:
+        summed = summed.join(only, "pos", "left_semi")
     scored = summed.join(index.norms, "pos", "left").select(
         "q_id", "pos", F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)).alias("score_raw"))
-    top = rank_top_k(scored, k).join(docs.select("pos", "id"), "pos")
+    top = rank_top_k(scored, k)
+    if pads is not None:
+        both = top.select("q_id", "pos", "score_raw").unionByName(pads.withColumn("score_raw", F.lit(0.0)))
+        top = rank_top_k(both.groupBy("q_id", "pos").agg(F.max("score_raw").alias("score_raw")), k)
+    top = top.join(docs.select("pos", "id"), "pos")
     return top.select("q_id", "rank", "id", "pos",
                       F.round("score_raw", OUT_DIGITS).alias("score"))
 
@@ -247,9 +255,9 @@ def tenant_topk(questions: DataFrame, index: TfidfIndex, doc_tenants: DataFrame,
     """Cosine top-k where every question searches only its own tenant's documents.
 
     ``questions`` carries (q_id, question, tenant) and ``doc_tenants`` (pos,
-    tenant). The tenant is part of the join key: question terms meet postings
-    on (term, tenant), so no document of another tenant is ever scored, and
-    padding takes the first k documents *of the question's tenant* (a
+    tenant). Question terms cut the index first; what they hit is joined to
+    ``doc_tenants`` on pos and cut to the question's tenant before it is summed, inside the index's buckets,
+    so no document of another tenant is ever scored. Padding takes the first k documents *of the question's tenant* (a
     per-tenant ``row_number() <= k``, partially limited before its shuffle).
     Rows without a tenant on either side never match; report them with
     ``tenant_rejects``. idf stays that of the shared index, as with any
@@ -263,15 +271,17 @@ def tenant_topk(questions: DataFrame, index: TfidfIndex, doc_tenants: DataFrame,
         query_terms = query_term_rows(qs, index.stop_words)
     small = query_terms <= MAX_BROADCAST_QUERY_TERMS
     qv = query_vectors(qs, index, broadcast=small).join(qs.select("q_id", "tenant"), "q_id")
-    postings = index.tf.join(dt, "pos")
-    contrib = (F.broadcast(qv) if small else qv).join(postings, ["term", "tenant"]).select(
-        "q_id", "pos", (F.col("weight") * _w_raw(F.col("tf"), F.col("idf"))).alias("c"))
+    hits = (F.broadcast(qv) if small else qv).join(index.tf, "term").select(
+        "q_id", "tenant", "pos", (F.col("weight") * _w_raw(F.col("tf"), F.col("idf"))).alias("c"))
+    # written as two bounds: with the tenant as a second join key Spark would deal the hits anew
+    owner = dt.withColumnRenamed("tenant", "_owner")
+    contrib = hits.join(owner, "pos").where("tenant >= _owner and tenant <= _owner").select("q_id", "pos", "c")
     docs = index.docs.join(dt.select("pos"), "pos", "left_semi")
+    pads = None
     if pad:
         first = dt.withColumn("_r", F.row_number().over(Window.partitionBy("tenant").orderBy("pos")))
-        pads = qs.select("q_id", "tenant").join(first.where(F.col("_r") <= k), "tenant")
-        contrib = contrib.unionByName(pads.select("q_id", "pos", F.lit(0.0).alias("c")))
-    top = _rank_contributions(contrib, index, docs, k)
+        pads = qs.select("q_id", "tenant").join(first.where(F.col("_r") <= k), "tenant").select("q_id", "pos")
+    top = _rank_contributions(contrib, index, docs, k, pads)
     return top.join(qs.select("q_id", "tenant"), "q_id").select(
         "q_id", "tenant", "rank", "id", "pos", "score")
 
@@ -303,19 +313,21 @@ def _vector_topk_fn(bc, k: int):
                 continue
             d = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
             dn = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
-            sims = qn @ dn.T                       # (queries, docs in this batch)
-            kk = min(k, sims.shape[1])
-            # partial top-k per query inside the batch: exactly k, cut by the final ranking's
-            # own key (rounded score, then position), so near-ties cannot lose a row
+            kk = min(k, len(dn))
             pos = pdf["pos"].to_numpy()
-            di = np.concatenate([np.lexsort((pos, -row))[:kk] for row in np.round(sims, 9)])
-            qi = np.repeat(np.arange(len(sims)), kk)
-            yield pd.DataFrame({
-                "q_id": query_ids[qi],
-                "id": pdf["id"].to_numpy()[di],
-                "pos": pdf["pos"].to_numpy()[di],
-                "score_raw": sims[qi, di],
-            })
+            block = max(1, PRODUCT_VALUES // len(dn))
+            for lo in range(0, len(qn), block):
+                sims = qn[lo:lo + block] @ dn.T    # (queries of the block, docs in this batch)
+                # partial top-k per query inside the batch: exactly k, cut by the final ranking's
+                # own key (rounded score, then position), so near-ties cannot lose a row
+                di = np.concatenate([np.lexsort((pos, -row))[:kk] for row in np.round(sims, 9)])
+                qi = np.repeat(np.arange(len(sims)), kk)
+                yield pd.DataFrame({
+                    "q_id": query_ids[lo + qi],
+                    "id": pdf["id"].to_numpy()[di],
+                    "pos": pos[di],
+                    "score_raw": sims[qi, di],
+                })
     return fn
 
 
@@ -327,6 +339,8 @@ VECTOR_OUT = T.StructType([
 # Query vectors are broadcast to every task; above this many values the
 # queries are split by hash into several passes over the corpus instead.
 MAX_BROADCAST_QUERY_VALUES = 4_000_000
+# Similarities held at once by a task (64 MB).
+PRODUCT_VALUES = 8_000_000
 
 
 def vector_topk(query_vecs: DataFrame, doc_vecs: DataFrame, k: int,
@@ -340,7 +354,8 @@ def vector_topk(query_vecs: DataFrame, doc_vecs: DataFrame, k: int,
     partition computes its similarities with one matrix product (Arrow batches
     through ``mapInPandas``) and emits only its own top-k per query; the global
     top-k is a ``row_number`` window. Query x document pairs are never
-    materialised as rows.
+    materialised as rows. A vector that is null, or not as long as the longest query
+    vector, is similar to nothing and is left out on either side.
     """
     spark = query_vecs.sparkSession
     qv = query_vecs.select(F.col(q_col).cast("long").alias("q_id"),
@@ -348,12 +363,13 @@ def vector_topk(query_vecs: DataFrame, doc_vecs: DataFrame, k: int,
     stats = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
     n_q, dims = int(stats["n"]), int(stats["dims"] or 0)
     out_schema = "q_id long, rank int, id long, pos long, score double"
-    if n_q == 0:
+    if n_q == 0 or dims <= 0:
         return spark.createDataFrame([], out_schema)
     passes = max(1, -(-(n_q * max(dims, 1)) // MAX_BROADCAST_QUERY_VALUES))
+    qv = qv.where(F.size("vec") == dims)
     docs = doc_vecs.select(F.col(id_col).cast("long").alias("id"),
                            F.col(pos_col).cast("long").alias("pos"),
-                           F.col(vec_col).cast("array<double>").alias("vec"))
+                           F.col(vec_col).cast("array<double>").alias("vec")).where(F.size("vec") == dims)
     cand = None
     for p in range(passes):
         part = qv if passes == 1 else qv.where(F.pmod(F.hash("q_id"), F.lit(passes)) == p)

@@ -196,3 +196,10 @@ def test_tenant_topk_never_crosses_tenants(spark, kb):
         [(r["id"], r["score"]) for r in sorted([r for r in got if r["q_id"] == 0], key=lambda r: r["rank"])]
     rej = {(r["kind"], r["key"]) for r in rt.tenant_rejects(qs, dt.join(idx.docs, "pos"), doc_col="id").collect()}
     assert ("question", "3") in rej and len([k for k in rej if k[0] == "document"]) == 1
+
+
+def test_vector_topk_leaves_out_null_and_ragged_vectors(spark):
+    docs = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, None), (3, 3, [1.0]), (4, 4, [0.0, 1.0])], "id long, pos long, vec array<double>")
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "q_id long, vec array<double>")
+    got = [(r["q_id"], r["id"]) for r in rt.vector_topk(qs, docs, 3).orderBy("q_id", "rank").collect()]
+    assert got == [(1, 1), (1, 4)]

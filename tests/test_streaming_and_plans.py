@@ -1,6 +1,8 @@
 """Stream results equal batch results; physical plans have the intended shape."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from coverwise.plans.catalog import load_all
@@ -45,7 +47,7 @@ def test_no_cartesian_or_python_in_ranking_and_qa(spark):
     for name in ("tfidf_topk_padded", "qa_end_to_end", "config_sweep", "psi_weekly",
                  "federated_topk", "tenant_topk", "slice_gate", "eval_relevance_pairs"):
         p = _plan(qs[name].fn(spark, SF001))
-        for bad in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
+        for bad in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
             assert bad not in p, (name, bad)
         # nested-loop joins are allowed only for nothing: pads and N are scalar subqueries
         assert "BroadcastNestedLoopJoin" not in p, name
@@ -60,12 +62,46 @@ def test_ranking_never_shuffles_term_frequencies(spark):
     # the index is fitted before ranking; small question sides are broadcast to
     # the tf scan, so no exchange partitions anything by term alone
     qs = load_all()
-    for name in ("tfidf_topk_padded", "tenant_topk", "federated_topk"):
+    for name in ("tfidf_topk_padded", "filtered_topk", "tenant_topk", "federated_topk"):
         p = _plan(qs[name].fn(spark, SF001))
         assert "BroadcastHashJoin" in p, name
         assert "hashpartitioning(term" not in p, name
 
 
+def _above(plan: str, mark: str) -> list[list[str]]:
+    """For each line with ``mark``: the operators above it, nearest first."""
+    lines = [(len(re.match(r"[\s:+\-]*", x)[0]), x.strip(" :+-")) for x in plan.splitlines()]
+    out = []
+    for i, (depth, text) in enumerate(lines):
+        if mark in text:
+            chain = []
+            for d, t in reversed(lines[:i]):
+                if d < depth:
+                    depth = d
+                    chain.append(t)
+            out.append(chain)
+    return out
+
+
+def test_ranking_sums_inside_the_index_buckets(spark):
+    """With joins planned as for large tables: what is read from tf or norms is dealt to other tasks
+    only after the partial top-k cut."""
+    qs = load_all()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("tfidf_topk", "tfidf_topk_padded", "filtered_topk", "tenant_topk"):
+            plan = _plan(qs[name].fn(spark, SF001)).split("Initial Plan")[0]
+            for table in ("coverwise_tf_", "coverwise_norms_"):
+                chains = _above(plan, table)
+                assert chains, (name, table)
+                for chain in chains:
+                    first = next(k for k, t in enumerate(chain) if "Exchange" in t)
+                    assert "WindowGroupLimit" in chain[first - 1] and "Partial" in chain[first - 1], (name, chain[:first + 1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_silver_dedupe_limits_before_shuffle(spark):
     p = _plan(load_all()["silver_benefit_policy"].fn(spark, SF001))
     assert "WindowGroupLimit" in p
