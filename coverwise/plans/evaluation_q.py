@@ -1,12 +1,15 @@
 """Evaluation, sweep, gate and registry queries."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import QaConfig, configs_frame, grid_configs
 from ..operators import evaluation as ev
 from ..operators import registry as reg
 from ..sources import sinks, tables
+from ..sources.json_docs import read_eval_set
 from ..session import materialize, scratch_path
 from .catalog import query
 from .qa_q import _MARK, DEFAULT, answers, sql_overlap, sql_rewrite, sql_strip, sql_words
@@ -158,7 +161,7 @@ def eval_inputs(ctx: Ctx):
     qs = ctx.questions
     docs = tables.documents(ctx.spark, ctx.sf_dir).select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
-    pairs = ev.containment_pairs(qs, docs)
+    pairs = materialize(ev.containment_pairs(qs, docs), "pairs")
     must = qs.select("q_id", ev.first_word(F.col("question")).alias("must_include"))
     ctx.__dict__["_eval_inputs"] = (qs, pairs, must)
     return qs, pairs, must
@@ -212,6 +215,21 @@ def q_eval_set(spark, sf_dir):
         F.coalesce(F.element_at("must_include", 1), F.lit("")).alias("must_include"))
 
 
+@query("eval_set_from_json", """
+SELECT CAST(item_id AS VARCHAR) AS id, text AS question,
+       regexp_extract(text, '[\\p{L}\\p{N}_]+') AS must_include, 1 AS n_must
+FROM benchmark WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')""", ops=("S2",))
+def q_eval_set_from_json(spark, sf_dir):
+    """The eval set written as JSON lines and read back through the eval-set reader."""
+    path = scratch_path(spark, "eval_json", uuid.uuid4().hex)
+    tables.benchmark(spark, sf_dir).select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"),
+        ev.first_word(F.col("text")).alias("must_include")).write.json(path)
+    got = read_eval_set(spark, path, multiline=False)
+    return got.where(F.size("must_include") > 0).select(
+        "id", "question", F.col("must_include")[0].alias("must_include"), F.size("must_include").alias("n_must"))
+
+
 @query("eval_recall", statement("SELECT recall_at_k, n FROM ev_default", "ev_default"), ops=("E1", "J3"))
 def q_eval_recall(spark, sf_dir):
     return default_metrics(Ctx(spark, sf_dir)).select("recall_at_k", "n")
@@ -255,7 +273,6 @@ def q_promotion_gate_low(spark, sf_dir):
     "SELECT model_key, config_id, version, stage FROM reg_low", "reg_low"), ops=("L2", "L3", "S10"))
 def q_registry_replay(spark, sf_dir):
     # events appended to a written log, reopened and replayed
-    import uuid
     regs, promos = registry_frames(Ctx(spark, sf_dir), LOW_FLOORS)
     log = scratch_path(spark, "registry", uuid.uuid4().hex)
     reg.append_events(regs.drop("version"), promos, log)
@@ -306,7 +323,6 @@ SELECT 'trial-' || CAST(config_id AS VARCHAR) AS run_name,
        CAST(n AS DOUBLE) AS m_n, avg_top_score AS m_avg_top_score
 FROM sweep""", "sweep"), ops=("S9",))
 def q_run_log(spark, sf_dir):
-    import uuid
     path = scratch_path(spark, "runs", uuid.uuid4().hex)
     sinks.append_runs(sweep_results(Ctx(spark, sf_dir)), path)
     runs = sinks.read_runs(spark, path)

@@ -1,14 +1,17 @@
 """Queries for sources, the medallion tables, DQ, semantic layer and governance."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import governance as gov
 from ..operators import medallion as med
 from ..operators import semantic as sem
+from ..session import scratch_path
 from ..sources import adapters as ad
-from ..sources import tables
+from ..sources import sinks, tables
 from ..sources.json_docs import bronze_from_json_documents
 from .catalog import query
 from .sqlkit import cte, statement
@@ -94,6 +97,19 @@ def q_bronze_policy_feed(spark, sf_dir):
                     "file_hash")
 
 
+@query("bronze_landed", statement("""
+SELECT source_id, source_system, ingest_batch_id, ingested_at, file_hash FROM raw_policy_feed""",
+                                  "raw_policy_feed"), ops=("S4",))
+def q_bronze_landed(spark, sf_dir):
+    """Two loads appended to the landing table, partitioned by batch, and read back."""
+    path = scratch_path(spark, "bronze_landed", uuid.uuid4().hex)
+    b = bronze(spark, sf_dir).select("source_id", "source_system", "ingest_batch_id", "ingested_at", "file_hash")
+    late = F.col("ingest_batch_id") == "batch_6"
+    sinks.append_landing(b.where(~late), path)
+    sinks.append_landing(b.where(late), path)
+    return spark.read.schema(b.schema).parquet(path).select(*b.columns)
+
+
 @query("bronze_member_events", statement("SELECT * FROM raw_member_events", "raw_member_events"),
        ops=("S5",))
 def q_bronze_member_events(spark, sf_dir):
@@ -143,6 +159,19 @@ def q_silver(spark, sf_dir):
     return silver(spark, sf_dir)
 
 
+@query("silver_current", statement("SELECT * FROM silver", "silver"), ops=("S6",))
+def q_silver_current(spark, sf_dir):
+    """Full refresh: a version of the first loads, then of all, each published; a third is written but
+    never published. Readers get the second."""
+    base = scratch_path(spark, "silver_versions", uuid.uuid4().hex)
+    first = med.silver_benefit_policy(bronze(spark, sf_dir).where("ingest_batch_id <> 'batch_6'"))
+    rows = silver(spark, sf_dir).select(*first.columns)
+    for version, part in (("1", first), ("2", rows)):
+        sinks.publish(spark, base, sinks.write_version(part, base, version))
+    sinks.write_version(first, base, "3")
+    return sinks.read_current(spark, base)
+
+
 @query("silver_rejects", statement("""
 SELECT CASE WHEN raw_body IS NULL THEN 'null_body' ELSE 'blank_body' END AS reason,
        count(*) AS n_rows
@@ -435,8 +464,6 @@ def q_version_in_effect(spark, sf_dir):
 SELECT lang AS category, count(*) AS n_documents, sum(length(text)) AS n_chars
 FROM documents GROUP BY lang""", ops=("S1",))
 def q_kb_category_counts(spark, sf_dir):
-    import uuid
-    from ..session import scratch_path
     from ..sources.json_docs import read_documents
     path = scratch_path(spark, "kb_json", uuid.uuid4().hex)
     docs = tables.documents(spark, sf_dir).select(
