@@ -64,6 +64,7 @@ def _class_of(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _first = np.array([k for k in range(7)] + [((4 + k % 4) << (k // 4 + 1)) - 1 for k in range(CLASSES - 7)], np.int64)
+_HALVES = [CLASSES >> k for k in range(1, CLASSES.bit_length())]
 _bits = np.array([0] * 7 + [k // 4 + 1 for k in range(CLASSES - 7)], np.int64)
 
 
@@ -83,31 +84,37 @@ class _Model:
     def predict(self):
         n = self.n
         if self.step % REFRESH == 0:
-            over = self.freq.sum(axis=1) > LIMIT
-            if over.any():
-                self.freq[over] = (self.freq[over] + 1) >> 1
             self.cum = np.zeros((n, CLASSES + 1), np.int64)
             np.cumsum(self.freq, axis=1, out=self.cum[:, 1:])
+            over = np.flatnonzero(self.cum[:, -1] > LIMIT)
+            if len(over):
+                self.freq[over] = (self.freq[over] + 1) >> 1
+                self.cum[over, 1:] = np.cumsum(self.freq[over], axis=1)
         base = self.row << SLOT_BITS
         mask = (1 << SLOT_BITS) - 1
         self.at1 = base + ((self.prev1 * 40503 >> 5) & mask)
         self.at2 = base + (((self.prev1 * 40503) ^ (self.prev2 * 30011)) >> 4 & mask)
-        self.say1, self.say2 = self.one[self.at1], self.two[self.at2]
+        self.say1, self.say2 = self.one.take(self.at1), self.two.take(self.at2)
         same = self.say1 == self.say2
-        self.ctx = (self.row << 5) + (self.sure2[self.at2].astype(np.int64) << 3) + (self.sure1[self.at1].astype(np.int64) << 1) + same
-        self.w = self.weight[self.ctx]
-        self.total = self.w.sum(axis=1)
-
-    def update(self, rank: np.ndarray, how: np.ndarray, cls: np.ndarray):
-        self.weight[self.ctx, how] += STEP
+        self.ctx = (self.row << 5) + (self.sure2.take(self.at2).astype(np.int64) << 3) + (self.sure1.take(self.at1).astype(np.int64) << 1) + same
+        w = self.weight.take(self.ctx, axis=0)
+        self.first, self.second = w[:, 0], w[:, 0] + w[:, 1]  # where order 1 and order 0 start
+        self.total = self.second + w[:, 2]
+
+    def parts(self, how: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the way ``how`` of each block."""
+        start = np.where(how == 0, 0, np.where(how == 1, self.first, self.second))
+        return start, np.where(how == 0, self.first, np.where(how == 1, self.second, self.total)) - start
+
+    def update(self, rank: np.ndarray, how: np.ndarray, missed: np.ndarray, cls: np.ndarray):
+        self.weight.reshape(-1)[self.ctx * 3 + how] += STEP
         big = self.total > LIMIT - STEP
         if big.any():
             self.weight[self.ctx[big]] = (self.weight[self.ctx[big]] + 1) >> 1
-        missed = np.flatnonzero(how == 2)
-        self.freq[missed, cls[missed]] += STEP
+        self.freq.reshape(-1)[missed * CLASSES + cls] += STEP
         for at, say, table, sure in ((self.at1, self.say1, self.one, self.sure1), (self.at2, self.say2, self.two, self.sure2)):
             hit = say == rank
-            s = sure[at]
+            s = sure.take(at)
             table[at] = np.where(hit | (s > 0), say, rank)
             sure[at] = np.where(hit, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
         self.prev2, self.prev1 = self.prev1, rank.astype(np.int64)
@@ -117,22 +124,25 @@ class _Model:
 class _Encoder:
     def __init__(self, n: int, words: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-        self.out, self.used, self.row = np.zeros((n, words), np.uint32), np.zeros(n, np.int64), np.arange(n)
-
-    def code(self, start, size, total):
-        r = self.range // total
-        self.low += start * r
-        self.range = r * size
-        carry = np.flatnonzero(self.low >> np.uint64(48))
+        self.out, self.used, self.row = np.zeros((words, n), np.uint32), np.zeros(n, np.int64), np.arange(n)
+
+    def code(self, start, size, total, at=None):
+        """Code one interval of every block, or of the blocks ``at``."""
+        k = slice(None) if at is None else at
+        r = self.range[k] // total
+        low, r_new = self.low[k] + start * r, r * size
+        carry = np.flatnonzero(low >> np.uint64(48))
         if len(carry):
-            self.out[carry, self.used[carry] - 1] += 1
-            self.low[carry] &= _M48
-        short = np.flatnonzero(self.range < (1 << 32))
+            c = carry if at is None else at[carry]
+            self.out[self.used[c] - 1, c] += 1
+            low[carry] &= _M48
+        self.low[k], self.range[k] = low, r_new
+        short = np.flatnonzero(r_new < (1 << 32))
         if len(short):
-            self._shift(short)
+            self._shift(short if at is None else at[short])
 
     def _shift(self, k):
-        self.out[k, self.used[k]] = (self.low[k] >> np.uint64(32)).astype(np.uint32)
+        self.out[self.used[k], k] = (self.low[k] >> np.uint64(32)).astype(np.uint32)
         self.used[k] += 1
         self.low[k] = (self.low[k] << np.uint64(16)) & _M48
         self.range[k] <<= np.uint64(16)
@@ -140,32 +150,37 @@ class _Encoder:
     def finish(self) -> list[np.ndarray]:
         for _ in range(3):
             self._shift(self.row)
-        for k in range(self.out.shape[1] - 1, 0, -1):  # carries run to the front
-            self.out[:, k - 1] += self.out[:, k] >> 16
-        words = (self.out & 0xFFFF).astype("<u2")
+        out = self.out[:int(self.used.max())]
+        for k in range(len(out) - 1, 0, -1):  # carries run to the front
+            out[k - 1] += out[k] >> 16
+        words = (out & 0xFFFF).astype("<u2").T.copy()
         return [words[k, :n] for k, n in enumerate(self.used.tolist())]
 
 
 class _Decoder:
     def __init__(self, words: list[np.ndarray]):
         n = len(words)
-        self.data = np.zeros((n, max(map(len, words)) + 3), np.uint64)
+        self.data = np.zeros((max(map(len, words)) + 3, n), np.uint64)
         for k, w in enumerate(words):
-            self.data[k, :len(w)] = w
+            self.data[:len(w), k] = w
         self.row = np.arange(n)
-        self.code_ = (self.data[:, 0] << np.uint64(32)) | (self.data[:, 1] << np.uint64(16)) | self.data[:, 2]
+        self.code_ = (self.data[0] << np.uint64(32)) | (self.data[1] << np.uint64(16)) | self.data[2]
         self.range, self.used = np.full(n, 1 << 48, np.uint64), np.full(n, 3, np.int64)
 
-    def value(self, total):
-        self.r = self.range // total
-        return np.minimum(self.code_ // self.r, total - np.uint64(1))
-
-    def take(self, start, size):
-        self.code_ -= start * self.r
-        self.range = self.r * size
-        k = np.flatnonzero(self.range < (1 << 32))
+    def value(self, total, at=None):
+        k = slice(None) if at is None else at
+        self.r = self.range[k] // total
+        return np.minimum(self.code_[k] // self.r, total - np.uint64(1))
+
+    def take(self, start, size, at=None):
+        k = slice(None) if at is None else at
+        left = self.r * size
+        self.code_[k] -= start * self.r
+        self.range[k] = left
+        k = np.flatnonzero(left < (1 << 32))
         if len(k):
-            self.code_[k] = (self.code_[k] << np.uint64(16)) | self.data[k, self.used[k]]
+            k = k if at is None else at[k]
+            self.code_[k] = (self.code_[k] << np.uint64(16)) | self.data[self.used[k], k]
             self.used[k] += 1
             self.range[k] <<= np.uint64(16)
 
@@ -178,19 +193,22 @@ def encode_blocks(ranks: np.ndarray) -> list[np.ndarray]:
     """[blocks, length] of ranks -> 16-bit words of each block."""
     n, length = ranks.shape
     model, coder = _Model(n), _Encoder(n, 3 * length + 8)
+    ranks = ranks.T.copy()  # by step
     classes, places, bits = _class_of(ranks)
     for t in range(length):
         model.predict()
-        rank, cls = ranks[:, t], classes[:, t]
+        rank, cls = ranks[t], classes[t]
         how = np.where(rank == model.say2, 0, np.where(rank == model.say1, 1, 2))
-        w = model.w
-        coder.code(_u(np.where(how == 0, 0, np.where(how == 1, w[:, 0], w[:, 0] + w[:, 1]))), _u(w[model.row, how]), _u(model.total))
-        miss = how == 2
+        start, size = model.parts(how)
+        coder.code(_u(start), _u(size), _u(model.total))
+        miss = np.flatnonzero(how == 2)
+        cls = cls[miss]
         cum = model.cum
-        start, end = cum[model.row, cls], cum[model.row, cls + 1]
-        coder.code(_u(np.where(miss, start, 0)), _u(np.where(miss, end - start, 1)), _u(np.where(miss, cum[:, -1], 1)))
-        coder.code(_u(np.where(miss, places[:, t], 0)), np.uint64(1), _u(np.where(miss, 1 << bits[:, t], 1)))
-        model.update(rank, how, cls)
+        flat, at = cum.reshape(-1), miss * (CLASSES + 1)
+        start = flat.take(at + cls)
+        coder.code(_u(start), _u(flat.take(at + cls + 1) - start), _u(flat.take(at + CLASSES)), miss)
+        coder.code(_u(places[t][miss]), np.uint64(1), _u(1 << bits[t][miss]), miss)
+        model.update(rank, how, miss, cls)
     return coder.finish()
 
 
@@ -198,27 +216,29 @@ def decode_blocks(words: list[np.ndarray], length: int) -> np.ndarray:
     """The inverse of :func:`encode_blocks` for blocks of one length."""
     n = len(words)
     model, coder = _Model(n), _Decoder(words)
-    out = np.zeros((n, length), np.int64)
+    out = np.zeros((length, n), np.int64)
     for t in range(length):
         model.predict()
-        w = model.w
         v = coder.value(_u(model.total)).astype(np.int64)
-        a, b = w[:, 0], w[:, 0] + w[:, 1]
-        how = (v >= a).astype(np.int64) + (v >= b)
-        coder.take(_u(np.where(how == 0, 0, np.where(how == 1, a, b))), _u(w[model.row, how]))
-        miss = how == 2
+        how = (v >= model.first).astype(np.int64) + (v >= model.second)
+        start, size = model.parts(how)
+        coder.take(_u(start), _u(size))
+        miss = np.flatnonzero(how == 2)
         cum = model.cum
-        v = coder.value(_u(np.where(miss, cum[:, -1], 1))).astype(np.int64)
-        cls = (cum[:, 1:] <= v[:, None]).sum(axis=1)
-        start, end = cum[model.row, cls], cum[model.row, cls + 1]
-        coder.take(_u(np.where(miss, start, 0)), _u(np.where(miss, end - start, 1)))
-        bits = np.where(miss, _bits[cls], 0)
-        place = coder.value(_u(1 << bits)).astype(np.int64)
-        coder.take(_u(place), np.uint64(1))
-        rank = np.where(how == 0, model.say2, np.where(how == 1, model.say1, _first[cls] + place))
-        out[:, t] = rank
-        model.update(rank, how, cls)
-    return out
+        flat, at = cum.reshape(-1), miss * (CLASSES + 1)
+        v = coder.value(_u(flat.take(at + CLASSES)), miss).astype(np.int64)
+        cls = np.zeros(len(miss), np.int64)
+        for half in _HALVES:  # the last class that starts at v or before
+            cls += half * (flat.take(at + cls + half) <= v)
+        start = flat.take(at + cls)
+        coder.take(_u(start), _u(flat.take(at + cls + 1) - start), miss)
+        place = coder.value(_u(1 << _bits[cls]), miss).astype(np.int64)
+        coder.take(_u(place), np.uint64(1), miss)
+        rank = np.where(how == 0, model.say2, model.say1).astype(np.int64)
+        rank[miss] = _first[cls] + place
+        out[t] = rank
+        model.update(rank, how, miss, cls)
+    return out.T.copy()
 
 
 # ---------------------------------------------------------------- files
