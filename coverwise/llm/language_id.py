@@ -8,10 +8,11 @@ One character model per language, learned from the labelled rows:
 * Kneser-Ney: the highest order uses counts, lower orders use the number of distinct
   characters an n-gram continues, each order is interpolated with the next lower one,
   down to a uniform distribution;
-* per order, the n-grams of all languages lie in one array sorted by 64-bit hash, with
-  the log-probability of every language beside it, and so do the contexts with their
-  back-off weights. A lookup narrows the place by the hash's leading bits (hashes are
-  uniform) and compares from there.
+* each order is a Spark table of all counted n-grams, made from the one above and below it
+  by aggregations and joins. The log-probability of a character is a sum of independent
+  terms, one per order: what an n-gram adds over its back-off, and the back-off weight of
+  a context. The terms are hashed (64 bits) and broadcast in sorted parts of ``PART`` terms;
+  a part is looked up on its own and the sums add up, so no part needs another one.
 
 A text's language is the one of lowest cross-entropy per character. ``score`` is
 the posterior share of that language when the cross-entropy difference is weighed by
@@ -25,15 +26,15 @@ Defined results: a null text or a text without a letter is ``und`` with score 0
 is rejected; rows with a null language are never learned from; a language whose rows
 have no letter is not learned; with no training row at all every text is ``und`` and rejected; ties go to the
 language first in the alphabet; ids may be null or repeated; only the named
-columns are read. The model's size is bounded by ``MAX_NGRAMS`` per order and language (the
-most frequent stay, ties by text); the counts behind it cover every training text.
+columns are read. Every n-gram of a training text is in the model, however many there are;
+where it has several parts, a worker holds one at a time.
 """
 from __future__ import annotations
 
 import math
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ from .tokens import blocks
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_NGRAMS = 200_000
+PART = 2_000_000
+KNOWN = 1 << 20
 EVIDENCE = 200
 MIN_LETTERS = 40
 REJECT_SHARE = 0.001
@@ -184,121 +186,204 @@ class HashArray:
         return out
 
 
-@dataclass
+GRAM, CONTEXT = 0, 1
+
+
+def _term_key(h: np.ndarray, kind) -> np.ndarray:
+    return np.where(kind == CONTEXT, ~h, h)
+
+
+def model_part(keys: np.ndarray, langs: np.ndarray, values: np.ndarray) -> tuple[HashArray, np.ndarray, np.ndarray]:
+    """(first and last place of each key, language numbers, values), the terms sorted by key."""
+    order = np.argsort(keys, kind="stable")
+    u, first = np.unique(keys[order], return_index=True)
+    return HashArray(u, np.column_stack([first, np.append(first[1:], len(keys))[:len(u)]])), langs[order], values[order]
+
+
 class Model:
-    """``grams[k]`` and ``contexts[k]`` for n-grams of k + 1 characters: log P and log back-off per language."""
-    langs: list[str]
-    grams: list[HashArray]
-    contexts: list[HashArray]
-    floor: float
+    """Looks the log-probabilities of characters up in ``parts`` (objects whose ``value`` is a :func:`model_part`).
+
+    The rows of the last ``KNOWN`` n-grams asked for are kept, so the parts are gone through for new ones only.
+    """
+
+    def __init__(self, langs: list[str], floor: float, parts: list, order: int = ORDER):
+        self.langs, self.floor, self.parts, self.order = langs, floor, parts, order
+        self.known = HashArray(np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32))
+
+    def _windows(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return points[np.maximum(at[:, None] + np.arange(1 - self.order, 1), 0)].reshape(-1)
+
+    def _rows(self, points: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """[places, languages]: log P of the character at each place given the ``width - 1`` ones before it."""
+        order, flat = self.order, self._windows(points, at)
+        asks = []
+        for k in range(1, order + 1):
+            row = np.flatnonzero(width >= k)
+            asks.append((row, _term_key(hashes(flat, k)[order - 1::order][row], GRAM)))
+            if k > 1:  # the context ends one place before
+                asks.append((row, _term_key(hashes(flat, k - 1)[order - 2::order][row], CONTEXT)))
+        out = np.full((len(at), len(self.langs)), self.floor)
+        for part in self.parts:
+            table, langs, values = part.value
+            for row, keys in asks:
+                found = table.find(keys)
+                hit = np.flatnonzero(found >= 0)
+                first, end = table.rows[found[hit]].T
+                n = end - first
+                term = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                np.add.at(out, (np.repeat(row[hit], n), langs[term]), values[term])
+            if len(self.parts) > 1 and hasattr(part, "_value"):
+                del part._value  # a broadcast keeps what it has read
+        return out.astype(np.float32)
 
     def log_probability(self, points: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """[characters, languages]: log P of each character given those before it in its text."""
-        order = len(self.grams)
-        n, ell = len(points), len(self.langs)
-        out = np.zeros((n, ell), np.float32)
-        todo = np.arange(n)
-        begin = np.zeros(n, np.int64)
-        if n:
-            new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            begin = np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))
-        for k in range(order, 0, -1):
-            h = hashes(points, k)
-            enough = begin[todo] >= k - 1  # that many characters of the text lie before
-            row = np.full(len(todo), -1, np.int32)
-            row[enough] = self.grams[k - 1].find(h[todo[enough]])
-            hit = row >= 0
-            out[todo[hit]] += self.grams[k - 1].rows[row[hit]]
-            miss = todo[~hit]
-            if k > 1 and len(miss):
-                # the context is the k - 1 characters that end one place before
-                before = miss[begin[miss] >= k - 1]
-                if len(before):
-                    c = self.contexts[k - 1].find(hashes(points, k - 1)[before - 1])
-                    ok = c >= 0
-                    out[before[ok]] += self.contexts[k - 1].rows[c[ok]]
-            todo = miss
-        out[todo] += self.floor
-        return out
+        n, order = len(points), self.order
+        if not n:
+            return np.zeros((0, len(self.langs)), np.float32)
+        new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        begin = np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))
+        keys = hashes(points, order)
+        short = np.flatnonzero(begin < order - 1)  # fewer characters of the text lie before
+        flat = self._windows(points, short)
+        for k in range(1, order):
+            mine = begin[short] == k - 1
+            keys[short[mine]] = hashes(flat, k)[order - 1::order][mine]
+        row = self.known.find(keys)
+        miss = np.flatnonzero(row < 0)
+        if len(miss):
+            u, first = np.unique(keys[miss], return_index=True)
+            at = miss[first]
+            rows = self._rows(points, at, np.minimum(begin[at] + 1, order))
+            if len(self.known.keys) + len(u) > KNOWN:
+                old = np.unique(row[row >= 0])
+            else:
+                old = np.arange(len(self.known.keys))
+            self.known = HashArray(np.concatenate([self.known.keys[old], u]), np.concatenate([self.known.rows[old], rows]))
+            row = self.known.find(keys)
+        return self.known.rows[row]
 
 
 def build_model(tables: dict[str, dict[str, int]], order: int = ORDER, discount: float = DISCOUNT) -> Model:
-    """Kneser-Ney model from the counts of the highest order per language."""
+    """The model of :func:`train` in plain Python, from the counts of the highest order per language."""
     langs = sorted(tables)
     vocabulary = len({c for t in tables.values() for g in t for c in g}) + 1
-    floor = -math.log(vocabulary)
-    counts: list[list[dict[str, int]]] = []  # [order][language]: counts, then continuation counts
-    for k in range(order, 0, -1):
-        if k == order:
-            counts.insert(0, [dict(tables[x]) for x in langs])
-        else:
-            below = []
-            for t in counts[0]:
-                d: dict[str, int] = {}
-                for g in t:
-                    d[g[1:]] = d.get(g[1:], 0) + 1
-                below.append(d)
+    found: list[tuple[int, str, int, float]] = []  # kind, characters, language, value
+    letters, rests = set(), []
+    for j, lang in enumerate(langs):
+        counts = [tables[lang]]
+        for _ in range(order - 1):
+            below: dict[str, int] = {}
+            for g in counts[0]:
+                below[g[1:]] = below.get(g[1:], 0) + 1
             counts.insert(0, below)
-    prob: list[list[dict[str, float]]] = []
-    back: list[list[dict[str, float]]] = []
-    for k in range(1, order + 1):
-        prob.append([])
-        back.append([])
-        for j in range(len(langs)):
+        lower: dict[str, float] = {}
+        for k, level in enumerate(counts, 1):
             total: dict[str, int] = {}
             kinds: dict[str, int] = {}
-            for g, n in counts[k - 1][j].items():
+            for g, n in level.items():
                 total[g[:-1]] = total.get(g[:-1], 0) + n
                 kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
             rest = {c: discount * kinds[c] / total[c] for c in total}
-
-            def lower(g, k=k, j=j):
-                if k == 1:
-                    return 1 / vocabulary
-                return prob[k - 2][j][g[1:]]  # every suffix of a counted n-gram is counted
-
-            prob[-1].append({g: max(n - discount, 0) / total[g[:-1]] + rest[g[:-1]] * lower(g) for g, n in counts[k - 1][j].items()})
-            back[-1].append(rest)
-
-    def value(k, j, g):
-        if g in prob[k - 1][j]:
-            return prob[k - 1][j][g]
-        rest = back[k - 1][j].get(g[:-1], 1.0)
-        return rest * (value(k - 1, j, g[1:]) if k > 1 else 1 / vocabulary)
-
-    def array(names, rows, k):
-        points = np.array([[ord(c) for c in g] for g in names], np.uint32).reshape(len(names), k)
-        flat = points.reshape(-1)
-        keys = hashes(flat, k)[k - 1::k] if len(names) else np.zeros(0, np.uint64)
-        return HashArray(keys, np.array(rows, np.float32).reshape(len(names), len(langs)))
-
-    grams, contexts = [], []
+            under = {g: lower[g[1:]] if k > 1 else 1 / vocabulary for g in level}  # every suffix of a counted n-gram is counted
+            lower = {g: max(n - discount, 0) / total[g[:-1]] + rest[g[:-1]] * under[g] for g, n in level.items()}
+            found += [(GRAM, g, j, math.log(p / rest[g[:-1]] / under[g])) for g, p in lower.items()]
+            if k > 1:
+                found += [(CONTEXT, c, j, math.log(r)) for c, r in rest.items()]
+            else:
+                letters.update(level)
+                rests += [(j, math.log(r)) for r in rest.values()]
+    found += [(GRAM, g, j, r) for g in letters for j, r in rests]
+    keys = [_term_key(hashes(np.array([ord(c) for c in g], np.uint32), len(g))[-1:], kind)[0] for kind, g, _, _ in found]
+    part = model_part(np.array(keys, np.uint64), np.array([x[2] for x in found], np.int32), np.array([x[3] for x in found]))
+    return Model(langs, -math.log(vocabulary), [SimpleNamespace(value=part)], order)
+
+
+def model_terms(counts: DataFrame, vocabulary: int, order: int = ORDER, discount: float = DISCOUNT) -> tuple[DataFrame, list[DataFrame]]:
+    """(kind, lang, gram, value) of the model of all counts, and the tables to forget after it.
+
+    An n-gram's value is the log of its probability over what backing off would give, a context's
+    the log of its back-off weight. A character that another language knows is backed off to, too.
+    """
+    level = {order: counts}  # counts, then continuation counts
+    for k in range(order - 1, 0, -1):
+        level[k] = save(level[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"language-{k}-grams")
+    out, made = [], [level[k] for k in range(1, order)]
     for k in range(1, order + 1):
-        names = sorted(set().union(*prob[k - 1])) if langs else []
-        grams.append(array(names, [[math.log(value(k, j, g)) for j in range(len(langs))] for g in names], k))
-        known = sorted(set().union(*back[k - 1]) - {""}) if langs else []
-        contexts.append(array(known, [[math.log(back[k - 1][j].get(c, 1.0)) for j in range(len(langs))] for c in known], max(k - 1, 1))
-                        if k > 1 else HashArray(np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32)))
-    return Model(langs, grams, contexts, floor)
+        rest = level[k].groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(
+            F.sum("n").alias("total"), (discount * F.count("*") / F.sum("n")).alias("rest"))
+        t = level[k].withColumn("context", F.substring("gram", 1, k - 1)).join(F.broadcast(rest) if k == 1 else rest, ["lang", "context"])  # k = 1: one row per language
+        if k == 1:
+            t = t.withColumn("lower", F.lit(1 / vocabulary))
+        else:
+            t = t.withColumn("suffix", F.substring("gram", 2, k - 1)).join(made[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("lower")
+        made.append(save(t.select("lang", "gram", "context", "rest", "lower", p.alias("p")), f"language-{k}-probabilities"))
+        out.append(made[-1].select(F.lit(GRAM).alias("kind"), "lang", "gram", F.log(F.col("p") / F.col("rest") / F.col("lower")).alias("value")))
+        if k == 1:
+            every = made[-1].select("gram").distinct().crossJoin(F.broadcast(made[-1].select("lang", "rest").distinct()))  # one row per language
+            out.append(every.select(F.lit(GRAM).alias("kind"), "lang", "gram", F.log("rest").alias("value")))
+        else:
+            out.append(rest.select(F.lit(CONTEXT).alias("kind"), "lang", F.col("context").alias("gram"), F.log("rest").alias("value")))
+    terms = out[0]
+    for t in out[1:]:
+        terms = terms.unionByName(t)
+    return terms, made
 
 
-def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER,
-          max_ngrams: int = MAX_NGRAMS) -> Model:
-    """Count over all rows, keep the most frequent n-grams of each language, build the model."""
+def _packer(langs: list[str]):
+    """mapInArrow function: (kind, lang, gram, value) -> (keys, langs, values, n) as bytes of arrays."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(langs, pa.string())
+        for batch in batches:
+            kind, lang, gram, value = batch.columns
+            size = pc.utf8_length(gram).to_numpy(zero_copy_only=False)
+            strings = np.array(gram.to_pylist(), object)
+            keys = np.zeros(batch.num_rows, np.uint64)
+            for k in np.unique(size):
+                points = np.frombuffer("".join(strings[size == k]).encode("utf-32-le"), np.uint32)
+                keys[size == k] = hashes(points, int(k))[k - 1::k]
+            keys = _term_key(keys, kind.to_numpy())
+            number = pc.index_in(lang, names).to_numpy(zero_copy_only=False).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (keys, number, value.to_numpy())] + [pa.array([batch.num_rows], pa.int64())],
+                                             names=["keys", "langs", "values", "n"])
+    return pack
+
+
+def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> Model:
+    """Count over all rows, make each order's table of all n-grams, broadcast their terms part by part."""
+    context = rows.sparkSession.sparkContext
     counts = save(count_ngrams(rows, lang_col, text_col, order), "language-ngrams")
-    tables: dict[str, dict[str, int]] = {}
-    for r in counts.select("lang").distinct().collect():  # one row per language
-        top = counts.where(F.col("lang") == r["lang"]).orderBy(F.desc("n"), "gram").limit(max_ngrams).collect()
-        tables[r["lang"]] = {x["gram"]: x["n"] for x in top}
-    forget(counts)
-    return build_model(tables, order)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # one row per language
+    letters = F.explode(F.array(*[F.substring("gram", i, 1) for i in range(1, order + 1)]))
+    vocabulary = counts.select(letters.alias("c")).distinct().count() + 1
+    terms, made = model_terms(counts, vocabulary, order)
+    packed = save(terms.repartition("gram").mapInArrow(_packer(langs), "keys binary, langs binary, values binary, n long"), "language-terms")
+    forget(counts, *made)
+    parts, held, n = [], [], 0
+
+    def close():
+        part = model_part(*(np.frombuffer(b"".join(bytes(r[c]) for r in held), t) for c, t in (("keys", np.uint64), ("langs", np.int32), ("values", np.float64))))
+        parts.append(context.broadcast(part))
+        held.clear()
+
+    for r in packed.toLocalIterator():
+        if held and n + r["n"] > PART:
+            close()
+            n = 0
+        held.append(r)
+        n += r["n"]
+    if held:
+        close()
+    forget(packed)
+    return Model(langs, -math.log(vocabulary), parts, order)
 
 
 # ---------------------------------------------------------------- prediction
 
-def _predictor(shared):
+def _predictor(langs: list[str], floor: float, parts: list):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(langs, floor, parts)
         ell = len(model.langs)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
@@ -337,14 +422,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from the rows that are not held out, then predicts from the text alone.
     """
-    spark = docs.sparkSession
     held = held_out(F.col(id_col)) if is_held_out is None else is_held_out
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"), held.alias("held_out"))
     model = train(rows.where(~F.col("held_out")))
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_NGRAMS n-grams per order and language
     out = save(rows.select("doc_id", "held_out", "lang", "text").mapInArrow(
-        _predictor(shared), "doc_id long, held_out boolean, lang string, lang_pred string, score double, entropy double, n_letters long"),
+        _predictor(model.langs, model.floor, model.parts), "doc_id long, held_out boolean, lang string, lang_pred string, score double, entropy double, n_letters long"),
         "language-predictions")
     limits = (out.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")) & (F.col("n_letters") >= MIN_LETTERS))
               .groupBy("lang_pred").agg(F.percentile_approx("entropy", 1 - REJECT_SHARE, 10_000).alias("limit")).collect())  # one row per language

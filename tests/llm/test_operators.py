@@ -94,6 +94,22 @@ def test_kneser_ney_sums_to_one():
         assert 0.5 < total <= 1.0001  # the rest is for characters never seen
 
 
+def test_language_model_keeps_every_ngram(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    text = lambda lo, n: "".join(map(chr, rng.integers(lo, lo + 6000, n)))
+    texts = [("zh", text(0x4E00, 60_000)) for _ in range(4)] + [("ko", text(0xAC00, 5_000)), ("en", "some words and some other words")]
+    counts = defaultdict(Counter)
+    for lang, t in texts:
+        t = f" {t} "
+        counts[lang].update(t[i:i + 4] for i in range(len(t) - 3))
+    assert len(counts["zh"]) > 200_000
+    monkeypatch.setattr(language_id, "PART", 400_000)  # so that there are several parts
+    model, whole = language_id.train(spark.createDataFrame(texts, "lang string, text string")), language_id.build_model(counts)
+    assert model.langs == whole.langs and model.floor == whole.floor and len(model.parts) > 1
+    points, doc = language_id.characters(pa.array([t[:3000] for _, t in texts] + ["words \u4e00\u0416 some"]))
+    assert np.allclose(model.log_probability(points, doc), whole.log_probability(points, doc), atol=1e-5)
+
+
 # 6 ---------------------------------------------------------------------
 
 def test_packing_covers_every_id(spark):
