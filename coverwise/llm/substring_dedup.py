@@ -16,7 +16,8 @@ back is an equi-join on the hash whose skewed partitions are split at run time.
 Defined results: null is the empty text: no sentences, nothing removed; a text of
 marks only is one sentence that never repeats (no words); repeated rows are later
 occurrences of the first (for equal ids the order among them is arbitrary, one
-stays); only the named columns are read.
+stays: every run of the other rows with its id and text is a later one); only the
+named columns are read.
 """
 from __future__ import annotations
 
@@ -82,12 +83,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("rid", F.xxhash64("text"))
     r = save(runs(d, span, min_words, long_words), "sentence-runs")
-    cover = (repeated_runs(r).groupBy("doc_id", "rid")
+    copied = save(d.groupBy("doc_id", "rid").agg(F.count("*").alias("rows")).where("rows > 1"), "sentence-copies")
+    gone = repeated_runs(r).withColumn("copy", F.lit(False))
+    d = d.withColumn("copy", F.lit(False))
+    if not copied.isEmpty():
+        of = copied.toDF("of_id", "of_rid", "rows")
+        is_copied = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("rid") == F.col("of_rid"))
+        gone = gone.unionByName(r.join(of, is_copied, "left_semi").withColumn("copy", F.lit(True)).select(*gone.columns))
+        # rows with equal id and text are the same but for their number: the first is as ever, the others are copies
+        again = d.join(of, is_copied, "left_semi").groupBy("doc_id", "rid").agg(F.first("text").alias("text"), F.count("*").alias("rows"))
+        again = again.withColumn("no", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+        d = d.join(of, is_copied, "left_anti").unionByName(again.select("doc_id", "text", "rid", (F.col("no") > 1).alias("copy")))
+    cover = (gone.groupBy("doc_id", "rid", "copy")
              .agg(F.collect_set(F.struct("at", "n")).alias("spans")))  # as many as the document has sentences
     cover = save(cover.select(
-        F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid"),
+        F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid"), F.col("copy").alias("c_copy"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))).alias("removed")), "sentence-cover")
-    s = d.join(cover, d["doc_id"].eqNullSafe(cover["c_id"]) & (d["rid"] == cover["c_rid"]), "left") \
+    s = d.join(cover, d["doc_id"].eqNullSafe(cover["c_id"]) & (d["rid"] == cover["c_rid"]) & (d["copy"] == cover["c_copy"]), "left") \
         .select("doc_id", sentences(F.col("text")).alias("s"),
                 F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     starts = F.size(F.filter("removed", lambda x, i: (i == 0) | (F.get("removed", i - 1) != x - 1)))

@@ -212,6 +212,14 @@ def test_sentence_spans(spark, con):
     assert substring_dedup.remove_repeats(edge(spark)).count() == len(EDGE)
 
 
+def test_sentence_spans_keep_one_of_equal_rows(spark):
+    a = "One two three four five six seven. Eight nine ten eleven twelve thirteen."
+    b = a.replace("One", "First")
+    docs = spark.createDataFrame([(2, a), (2, a), (2, a), (3, a), (None, b), (None, b), (4, None), (4, None), (5, "Alone.")], "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["kept_text"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()), key=str)
+    assert kept == sorted([(2, a, 0), (2, "", 2), (2, "", 2), (3, "", 2), (None, b, 0), (None, "", 2), (4, "", 0), (4, "", 0), (5, "Alone.", 0)], key=str)
+
+
 # 9 ---------------------------------------------------------------------
 
 def test_sharding(spark):
