@@ -75,8 +75,8 @@ def _longs(values) -> pa.Array:
 # ---------------------------------------------------------------- 1. peeling
 
 def _postings(width: int, percent: int, parts: int):
-    """(doc_id, text) -> (part, kind, a, b): blocks of postings (kind 0: hashes, ids; -1 for a hash that several
-    documents of the block have) and of documents (kind 1: ids, n and shingles known to be shared)."""
+    """(doc_id, text) -> (part, kind, a, b): blocks of postings (kind 0: hashes, ids and after them a byte each
+    that is 1 where one document of the block has the hash alone) and of documents (kind 1: ids, n and shingles known to be shared)."""
     shift = np.uint64(64 - parts.bit_length() + 1)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +95,9 @@ def _postings(width: int, percent: int, parts: int):
                 first = np.flatnonzero(new)
                 many = np.diff(np.append(first, len(h))) > 1
                 shared = np.bincount(who[np.repeat(many, np.diff(np.append(first, len(h))))], minlength=len(sets))
-                key, owner = h[first], np.where(many, -1, ids[who[first]])
+                key, owner, alone = h[first], ids[who[first]], ~many
                 edges = np.searchsorted((key >> shift).astype(np.int64) if parts > 1 else np.zeros(len(key), np.int64), np.arange(parts + 1))
-                rows = [(p, 0, key[a:b].tobytes(), owner[a:b].astype(np.int64).tobytes())
+                rows = [(p, 0, key[a:b].tobytes(), owner[a:b].tobytes() + alone[a:b].tobytes())
                         for p, a, b in zip(range(parts), edges[:-1], edges[1:]) if b > a]
                 rows.append((int(mix(ids[:1].view(np.uint64))[0] % np.uint64(parts)), 1,  # any part will do
                              np.where(valid, ids, 0).tobytes(), np.stack([n, shared, valid]).astype(np.int64).tobytes()))
@@ -115,13 +115,12 @@ def _meet(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((ids, n, need, shared), fields)], names=[k for k, _ in fields])
 
     def count(held):
-        h = np.concatenate([x for x, _ in held])
-        owner = np.concatenate([x for _, x in held])
+        h, owner, alone = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
+        h, owner, alone = h[order], owner[order], alone[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(first, len(h)))
-        met = owner[np.repeat(times > 1, times) & (owner >= 0)]
+        met = owner[np.repeat(times > 1, times) & alone]
         ids, n = np.unique(met, return_counts=True)
         none = [None] * len(ids)
         return rows(ids, none, none, n)
@@ -140,7 +139,8 @@ def _meet(percent: int):
                     yield count(held)
                     held = []
                 part = p
-                held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
+                m = len(a) // 8
+                held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64, m), np.frombuffer(b, bool, m, 8 * m)))
         if held:
             yield count(held)
     return meet

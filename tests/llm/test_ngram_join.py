@@ -114,3 +114,11 @@ def test_shingles_ignore_text_boundaries():
     s = shingle_sets(pa.array(["a b c d", "e f", "a b c d e", None, "E  F"]), 4)
     assert [len(x) for x in s] == [1, 1, 2, 0, 1]
     assert s[0][0] in s[2] and s[1].tolist() == s[4].tolist()
+
+
+def test_negative_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)  # every document in a block of its own
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = [(-7, text), (-3, text + " end"), (5, "begin " + text), (-1, "something else here altogether and nothing more"), (-2, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5, "doc_id")
+    assert sorted(map(tuple, ngram_join.jaccard_components(df).collect())) == brute(docs)
