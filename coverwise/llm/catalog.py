@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, token_files, warc
+from . import decontamination, language_id, ngram_join, packing, quality, runs, sharding, substring_dedup, suffix_dedup, token_files, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.word_runs(runs.with_repeated_tails(read(spark, sf_dir, "documents", "doc_id", "text")))
+    line = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -70,8 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_token_files, op4_kneser_ney_language, op5_suffix_sort, op6_sum_of_squares_packing, op7_quality_rules,
-                                       op8_sentence_spans, op9_slot_sharding, op10_warc, pipeline)}
+                                       op8_sentence_spans, op9_slot_sharding, op10_warc, op12_periodic_runs, pipeline)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE, "op10_warc": warc.ORACLE, "op12_periodic_runs": runs.ORACLE}
