@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, packing, quality, runs, sharding, substring_dedup, suffix_dedup, token_files, warc
+from . import decontamination, language_id, ngram_join, packing, pivots, quality, runs, sharding, substring_dedup, suffix_dedup, token_files, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -78,8 +82,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_token_files, op4_kneser_ney_language, op5_suffix_sort, op6_sum_of_squares_packing, op7_quality_rules,
-                                       op8_sentence_spans, op9_slot_sharding, op10_warc, op12_periodic_runs, pipeline)}
+                                       op8_sentence_spans, op9_slot_sharding, op10_warc, op12_periodic_runs, op13_pivot_permutation, pipeline)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE, "op10_warc": warc.ORACLE, "op12_periodic_runs": runs.ORACLE}
+    return {"op1_ngram_jaccard": ngram_join.ORACLE, "op2_decontamination": decontamination.ORACLE, "op8_sentence_spans": substring_dedup.ORACLE, "op10_warc": warc.ORACLE, "op12_periodic_runs": runs.ORACLE, "op13_pivot_permutation": pivots.ORACLE}
