@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, packing, pivots, quality, runs, sharding, substring_dedup, suffix_dedup, token_files, warc
+from . import alignment, decontamination, language_id, ngram_join, packing, pivots, quality, runs, sharding, substring_dedup, suffix_dedup, token_files, warc
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.alignments(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    told = aligned.select("rid", "doc_id", "n_a", "n_b", "n_groups", "n_links",
+                          F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+    return told.join(alignment.link_support(aligned), "rid", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).cast("long").alias("n_best"),
+        F.coalesce("count_sum", F.lit(0)).cast("long").alias("count_sum"), "groups_sha256")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runs.word_runs(runs.with_repeated_tails(read(spark, sf_dir, "documents", "doc_id", "text")))
     line = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
@@ -82,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_token_files, op4_kneser_ney_language, op5_suffix_sort, op6_sum_of_squares_packing, op7_quality_rules,
-                                       op8_sentence_spans, op9_slot_sharding, op10_warc, op12_periodic_runs, op13_pivot_permutation, pipeline)}
+                                       op8_sentence_spans, op9_slot_sharding, op10_warc, op11_token_alignment, op12_periodic_runs, op13_pivot_permutation, pipeline)}
 
 
 def oracles() -> dict[str, str]:
