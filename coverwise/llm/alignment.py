@@ -29,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,12 @@ def safe_places(data: np.ndarray) -> np.ndarray:
     return places[places < len(data) - 1]
 
 
+def distinct(*values: np.ndarray) -> np.ndarray:
+    """The different values of all arrays, ascending."""
+    v = np.sort(np.concatenate(values), kind="stable")  # a few ascending runs merge
+    return v[np.concatenate([v[:1] == v[:1], v[1:] != v[:-1]])]
+
+
 def _byte_chars() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the
     others for 256 on, in order."""
@@ -120,7 +127,7 @@ class PairTokenizer:
                 size = np.fromiter(map(len, lists), np.int64, len(lists))
                 self.first[k] = np.concatenate([self.first[k], len(self.flat[k]) + np.cumsum(size) - size])
                 self.size[k] = np.concatenate([self.size[k], size])
-                self.flat[k] = np.concatenate([self.flat[k], np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))])
+                self.flat[k] = np.concatenate([self.flat[k], np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))])
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.held += sum(map(len, new))
         return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
@@ -129,9 +136,11 @@ class PairTokenizer:
         """((ids, number per text) of A and of B; per text whether both give its bytes back). Texts are not empty."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([0, *map(len, texts)])
-        # a border of two texts is a cut anyway; a text's last byte is none
-        places = np.setdiff1d(safe_places(data), ends[1:] - 1) if len(data) > 1 else np.zeros(0, np.int64)
-        cuts = np.union1d(places, ends).astype(np.int64)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[safe_places(data)] = True
+        cut[ends[1:] - 1] = False  # a text's last byte is no cut, but its end is
+        cut[ends] = True
+        cuts = np.flatnonzero(cut)
         raw = data.tobytes()
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
         which = self._number(pieces.dictionary.to_pylist())[np.asarray(pieces.indices)]
@@ -194,9 +203,11 @@ def close_groups(t: Tokens, ends: np.ndarray, signs: pa.Array) -> tuple[pa.Array
     borders = offsets[np.concatenate([[0], (a_first + b_first)[per]])]
     texts = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.ascontiguousarray(borders)), strings.buffers()[2] or pa.py_buffer(b""))
     # between two neighbouring ends of any kind lies one token of A and one of B
-    piece = np.union1d(t.a_end, t.b_end)
+    piece = distinct(t.a_end, t.b_end)
     pair = (t.a[np.searchsorted(t.a_end, piece)].astype(np.int64) << BITS) | t.b[np.searchsorted(t.b_end, piece)]
-    both, links = np.unique((np.searchsorted(ends, piece) << (2 * BITS)) | pair, return_counts=True)
+    both = np.sort((np.searchsorted(ends, piece) << (2 * BITS)) | pair)
+    first = np.flatnonzero(np.concatenate([both[:1] == both[:1], both[1:] != both[:-1]]))
+    both, links = both[first], np.diff(first, append=len(both))
     return texts, n_groups, both >> (2 * BITS), both & ((1 << 2 * BITS) - 1), links
 
 
