@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import effective_stop_words, retrieval_tokens, with_bigrams
+from ..operators import blockmax
 from ..operators import retrieval as rt
 from ..session import materialize
 from ..sources import adapters as ad
@@ -196,6 +197,12 @@ def q_tfidf_topk_padded(spark, sf_dir):
     return top.select("q_id", "rank", "id", "score")
 
 
+@query("tfidf_topk_blockmax", statement("SELECT q_id, rank, id, score FROM kwp_topk", "kwp_topk"), ops=("R5", "W2"))
+def q_tfidf_topk_blockmax(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return blockmax.blockmax_topk(ctx.questions, blockmax.build_blocks(ctx.index), TOP_K).select("q_id", "rank", "id", "score")
+
+
 @query("rank_derived_score", statement("""
 SELECT q_id, rank, id,
        round((greatest(count(*) OVER (PARTITION BY q_id), 1) - (rank - 1))
