@@ -162,13 +162,20 @@ def answer_docs(docs: Column, question: Column) -> tuple[Column, Column, Column]
 
 def answer_questions(questions: DataFrame, index: TfidfIndex, docs_text: DataFrame,
                      config: QaConfig = QaConfig(), q_col: str = "q_id",
-                     question_col: str = "question") -> DataFrame:
+                     question_col: str = "question", retriever=None, rewriter=None, answerer=None) -> DataFrame:
     """End-to-end QA for a whole table of questions under one configuration (K9).
 
+    With a ``retriever``, ``rewriter`` or ``answerer`` (see :mod:`.qa_loop`) the rounds run one after the other;
+    with the fixed parts two passes give the same rows.
+
     Returns one row per question: q_id, question, final_query, rewrite_count,
     n_retrieves, retrieval_ok, top_id, top_score, answer, answer_ok,
     regen_count, n_generations, context_ids.
     """
+    if retriever or rewriter or answerer:
+        from . import qa_loop
+        return qa_loop.answer_rounds(questions, docs_text, retriever or qa_loop.keyword_retriever(index), config,
+                                     rewriter or qa_loop.rule_rewriter, answerer, q_col, question_col)
     k = config.top_k
     qs = questions.select(F.col(q_col).alias("q_id"), F.col(question_col).alias("question"))
     p0 = gather_pass(tfidf_topk(qs, index, k, pad=True), docs_text, qs)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import QaConfig
 from ..functions.text import keyword_overlap
-from ..operators import qa
+from ..operators import qa, qa_loop
 from ..operators import retrieval as rt
 from .catalog import query
 from .retrieval_q import Ctx, sql_topk
@@ -223,3 +223,50 @@ def q_qa_trace(spark, sf_dir):
     t = qa.qa_trace(a, STRICT)
     return t.select("q_id", F.posexplode("trace").alias("seq", "ev")).select(
         "q_id", "seq", "ev.step", "ev.round", "ev.detail")
+
+
+# -- rounds with parts of the caller's choice ----------------------------------------------
+
+@query("qa_rounds", statement(f"SELECT {', '.join(QA_COLS)} FROM qas_qa", "qas_qa"), ops=("K4", "K9", "R10"))
+def q_qa_rounds(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return qa.answer_questions(ctx.questions, ctx.index_reused, ctx.docs_text, STRICT,
+                               retriever=qa_loop.keyword_retriever(ctx.index_reused)).select(*QA_COLS)
+
+
+#: Some questions pass at once, some after one or two rewrites, some never.
+ROUNDS = QaConfig(relevance_threshold=0.06, min_keyword_overlap=0.6, max_rewrites=3)
+
+
+def later_words(question, query_, round_no):
+    """The question without its first 4 * round words: a rule whose query differs in every round."""
+    words = F.split(question, " ")
+    return F.array_join(F.slice(words, 4 * round_no + 1, F.greatest(F.size(words), F.lit(1))), " ")
+
+
+def _sql_rounds(p: str, cfg: QaConfig) -> str:
+    cte(f"{p}_f0", "SELECT q_id, question, question AS query FROM q_src", "q_src")
+    for r in range(cfg.max_rewrites + 1):
+        cte(f"{p}_q{r}", f"SELECT q_id, query AS question FROM {p}_f{r}", f"{p}_f{r}")
+        top = sql_topk(f"{p}{r}", f"{p}_q{r}", cfg.top_k, True)
+        overlap = sql_overlap("f.question", "c.title || ' ' || c.text")
+        cte(f"{p}_g{r}", f"""
+SELECT f.q_id, f.question, f.query, {r} AS rewrites, t.id AS top_id, t.score AS top_score,
+       coalesce(t.score >= {cfg.relevance_threshold} OR {overlap} >= {cfg.min_keyword_overlap}, FALSE) AS ok,
+       (SELECT string_agg(x.id, ',' ORDER BY x.rank) FROM {top} x WHERE x.q_id = f.q_id) AS context_ids
+FROM {p}_f{r} f LEFT JOIN {top} t ON t.q_id = f.q_id AND t.rank = 1 LEFT JOIN search_corpus c ON c.id = t.id""",
+            f"{p}_f{r}", top, "search_corpus")
+        cte(f"{p}_f{r + 1}", f"""
+SELECT q_id, question, array_to_string(list_slice(string_split(question, ' '), {4 * (r + 1) + 1}, len(string_split(question, ' '))), ' ') AS query
+FROM {p}_g{r} WHERE NOT ok""", f"{p}_g{r}")
+    rows = [f"SELECT * FROM {p}_g{r}" + ("" if r == cfg.max_rewrites else " WHERE ok") for r in range(cfg.max_rewrites + 1)]
+    return cte(f"{p}_rounds", " UNION ALL ".join(rows), *(f"{p}_g{r}" for r in range(cfg.max_rewrites + 1)))
+
+
+@query("qa_rounds_by_rule", statement("""
+SELECT q_id, query AS final_query, CAST(rewrites AS INTEGER) AS rewrite_count, CAST(rewrites + 1 AS INTEGER) AS n_retrieves, ok AS retrieval_ok,
+       top_id, top_score, context_ids FROM qar3_rounds""", _sql_rounds("qar3", ROUNDS)), ops=("K4", "R10"))
+def q_qa_rounds_by_rule(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return qa.answer_questions(ctx.questions, ctx.index_reused, ctx.docs_text, ROUNDS, rewriter=later_words).select(
+        "q_id", "final_query", "rewrite_count", "n_retrieves", "retrieval_ok", "top_id", "top_score", "context_ids")
