@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import effective_stop_words, retrieval_tokens, with_bigrams
-from ..operators import blockmax
+from ..operators import blockmax, vector_cells
 from ..operators import retrieval as rt
 from ..session import materialize
 from ..sources import adapters as ad
@@ -271,6 +271,38 @@ def q_vector_topk(spark, sf_dir):
     return rt.vector_topk(qv, dv, VECTOR_K).select("q_id", "rank", "id", "score")
 
 
+def _embedding_queries(spark, sf_dir):
+    """Every twentieth embedding as a query against all embeddings."""
+    rows = tables.embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    return rows.where("id % 20 = 0").select(F.col("id").alias("q_id"), "vec"), rows
+
+
+cte("emb_topk", f"""
+SELECT q_id, rank, id, round(s, 6) AS score
+FROM (SELECT q.vec_id AS q_id, d.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS s,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) DESC, d.vec_id) AS rank
+      FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0)
+WHERE rank <= {VECTOR_K}""")
+
+
+@query("vector_cells_exact", statement("SELECT * FROM emb_topk", "emb_topk"), ops=("R7",))
+def q_vector_cells_exact(spark, sf_dir):
+    asked, rows = _embedding_queries(spark, sf_dir)
+    return vector_cells.cells_topk(asked, vector_cells.build_cells(rows), VECTOR_K, exact=True).select("q_id", "rank", "id", "score")
+
+
+@query("vector_cells_recall", statement(f"""
+SELECT count(DISTINCT q_id) AS n_queries, count(*) AS wanted, TRUE AS recall_ok, CAST(0 AS BIGINT) AS other_scores FROM emb_topk""", "emb_topk"), ops=("R7",))
+def q_vector_cells_recall(spark, sf_dir):
+    asked, rows = _embedding_queries(spark, sf_dir)
+    cells = vector_cells.build_cells(rows)
+    exact = materialize(vector_cells.cells_topk(asked, cells, VECTOR_K, exact=True), "exact")
+    found = materialize(vector_cells.cells_topk(asked, cells, VECTOR_K), "found")
+    wrong = found.select("q_id", "id", "score").join(exact.select("q_id", "id", F.col("score").alias("want")), ["q_id", "id"]).where("score <> want")
+    return vector_cells.recall(found, exact).select("n_queries", "wanted", (F.col("recall") >= 0.9).alias("recall_ok"),
+                                                    wrong.agg(F.count("*")).scalar().alias("other_scores"))
+
+
 @query("hybrid_topk", statement(f"""
 SELECT q_id, rank, 'doc-' || CAST(pos AS VARCHAR) AS id, fused,
        round((greatest(count(*) OVER (PARTITION BY q_id), 1) - (rank - 1))
