@@ -98,16 +98,21 @@ def q_bronze_policy_feed(spark, sf_dir):
 
 
 @query("bronze_landed", statement("""
-SELECT source_id, source_system, ingest_batch_id, ingested_at, file_hash FROM raw_policy_feed""",
-                                  "raw_policy_feed"), ops=("S4",))
+SELECT source_id, source_system, ingest_batch_id, ingested_at, raw_title, raw_category, md5(raw_body) AS body_md5,
+       meta_n_chars, file_hash FROM raw_policy_feed""", "raw_policy_feed"), ops=("S4",))
 def q_bronze_landed(spark, sf_dir):
-    """Two loads appended to the landing table, partitioned by batch, and read back."""
+    """All bronze columns appended to the landing table in two loads, the newest batch second, partitioned by
+    batch, and read back."""
     path = scratch_path(spark, "bronze_landed", uuid.uuid4().hex)
-    b = bronze(spark, sf_dir).select("source_id", "source_system", "ingest_batch_id", "ingested_at", "file_hash")
-    late = F.col("ingest_batch_id") == "batch_6"
-    sinks.append_landing(b.where(~late), path)
-    sinks.append_landing(b.where(late), path)
-    return spark.read.schema(b.schema).parquet(path).select(*b.columns)
+    b = bronze(spark, sf_dir)
+    b = b.withColumn("raw_metadata", F.to_json("raw_metadata"))  # a VARIANT column travels as its JSON text
+    newest = b.agg(F.max("ingest_batch_id")).scalar()
+    sinks.append_landing(b.where(F.col("ingest_batch_id") < newest), path)
+    sinks.append_landing(b.where(F.col("ingest_batch_id") >= newest), path)
+    back = spark.read.schema(b.schema).parquet(path)
+    return back.select("source_id", "source_system", "ingest_batch_id", "ingested_at", "raw_title", "raw_category",
+                       F.md5("raw_body").alias("body_md5"),
+                       F.get_json_object("raw_metadata", "$.n_chars").cast("bigint").alias("meta_n_chars"), "file_hash")
 
 
 @query("bronze_member_events", statement("SELECT * FROM raw_member_events", "raw_member_events"),

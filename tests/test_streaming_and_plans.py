@@ -130,16 +130,35 @@ def test_entry_and_contract():
 
 
 def test_landing_keeps_late_events(spark, tmp_path):
-    """Four files out of time order, one replayed batch: every event lands exactly once."""
+    """Files out of time order, a replayed batch, a new checkpoint over the old table: every event lands exactly once."""
     from coverwise.streaming import jobs
     events = spark.read.parquet(f"{SF001}/events.parquet")
-    src, out = tmp_path / "in", str(tmp_path / "out")
-    for k in (2, 0, 3, 1, 0):
-        events.where(f"event_id % 4 = {k}").coalesce(1).write.mode("append").parquet(str(src))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    jobs.run_available_now(jobs.events_landing(stream), str(tmp_path / "ckpt"), foreach_batch=jobs.land_events(out))
-    landed = spark.read.parquet(out)
-    assert landed.count() == landed.select("event_id").distinct().count() == events.count()
-    batch = spark.createDataFrame(landed.where("batch = 1").drop("batch").collect(), landed.drop("batch").schema)
-    jobs.land_events(out)(batch, 1)
-    assert spark.read.parquet(out).count() == events.count()
+    src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    for k in (2, 0, 1, 0):
+        events.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(src))
+    seen = []
+
+    def land(checkpoint):
+        stream = jobs.events_landing(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(src)))
+        write = jobs.land_events(out, checkpoint)
+
+        def recorded(df, batch_id):
+            if not seen:
+                seen.append(df.sparkSession.createDataFrame(df.collect(), df.schema))
+            write(df, batch_id)
+        jobs.run_available_now(stream, checkpoint, foreach_batch=recorded)
+
+    def whole():
+        landed = spark.read.parquet(out)
+        assert landed.count() == landed.select("event_id").distinct().count() == events.count()
+        return sorted(r["load"] for r in landed.select("load").collect())
+
+    land(ckpt)
+    loads = whole()
+    jobs.land_events(out, ckpt)(seen[0], 0)      # a replay of the first batch
+    assert whole() == loads
+    land(str(tmp_path / "other"))                # all files again under batch numbers that the old table also has
+    assert whole() == loads
+    days = [r[0] for r in spark.read.parquet(out).select("day").distinct().orderBy("day").limit(1).collect()]
+    plan = jobs.landed_ids(spark, out, "string", days, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [day" in plan or "day#" in plan.split("PartitionFilters: [")[1][:40]
