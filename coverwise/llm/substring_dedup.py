@@ -1,9 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences (up to ``.``, ``!``, ``?`` or a line end, terminators
-and following marks included, so the sentences concatenate to the text). Every run
-of ``SPAN`` consecutive sentences with at least ``MIN_WORDS`` words is hashed, and
-so is every single sentence of ``LONG_WORDS`` words or more. Equal runs are found
+A text is cut into sentences (up to ``.``, ``!``, ``?``, their wide forms or a line end, terminators
+and following marks included, so the sentences concatenate to the text). From every sentence a run of
+consecutive sentences is taken that is as short as may be: ``SPAN`` sentences at least, and as many as it takes to
+hold ``MIN_WORDS`` words. Short lines thereby make longer runs, not none. In scripts without spaces
+``WORD_CHARS`` characters count as a word. A single sentence of ``LONG_WORDS`` words or more is a run
+too. Every run is hashed. Equal runs are found
 by one global aggregation on the hash; the first occurrence (smallest document id,
 then position) stays, and every sentence covered by any later occurrence is removed.
 Runs are judged on the input, not on what is left; case and runs of white space
@@ -29,7 +31,8 @@ from .common import save
 SPAN = 2
 MIN_WORDS = 12
 LONG_WORDS = 40
-_SENTENCE = r"[^.!?\n]+[.!?\n]*|^[.!?\n]+"
+WORD_CHARS = 8
+_SENTENCE = r"[^.!?\n。！？]+[.!?\n。！？]*|^[.!?\n。！？]+"
 
 
 def sentences(text: Column) -> Column:
@@ -41,26 +44,34 @@ def _keys(s: Column) -> Column:
 
 
 def _n_words(x: Column) -> Column:
-    return F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    """Words of a sentence, a word for every WORD_CHARS characters if that is more, one at least."""
+    spaces = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    return F.greatest(spaces + 1, F.floor(F.length(x) / WORD_CHARS).cast("int"))
 
 
 def runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc_id, rid, at, n, h, h2): every run that counts, ``n`` sentences from sentence ``at``."""
+    """(doc_id, rid, at, n, h, h2): every run, ``n`` sentences from sentence ``at``."""
     cut = docs.select("doc_id", "rid", _keys(sentences(F.col("text"))).alias("k")) \
         .select("doc_id", "rid", "k", F.transform("k", _n_words).alias("c"))
-    last = F.size("k") - span
-
-    def total(i):
-        return sum((F.get("c", i + j) for j in range(1, span)), F.get("c", i))
 
     def run(i, n):
-        cols = [F.get("k", i + j) for j in range(n)]
-        return F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(*cols).alias("h"), F.hash(*cols).alias("h2"))
-
-    every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    ones = F.when(F.size("k") > 0, F.sequence(F.lit(0), F.size("k") - 1)).otherwise(F.array().cast("array<int>"))
-    many = F.transform(F.filter(every, lambda i: total(i) >= min_words), lambda i: run(i, span))
-    single = F.transform(F.filter(ones, lambda i: F.get("c", i) >= long_words), lambda i: run(i, 1))
+        of = F.slice("k", i + 1, n)
+        return F.struct(i.alias("at"), n.alias("n"), F.xxhash64(of).alias("h"), F.hash(of).alias("h2"))
+
+    def enough(i):
+        """Sentences that a run from ``i`` takes; null where the text ends before. Each has a word at least."""
+        words = sum((F.get("c", i + j) for j in range(1, span)), F.get("c", i))
+        n = F.when(words >= min_words, F.lit(span))
+        for more in range(span, min_words):
+            words = words + F.get("c", i + more)
+            n = n.when(words >= min_words, F.lit(more + 1))
+        return n
+
+    size = F.size("k")
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    many = F.transform(F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), enough(i).alias("n"))), lambda x: x["n"].isNotNull()),
+                       lambda x: run(x["i"], x["n"]))
+    single = F.transform(F.filter(every, lambda i: F.get("c", i) >= long_words), lambda i: run(i, F.lit(1)))
     return cut.select("doc_id", "rid", F.explode(F.concat(many, single)).alias("r")).select("doc_id", "rid", "r.*")
 
 
@@ -99,7 +110,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover = save(cover.select(
         F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid"), F.col("copy").alias("c_copy"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))).alias("removed")), "sentence-cover")
-    s = d.join(cover, d["doc_id"].eqNullSafe(cover["c_id"]) & (d["rid"] == cover["c_rid"]) & (d["copy"] == cover["c_copy"]), "left") \
+    # the texts are dealt by id whatever the size of the other side: cost grows evenly with the input
+    s = d.join(cover.hint("merge"), d["doc_id"].eqNullSafe(cover["c_id"]) & (d["rid"] == cover["c_rid"]) & (d["copy"] == cover["c_copy"]), "left") \
         .select("doc_id", sentences(F.col("text")).alias("s"),
                 F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     starts = F.size(F.filter("removed", lambda x, i: (i == 0) | (F.get("removed", i - 1) != x - 1)))
@@ -111,17 +123,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 ORACLE = r"""
 WITH cut AS (
-  SELECT doc_id, coalesce(regexp_extract_all(text, '[^.!?\n]+[.!?\n]*|^[.!?\n]+'), []) AS s FROM documents
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^.!?\n。！？]+[.!?\n。！？]*|^[.!?\n。！？]+'), []) AS s FROM documents
 ), keyed AS (
   SELECT doc_id, s, list_transform(s, lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) AS k FROM cut
 ), counted AS (
-  SELECT doc_id, s, k, list_transform(k, lambda x: CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END) AS c
+  SELECT doc_id, s, k, list_transform(k, lambda x: greatest(length(x) - length(replace(x, ' ', '')) + 1, length(x) // 8)) AS c
   FROM keyed
+), started AS (
+  SELECT doc_id, k, c, unnest(range(1, len(k) + 1)) AS i FROM counted
+), spans AS (
+  SELECT doc_id, k, i, list_filter(range(2, 13), lambda m: i + m - 1 <= len(c) AND list_sum(c[i:i + m - 1]) >= 12)[1] AS n FROM started
 ), runs AS (
-  SELECT doc_id, i AS pos, 2 AS n, k[i] || chr(1) || k[i + 1] AS run
-  FROM (SELECT doc_id, k, c, unnest(range(1, len(k))) AS i FROM counted) WHERE c[i] + c[i + 1] >= 12
+  SELECT doc_id, i AS pos, n, array_to_string(k[i:i + n - 1], chr(1)) AS run FROM spans WHERE n IS NOT NULL
   UNION ALL
-  SELECT doc_id, i, 1, k[i] FROM (SELECT doc_id, k, c, unnest(range(1, len(k) + 1)) AS i FROM counted) WHERE c[i] >= 40
+  SELECT doc_id, i, 1, k[i] FROM started WHERE c[i] >= 40
 ), ranked AS (
   SELECT doc_id, pos, n, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) AS r FROM runs
 ), gone AS (

@@ -277,3 +277,16 @@ def test_warc_files(spark, tmp_path):
                              (6, "response", None, 0), (7, "response", None, 1401), (7, "revisit", 7, 1401), (None, "response", None, 1)])
     assert {bytes(r["payload"]).decode() for r in got if r["payload"] is not None} == {big, "short", "", big + "!", "x"}
     assert warc.read_warc(spark, *warc.write_warc(df.limit(0), str(tmp_path / "e"))).count() == 0
+
+
+# 8, runs of any length -------------------------------------------------
+
+def test_sentence_spans_of_short_lines_and_without_spaces(spark):
+    lines = "".join(f"item {i}\n" for i in range(10))
+    chinese = "".join(f"这是第{i}句话，内容各不相同而且比较长一些。" for i in range(40))
+    docs = spark.createDataFrame([(1, lines), (2, lines), (3, "Own words first.\n" + lines), (4, chinese), (5, chinese[:-1] + "呀。"), (6, "Yes. No. Yes."), (7, "Yes. No. Yes.")],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 10, 10] and got[3]["kept_text"] == "Own words first.\n"
+    assert got[4]["n_sentences"] == got[5]["n_sentences"] == 40 and got[4]["n_removed"] == 0 and got[5]["n_removed"] == 39
+    assert got[7]["n_removed"] == 0  # fewer words than a run holds
