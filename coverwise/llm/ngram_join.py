@@ -445,7 +445,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = save(met, "peel")
     alive = (marks.where("doc_id is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
              .where("shared >= need").select("doc_id"))
-    sets = save(d.join(alive, "doc_id", "left_semi").mapInArrow(_as_sets(width), "doc_id long, n long, f1 long, f2 long, hashes binary")
+    # the texts are dealt by id whatever the number of the others: cost grows evenly with the input
+    sets = save(d.join(alive.hint("merge"), "doc_id", "left_semi").mapInArrow(_as_sets(width), "doc_id long, n long, f1 long, f2 long, hashes binary")
                 .where("n > 0"), "sets")
     same = sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     member = save(sets.select("doc_id", "n", "f1", "f2").distinct().join(same, ["n", "f1", "f2"]).select("doc_id", "rep", "n", "f1", "f2"), "equal-sets")
