@@ -55,15 +55,14 @@ REJECT_SHARE = 0.001
 MARGIN = 1.0
 BLOCK = 2 << 20
 
-_letters: np.ndarray | None = None
+_tables: dict[str, np.ndarray] = {}
 
 
-def _letter_table() -> np.ndarray:
-    """Code point -> 1 for letters and marks (Unicode general category L or M)."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
-    return _letters
+def _letter_table(categories: str = "LM") -> np.ndarray:
+    """Code point -> whether its Unicode general category is one of these: letters and marks, which models read."""
+    if categories not in _tables:
+        _tables[categories] = np.fromiter((unicodedata.category(chr(c))[0] in categories for c in range(0x110000)), bool, 0x110000)
+    return _tables[categories]
 
 
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -390,7 +389,8 @@ def _predictor(langs: list[str], floor: float, parts: list):
             for lo, hi in blocks(texts, BLOCK):
                 n = hi - lo
                 points, doc = characters(texts.slice(lo, n))
-                letters = np.bincount(doc[points != 32], minlength=n) if len(doc) else np.zeros(n, np.int64)
+                # marks alone are no letters
+                letters = np.bincount(doc[_letter_table("L")[points]], minlength=n) if len(doc) else np.zeros(n, np.int64)
                 total = np.zeros((n, max(ell, 1)))
                 size = np.bincount(doc, minlength=n)
                 if len(points) and ell:
