@@ -290,3 +290,46 @@ def test_sentence_spans_of_short_lines_and_without_spaces(spark):
     assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 10, 10] and got[3]["kept_text"] == "Own words first.\n"
     assert got[4]["n_sentences"] == got[5]["n_sentences"] == 40 and got[4]["n_removed"] == 0 and got[5]["n_removed"] == 39
     assert got[7]["n_removed"] == 0  # fewer words than a run holds
+
+
+# 2, items of several rows and stock phrases -----------------------------
+
+def contained(docs, items):
+    """Leaks by definition: the union of each id's shingles, all widths."""
+    def shingles(text, widths):
+        w = [x for x in __import__("regex").split(r"[^\p{L}\p{N}]+", (text or "").lower()) if x]
+        return {tuple(w[i:i + k]) for k in widths(len(w)) for i in range(len(w) - k + 1)}
+    want, have = defaultdict(set), defaultdict(set)
+    for i, t in items:
+        want[i] |= shingles(t, lambda n: [min(n, 5)] if n else [])
+    for i, t in docs:
+        have[i] |= shingles(t, lambda n: range(1, 6))
+    return sorted((i, d, len(s), len(s & h)) for i, s in want.items() for d, h in have.items() if s and 100 * len(s & h) >= 80 * len(s) and s & h)
+
+
+def test_items_of_several_rows_and_widths(spark):
+    rng = random.Random(8)
+    items = [(1, "one two three four five six seven"), (1, "alpha beta"), (2, "gamma"), (2, "delta epsilon zeta eta"), (3, "alpha beta"), (4, None)]
+    items += [(10 + k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12)))) for k in range(40)]
+    docs = [(1, "x one two three four five six seven y alpha beta z"), (2, "one two three four five six seven"), (3, "gamma"), (3, "delta epsilon zeta eta"), (4, "alpha beta gamma")]
+    docs += [(100 + k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 400)))) for k in range(30)]
+    docs.append((500, "w " * 60_000 + "alpha beta"))  # a very long text
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = contained(docs, items)
+    assert sorted(tuple(r)[:4] for r in got.collect()) == want and any(w[0] == 1 for w in want)
+
+
+def test_a_stock_phrase_makes_no_candidates(spark):
+    stock = "please read the following text and answer the question below"
+    items = spark.createDataFrame([(i, f"{stock} " + " ".join(f"q{i}w{j}" for j in range(30))) for i in range(60)], "item_id long, text string")
+    sketch = decontamination.sketches(decontamination.item_shingles(items, "item_id", "text"))
+    assert sketch.groupBy("h").count().agg(F.max("count")).first()[0] == 1
+
+
+# 4, texts without letters ----------------------------------------------
+
+def test_marks_are_no_letters(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(9001, "́̂", None), (9002, "́ 12 ̂ 34", None), (9003, "12 34", None)], docs.schema)
+    got = {r["doc_id"]: r for r in language_id.identify(docs.unionByName(odd)).where("doc_id > 9000").collect()}
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"] for r in got.values()) and len(got) == 3
