@@ -248,19 +248,6 @@ def scd2_merge(history: DataFrame, incoming: DataFrame, load_at: Column) -> Data
     return closed.unionByName(open_.select(*HISTORY_COLUMNS))
 
 
-def scd2_history(versions: DataFrame, key: str = "id", valid_from: str = "updated_at") -> DataFrame:
-    """Slowly changing dimension, type 2: each version valid until the next one of its key.
-
-    ``valid_to`` is NULL for the current version. The window is per key, so its
-    size is the number of versions of one policy.
-    """
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(F.col(valid_from))
-    return (versions.withColumn("valid_from", F.col(valid_from))
-            .withColumn("valid_to", F.lead(F.col(valid_from)).over(w))
-            .withColumn("is_current", F.col("valid_to").isNull()))
-
-
 def member_facts(events: DataFrame, member_col: str = "member_id_hash", type_col: str = "event_type",
                  ts_col: str = "ingested_at") -> DataFrame:
     """Per hashed member: event count, distinct event types, first and last event time.
