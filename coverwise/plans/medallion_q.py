@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import governance as gov
 from ..operators import medallion as med
 from ..operators import semantic as sem
+from ..operators.gold_buckets import GoldBuckets
 from ..session import scratch_path
 from ..sources import adapters as ad
 from ..sources import sinks, tables
@@ -422,6 +423,31 @@ def q_gold_merge(spark, sf_dir):
     return med.merge_gold(first, second).select("id", "change", "is_active", "updated_at")
 
 
+def _merged_buckets(spark, sf_dir):
+    """The first load into an empty table, then the second one, which comes twice."""
+    first, second, _ = _snapshots(spark, sf_dir)
+    table = GoldBuckets(spark, scratch_path(spark, "gold_buckets", uuid.uuid4().hex), buckets=16)
+    table.merge("1", first)
+    table.merge("2", second)
+    table.merge("2", second)
+    return table
+
+
+@query("gold_merge_buckets", statement("SELECT * FROM gold_merge", "gold_merge"), ops=("C1",))
+def q_gold_merge_buckets(spark, sf_dir):
+    table = _merged_buckets(spark, sf_dir)
+    return table.read().join(table.changes("2"), "id", "left").select(
+        "id", F.coalesce("change", F.lit("unchanged")).alias("change"), "is_active", "updated_at")
+
+
+@query("gold_rewritten_rows", statement("""
+SELECT change, count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM gold_merge WHERE change <> 'unchanged' GROUP BY change""",
+    "gold_merge"), ops=("C1",))
+def q_gold_rewritten(spark, sf_dir):
+    return _merged_buckets(spark, sf_dir).changes("2").groupBy("change").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
 cte("gold_hist", """
 WITH v AS (SELECT id, updated_at AS valid_from, is_active, lineage_sk FROM gold_prev
            UNION ALL
