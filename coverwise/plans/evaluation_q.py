@@ -281,6 +281,21 @@ def q_registry_replay(spark, sf_dir):
         "model_key", "config_id", "version", "stage")
 
 
+@query("registry_commits", statement(
+    "SELECT model_key, config_id, version, stage FROM reg_low", "reg_low"), ops=("L1", "L2", "S10"))
+def q_registry_commits(spark, sf_dir):
+    # three commits to one log: trials in two halves by their order, then the promotions
+    regs, promos = registry_frames(Ctx(spark, sf_dir), LOW_FLOORS)
+    log = scratch_path(spark, "registry_commits", uuid.uuid4().hex)
+    half = len(GRID) // 2
+    events = regs.drop("version")
+    reg.commit(spark, log, events.where(F.col("event_seq") < half))
+    reg.commit(spark, log, events.where(F.col("event_seq") >= half), after=0)      # a writer that has not seen the first
+    reg.commit(spark, log, promotions=promos)
+    registrations, promotions = reg.read_commits(spark, log)
+    return reg.registry_state(registrations, promotions).select("model_key", "config_id", "version", "stage")
+
+
 @query("registry_register", statement(
     "SELECT model_key, config_id, version FROM reg_state", "reg_state"), ops=("L1",))
 def q_registry_register(spark, sf_dir):
