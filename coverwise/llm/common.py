@@ -1,12 +1,17 @@
 """Helpers shared by the corpus operators: written intermediate tables."""
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from coverwise.session import ensure_checkpoint_dir, scratch_path
 
+from . import texthash
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,3 +53,17 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tidy(task: Callable) -> Callable:
+    """``task`` for ``mapInArrow`` that gives memory back when it ends. Its Python worker lives on and serves tasks of other
+    steps; several such workers share what an executor has beside its heap."""
+    def run(batches):
+        yield from task(batches)
+        texthash.forget_powers()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it keeps what it has
+            pass
+    return run

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, save
+from .common import forget, save, tidy
 from .tokens import blocks
 
 ORDER = 4
@@ -148,7 +148,7 @@ def count_ngrams(train: DataFrame, lang_col: str = "lang", text_col: str = "text
     """(lang, gram, n) over all whole texts of the rows with a language."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return (rows.mapInArrow(_counter(order, BLOCK), "lang string, gram string, n long")
+    return (rows.mapInArrow(tidy(_counter(order, BLOCK)), "lang string, gram string, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -357,7 +357,7 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", order
     letters = F.explode(F.array(*[F.substring("gram", i, 1) for i in range(1, order + 1)]))
     vocabulary = counts.select(letters.alias("c")).distinct().count() + 1
     terms, made = model_terms(counts, vocabulary, order)
-    packed = save(terms.repartition("gram").mapInArrow(_packer(langs), "keys binary, langs binary, values binary, n long"), "language-terms")
+    packed = save(terms.repartition("gram").mapInArrow(tidy(_packer(langs)), "keys binary, langs binary, values binary, n long"), "language-terms")
     forget(counts, *made)
     parts, held, n = [], [], 0
 
@@ -427,7 +427,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                        F.col(lang_col).cast("string").alias("lang"), held.alias("held_out"))
     model = train(rows.where(~F.col("held_out")))
     out = save(rows.select("doc_id", "held_out", "lang", "text").mapInArrow(
-        _predictor(model.langs, model.floor, model.parts), "doc_id long, held_out boolean, lang string, lang_pred string, score double, entropy double, n_letters long"),
+        tidy(_predictor(model.langs, model.floor, model.parts)), "doc_id long, held_out boolean, lang string, lang_pred string, score double, entropy double, n_letters long"),
         "language-predictions")
     limits = (out.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")) & (F.col("n_letters") >= MIN_LETTERS))
               .groupBy("lang_pred").agg(F.percentile_approx("entropy", 1 - REJECT_SHARE, 10_000).alias("limit")).collect())  # one row per language

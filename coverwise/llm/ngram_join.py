@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, partitions, save
+from .common import forget, partitions, save, tidy
 from .components import components
 from .texthash import mix, shingle_sets
 from .tokens import blocks
@@ -252,9 +252,9 @@ def _prefixes(percent: int):
 def prefixes(sets: DataFrame, percent: int, n: int) -> DataFrame:
     """(h, doc_id): the prefixes of all sets in the order of (number of sets that have the shingle, hash)."""
     parts = 1 << (n - 1).bit_length()
-    counted = (sets.select("doc_id", "hashes").mapInArrow(_by_part(parts), "part int, h binary, ids binary")
-               .repartition(n, "part").sortWithinPartitions("part").mapInArrow(_frequencies(parts), "part int, ids binary, h binary, times binary"))
-    return counted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_prefixes(percent), "h long, doc_id long")
+    counted = (sets.select("doc_id", "hashes").mapInArrow(tidy(_by_part(parts)), "part int, h binary, ids binary")
+               .repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(_frequencies(parts)), "part int, ids binary, h binary, times binary"))
+    return counted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(_prefixes(percent)), "h long, doc_id long")
 
 
 # ---------------------------------------------------------------- 4. prefix tree
@@ -388,7 +388,7 @@ def _tree_join(percent: int):
 
 def _joined(rows: DataFrame, percent: int, n: int) -> DataFrame:
     return (rows.select("unit", "side", "doc_id", "label", "hashes").repartition(n, "unit").sortWithinPartitions("unit")
-            .mapInArrow(_tree_join(percent), "doc_id long, label long"))
+            .mapInArrow(tidy(_tree_join(percent)), "doc_id long, label long"))
 
 
 def _chunks(sets: DataFrame, percent: int, unit_tokens: int) -> DataFrame:
@@ -440,13 +440,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_tasks = partitions(spark)
     parts = 1 << (n_tasks - 1).bit_length()
-    met = (d.mapInArrow(_postings(width, percent, parts), "part int, kind int, a binary, b binary")
-           .repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(_meet(percent), "doc_id long, n long, need long, shared long"))
+    met = (d.mapInArrow(tidy(_postings(width, percent, parts)), "part int, kind int, a binary, b binary")
+           .repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(tidy(_meet(percent)), "doc_id long, n long, need long, shared long"))
     marks = save(met, "peel")
     alive = (marks.where("doc_id is not null").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
              .where("shared >= need").select("doc_id"))
     # the texts are dealt by id whatever the number of the others: cost grows evenly with the input
-    sets = save(d.join(alive.hint("merge"), "doc_id", "left_semi").mapInArrow(_as_sets(width), "doc_id long, n long, f1 long, f2 long, hashes binary")
+    sets = save(d.join(alive.hint("merge"), "doc_id", "left_semi").mapInArrow(tidy(_as_sets(width)), "doc_id long, n long, f1 long, f2 long, hashes binary")
                 .where("n > 0"), "sets")
     same = sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     member = save(sets.select("doc_id", "n", "f1", "f2").distinct().join(same, ["n", "f1", "f2"]).select("doc_id", "rep", "n", "f1", "f2"), "equal-sets")

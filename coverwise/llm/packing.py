@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 CAPACITY = 2048
 END_ID = 1
 
@@ -134,4 +136,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
          capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(_packer(tokenizer_path, capacity, end_id), SCHEMA)
+        .mapInArrow(tidy(_packer(tokenizer_path, capacity, end_id)), SCHEMA)

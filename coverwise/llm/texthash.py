@@ -31,6 +31,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers(longest: int = 1 << 20) -> None:
+    """Drop kept powers beyond this length; they are made anew where a long text asks for them."""
+    for base in [b for b, have in _powers.items() if len(have) > longest]:
+        del _powers[base]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
