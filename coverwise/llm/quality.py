@@ -75,8 +75,8 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Name -> vote, over the columns of :func:`counts`. Most rules know one kind of junk and
-    abstain on everything else; only "prose" can speak for a text. A ratio of an empty text abstains."""
+    """Name -> vote, over the columns of :func:`counts`. Most rules only know one kind of junk; "length", "symbols" and
+    "prose" can speak for a text too. A ratio of an empty text abstains."""
     n = F.col("n_words")
     per = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     never = F.lit(False)
@@ -85,9 +85,9 @@ def rules() -> dict[str, Column]:
     repeat, letters = per("n_repeat_words", "n_words"), per("n_letters", "word_chars")
     distinct, marks = per("n_distinct", "n_words"), per("n_marks", "n_words")
     return {
-        "length": _vote(n < MIN_WORDS, never),
+        "length": _vote(n < MIN_WORDS, n >= 100),
         "word_length": _vote((mean < 2) | (mean > 15), never),
-        "symbols": _vote(symbols > 0.1, never),
+        "symbols": _vote(symbols > 0.1, (n >= MIN_WORDS) & (symbols <= 0.02)),
         "dup_lines": _vote(dup > 0.3, never),
         "repeats": _vote(repeat > 0.25, never),
         "letters": _vote(letters < 0.7, never),
@@ -116,6 +116,11 @@ class VoteModel:
     def log_odds(self) -> list[list[float]]:
         return [[math.log(g / b) for g, b in zip(gs, bs)] for gs, bs in zip(self.good, self.bad)]
 
+    def evidence(self, accused: bool) -> list[list[float]]:
+        """Log-odds of each vote in a text with (``accused``) or without a bad vote. Abstentions may back a bad vote, but where
+        no rule votes bad, no vote counts against the text: its posterior is the prior or more."""
+        return [odds if accused else [0.0, max(0.0, odds[1]), max(0.0, odds[2])] for odds in self.log_odds()]
+
 
 #: Pseudo-documents behind each rate: a rule is presumed right before data say otherwise.
 PRIOR_GOOD, PRIOR_BAD = (0.5, 4.0, 15.5), (8.0, 8.0, 4.0)
@@ -139,8 +144,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: i
                 w[v[r] + 1] += (1 - b) * n
             model.good.append([x / sum(g) for x in g])
             model.bad.append([x / sum(w) for x in w])
-        odds, start = model.log_odds(), math.log(model.prior / (1 - model.prior))
-        new = [1 / (1 + math.exp(-max(-60.0, min(60.0, start + sum(odds[r][x + 1] for r, x in enumerate(v)))))) for v, _ in patterns]
+        odds, start = {k: model.evidence(k) for k in (False, True)}, math.log(model.prior / (1 - model.prior))
+        new = [1 / (1 + math.exp(-max(-60.0, min(60.0, start + sum(odds[-1 in v][r][x + 1] for r, x in enumerate(v)))))) for v, _ in patterns]
         done = max((abs(a - b) for a, b in zip(new, belief)), default=0) < 1e-6
         belief = new
         if done:
@@ -149,10 +154,13 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: i
 
 
 def posterior(model: VoteModel, votes: list[Column]) -> Column:
-    total = F.lit(math.log(model.prior / (1 - model.prior)))
-    for v, (bad, zero, good) in zip(votes, model.log_odds()):
-        total = total + F.when(v == -1, bad).when(v == 1, good).otherwise(zero)
-    return 1 / (1 + F.exp(-total))
+    def total(accused: bool) -> Column:
+        out = F.lit(math.log(model.prior / (1 - model.prior)))
+        for v, (bad, zero, good) in zip(votes, model.evidence(accused)):
+            out = out + F.when(v == -1, bad).when(v == 1, good).otherwise(zero)
+        return out
+
+    return 1 / (1 + F.exp(-F.when(F.least(*votes) < 0, total(True)).otherwise(total(False))))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

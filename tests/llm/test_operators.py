@@ -183,6 +183,9 @@ def test_quality_counts_and_verdicts(spark):
     for r in out:
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
         assert not (r["base_failed"] and r["kept"])
+    for r in out:    # no rule votes against it: kept, whatever the others abstain from
+        votes = [r[c] for c in r.asDict() if c.startswith("vote_")]
+        assert len(votes) == 8 and (r["kept"] or r["base_failed"] or -1 in votes)
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
     judged = [(label[r["doc_id"]], r["kept"]) for r in out if r["doc_id"] in label and not r["base_failed"]]
     good, bad = [k for q, k in judged if q], [k for q, k in judged if not q]
@@ -190,6 +193,13 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+def test_abstentions_alone_condemn_nothing():
+    rows = {(1, 1, 0): 900, (0, 0, 0): 5, (-1, 0, 0): 60, (-1, -1, 0): 30, (0, 1, 0): 40}
+    model = quality.fit(list(rows.items()), ["a", "b", "c"])
+    assert all(x >= 0 for odds in model.evidence(False) for x in odds)
+    assert any(odds[1] < 0 for odds in model.evidence(True))
+
+
 def test_em_recovers_accuracies():
     rng = random.Random(4)
     rows = Counter()
