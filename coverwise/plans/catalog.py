@@ -38,5 +38,5 @@ def query(name: str, oracle: str | None, ops: tuple[str, ...] = ()):
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from . import (medallion_q, retrieval_q, qa_q, evaluation_q, drift_q,  # noqa: F401
-                   streaming_q, tenancy_q, hierarchy_q)
+                   streaming_q, tenancy_q, hierarchy_q, synonyms_q)
     return QUERIES
