@@ -62,17 +62,11 @@ def _attach(left: DataFrame, right: DataFrame, by: list[str], cols: list[str]) -
     return left.join(r, cond, "left").drop(*[f"_by_{c}" for c in by])
 
 
-def exact_quantiles(df: DataFrame, value_col: str, by: list[str], fractions: list[float]) -> DataFrame:
-    """(by..., n, q array<double>): exact linear-interpolated quantiles per group.
+def ranked_values(df: DataFrame, value_col: str, by: list[str]) -> DataFrame:
+    """(by..., v, _first, _end): the distinct non-NULL values in order of (by, v), each with its
+    range of ranks ``_first <= rank < _end`` over all rows; a group's ranks follow each other.
 
-    For group size n and fraction f, position h = (n - 1) * f and the value is
-    x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h) over the sorted group.
-    Rows are first counted per distinct (group, value), so a value held by any
-    share of the rows is one row from then on. The distinct values are range
-    sorted (a group larger than a partition is split across several) and
-    written once to the shared checkpoint folder; a value's rank range is its
-    partition's offset plus the running count inside the partition, and the
-    2 * len(fractions) ranks wanted per group are looked up in those ranges.
+    Counted, range sorted and written once, so no group is gathered in one task.
     """
     from ..session import materialize
     x = df.select(*by, F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull())
@@ -85,9 +79,24 @@ def exact_quantiles(df: DataFrame, value_col: str, by: list[str], fractions: lis
     offsets = parts.select("_part", (F.sum("_pc").over(Window.orderBy("_part")) - F.col("_pc")).alias("_off"))
     running = F.sum("_c").over(Window.partitionBy("_part").orderBy("_mid")
                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = srt.withColumn("_run", running).join(offsets, "_part").select(
+    return srt.withColumn("_run", running).join(offsets, "_part").select(
         *by, "v", (F.col("_off") + F.col("_run") - F.col("_c")).alias("_first"),
         (F.col("_off") + F.col("_run")).alias("_end"))
+
+
+def exact_quantiles(df: DataFrame, value_col: str, by: list[str], fractions: list[float]) -> DataFrame:
+    """(by..., n, q array<double>): exact linear-interpolated quantiles per group.
+
+    For group size n and fraction f, position h = (n - 1) * f and the value is
+    x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h) over the sorted group.
+    Rows are first counted per distinct (group, value), so a value held by any
+    share of the rows is one row from then on. The distinct values are range
+    sorted (a group larger than a partition is split across several) and
+    written once to the shared checkpoint folder; a value's rank range is its
+    partition's offset plus the running count inside the partition, and the
+    2 * len(fractions) ranks wanted per group are looked up in those ranges.
+    """
+    ranked = ranked_values(df, value_col, by)
     fr = F.array(*[F.lit(float(f)) for f in fractions])
     groups = ranked.groupBy(*by).agg((F.max("_end") - F.min("_first")).alias("n"),
                                      F.min("_first").alias("_start"))

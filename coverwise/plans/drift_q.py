@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import drift
+from ..operators import drift, rank_sketch
 from ..operators import qa
 from ..operators import retrieval as rt
 from ..sources import tables
@@ -169,3 +169,58 @@ def q_psi_scores(spark, sf_dir):
     q1 = qs.select("q_id", qa.rewrite(F.col("question")).alias("question"))
     s1 = rt.tfidf_topk(q1, idx, 1, pad=True).select(F.col("score").alias("v"))
     return drift.psi(s0, s1, "v", bins=BINS)
+
+
+# sliding reference: every week against the four weeks before it, from daily sketches
+REACH = 4
+cte("sk_points", f"""
+SELECT day, max(v) AS v, CAST(sum(c) AS BIGINT) AS w
+FROM (SELECT day, v, c, sum(c) OVER (PARTITION BY day ORDER BY v) - c AS f, sum(c) OVER (PARTITION BY day) AS n
+      FROM (SELECT CAST(ts AS DATE) AS day, CAST(value AS DOUBLE) AS v, count(*) AS c FROM events
+            WHERE value IS NOT NULL GROUP BY ALL))
+GROUP BY day, CAST(f * {rank_sketch.POINTS} AS BIGINT) // CAST(n AS BIGINT)""")
+cte("sk_cur", "SELECT CAST(date_trunc('week', day) AS DATE) AS win, v, w FROM sk_points", "sk_points")
+cte("sk_ref", f"SELECT CAST(win + 7 * i AS DATE) AS win, v, w FROM (SELECT *, CAST(unnest(range(1, {REACH + 1})) AS INTEGER) AS i FROM sk_cur)", "sk_cur")
+cte("sk_cum", f"""
+SELECT *, greatest(2, least({BINS}, n // 5)) AS b
+FROM (SELECT win, v, CAST(sum(w) OVER (PARTITION BY win ORDER BY v) AS BIGINT) AS cum,
+             CAST(sum(w) OVER (PARTITION BY win) AS BIGINT) AS n
+      FROM (SELECT win, v, sum(w) AS w FROM sk_ref GROUP BY ALL))""", "sk_ref")
+cte("sk_edges", f"""
+SELECT win, any_value(n) AS n_reference, list_sort(list_distinct(list(edge))) AS edges
+FROM (SELECT win, i, any_value(n) AS n, min(v) FILTER (WHERE cum > ((n - 1) * least(i, b)) // b) AS edge
+      FROM sk_cum, range(0, {BINS + 1}) t(i) GROUP BY win, i)
+GROUP BY win""", "sk_cum")
+_sk_bin = "len(list_filter(list_slice(e.edges, 2, len(e.edges) - 1), lambda t: t <= x.v))"
+cte("sk_hist", f"""
+SELECT win, bin, sum(r) AS r, sum(c) AS c
+FROM (SELECT win, {_sk_bin} AS bin, w AS r, 0 AS c FROM sk_ref x JOIN sk_edges e USING (win)
+      UNION ALL SELECT win, {_sk_bin}, 0, w FROM sk_cur x JOIN sk_edges e USING (win))
+GROUP BY ALL""", "sk_ref", "sk_cur", "sk_edges")
+cte("sk_psi", """
+SELECT t.win, t.n_current, coalesce(e.n_reference, 0) AS n_reference,
+       CASE WHEN e.edges IS NULL OR len(e.edges) < 2 THEN 0.0 ELSE
+         (SELECT sum((greatest(coalesce(h.c, 0) / t.n_current, 1e-4) - greatest(coalesce(h.r, 0) / e.n_reference, 1e-4))
+                     * ln(greatest(coalesce(h.c, 0) / t.n_current, 1e-4) / greatest(coalesce(h.r, 0) / e.n_reference, 1e-4)))
+          FROM sk_hist h WHERE h.win = t.win) END AS s
+FROM (SELECT win, CAST(sum(w) AS BIGINT) AS n_current FROM sk_cur GROUP BY win) t LEFT JOIN sk_edges e ON e.win = t.win""",
+    "sk_cur", "sk_edges", "sk_hist")
+
+
+def daily_points(spark, sf_dir) -> DataFrame:
+    e = tables.events(spark, sf_dir).select(F.col("value").alias("v"), F.to_date("ts").alias("day"))
+    return rank_sketch.day_sketches(e, "v", ["day"])
+
+
+@query("daily_rank_sketch", statement("SELECT day, v, w FROM sk_points", "sk_points"), ops=("M1", "T3"))
+def q_daily_rank_sketch(spark, sf_dir):
+    return daily_points(spark, sf_dir)
+
+
+@query("psi_sliding", statement("""
+SELECT win AS week_start, round_even(s, 4) AS psi,
+       CASE WHEN s < 0.10 THEN 'stable' WHEN s < 0.25 THEN 'moderate' ELSE 'significant' END AS severity,
+       n_reference, n_current FROM sk_psi""", "sk_psi"), ops=("M1", "M3", "T3"))
+def q_psi_sliding(spark, sf_dir):
+    p = daily_points(spark, sf_dir).withColumn("week", F.date_trunc("week", "day"))
+    return rank_sketch.psi_sliding(p, "week", REACH, BINS).withColumnRenamed("window", "week_start")
