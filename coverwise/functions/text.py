@@ -71,6 +71,17 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, bigrams)
 
 
+def term_codes(tokens: Column) -> Column:
+    """xxhash64 of every token (see :func:`code_bigrams` for the pairs)."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def code_bigrams(codes: Column) -> Column:
+    """``with_bigrams`` over codes: a bigram's code is that of its two tokens' codes."""
+    n = F.greatest(F.size(codes) - 1, F.lit(0))
+    return F.concat(codes, F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.xxhash64(a, b)))
+
+
 def retrieval_terms(text: Column, stop_words: list[str] | None = None) -> Column:
     return with_bigrams(retrieval_tokens(text, stop_words))
 

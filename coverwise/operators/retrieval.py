@@ -21,20 +21,28 @@ Zero-score padding (the reference always returns min(k, N) documents): the
 first k corpus documents by position are fetched once as a scalar subquery and
 ranked at score 0 with each question's winners, at most 2k rows a question.
 
+A ``coded`` index names its terms by 64-bit codes (xxhash64; a bigram's code is that of its tokens' codes) in the
+column ``term`` of tf and vocabulary. Most postings are bigrams of one or two documents, so their texts are most
+of what a string index writes, shuffles, sorts and scans. Two terms of one code count as one term: among n
+distinct terms n * n / 2 ** 65 such pairs are expected (0.01 for 700 million). Readers of the
+terms themselves (vocabulary, postings, synonyms) use the string index.
+
 Scores are summed in different orders by different engines; ranking uses the
 score rounded to 9 places, output is rounded to 6.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import retrieval_tokens, with_bigrams
+from ..functions.text import code_bigrams, retrieval_tokens, term_codes, with_bigrams
 
 RANK_DIGITS = 9
 OUT_DIGITS = 6
@@ -56,6 +64,7 @@ class TfidfIndex:
     norms: DataFrame       # (pos, norm)
     stop_words: list[str] | None = None
     fitted: bool = False   # the tables are written (lineage cut), not plans
+    coded: bool = False    # ``term`` is a 64-bit code
 
     @property
     def postings(self) -> DataFrame:
@@ -73,7 +82,7 @@ class TfidfIndex:
             return self
         from ..session import materialize
         return TfidfIndex(self.docs, self.tf, materialize(self.vocab, "vocab"), materialize(self.norms, "norms"),
-                          self.stop_words, fitted=True)
+                          self.stop_words, fitted=True, coded=self.coded)
 
     def persist(self, path: str) -> "TfidfIndex":
         """Write the index once and read it back (lineage cut at the written tables)."""
@@ -81,7 +90,7 @@ class TfidfIndex:
         for name in ("docs", "tf", "vocab", "norms"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         r = {n: spark.read.parquet(f"{path}/{n}") for n in ("docs", "tf", "vocab", "norms")}
-        return TfidfIndex(r["docs"], r["tf"], r["vocab"], r["norms"], self.stop_words, fitted=True)
+        return TfidfIndex(r["docs"], r["tf"], r["vocab"], r["norms"], self.stop_words, fitted=True, coded=self.coded)
 
 
 def _w_raw(tf: Column, idf: Column) -> Column:
@@ -93,25 +102,65 @@ def doc_text(title: Column, text: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(text, F.lit("")))
 
 
-def term_frequencies(df: DataFrame, key_cols: list[str], text: Column,
-                     stop_words: list[str] | None = None) -> DataFrame:
-    """(keys..., term, tf): the terms of a key's rows are gathered, sorted and counted as one array,
-    so what is grouped is texts, not terms. A key's rows are one document (repeated keys add up)."""
-    # tokens, sorted terms and run ends are projected once and referenced by column: a nested
+def gathered_terms(df: DataFrame, key_cols: list[str], text: Column, stop_words: list[str] | None = None,
+                   coded: bool = False) -> DataFrame:
+    """(keys..., _s): all terms of a key's rows (or their codes) as one sorted array."""
+    # tokens and sorted terms are projected once and referenced by column: a nested
     # expression would be computed again wherever it is named
     toks = df.select(*key_cols, retrieval_tokens(text, stop_words).alias("_toks"))
-    terms = toks.select(*key_cols, with_bigrams(F.col("_toks")).alias("_terms"))
+    if coded:
+        toks = toks.select(*key_cols, term_codes(F.col("_toks")).alias("_toks"))
+    terms = toks.select(*key_cols, (code_bigrams if coded else with_bigrams)(F.col("_toks")).alias("_terms"))
     per_key = terms.groupBy(*key_cols).agg(F.sort_array(F.flatten(F.collect_list("_terms"))).alias("_s"))
+    return per_key.where(F.size("_s") > 0)
+
+
+def term_frequencies(df: DataFrame, key_cols: list[str], text: Column,
+                     stop_words: list[str] | None = None, coded: bool = False) -> DataFrame:
+    """(keys..., term, tf): the terms of a key's rows are gathered, sorted and counted as one array,
+    so what is grouped is texts, not terms. A key's rows are one document (repeated keys add up)."""
+    per_key = gathered_terms(df, key_cols, text, stop_words, coded)
     # last place (from 1) of each run of equal terms
     ends = F.filter(F.sequence(F.lit(1), F.size("_s")),
                     lambda i: (i == F.size("_s")) | (F.get(F.col("_s"), i - 1) != F.get(F.col("_s"), i)))
-    runs = per_key.where(F.size("_s") > 0).select(*key_cols, "_s", ends.alias("_e"))
+    runs = per_key.select(*key_cols, "_s", ends.alias("_e"))
     counted = F.transform("_e", lambda e, j: F.struct(
         F.get(F.col("_s"), e - 1).alias("term"),
         (e - F.coalesce(F.get(F.col("_e"), j - 1), F.lit(0))).cast("long").alias("tf")))
     return runs.select(*key_cols, F.explode(counted).alias("_t")).select(*key_cols, "_t.term", "_t.tf")
 
 
+#: Codes counted at a time by a task.
+COUNT_CODES = 1 << 20
+
+
+def _code_counter(limit: int = COUNT_CODES):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.asarray(batch.column(1).value_lengths()).cumsum()
+            lo = 0
+            while lo < len(ends):
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+                codes = batch.column(1).slice(lo, hi - lo).flatten().to_numpy()
+                new = np.ones(len(codes), bool)  # the first of a run of equal codes
+                new[1:] = codes[1:] != codes[:-1]
+                new[ends[lo:hi - 1] - before] = True
+                at = np.flatnonzero(new)
+                doc = np.searchsorted(ends[lo:hi] - before, at, "right") + lo
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(codes[at]), pa.array(np.diff(at, append=len(codes)))],
+                                                 names=[batch.schema.names[0], "term", "tf"])
+                lo = hi
+    return count
+
+
+def code_frequencies(df: DataFrame, key: str, text: Column, stop_words: list[str] | None = None) -> DataFrame:
+    """``term_frequencies`` of coded terms for many texts: the runs of a task's arrays are counted together."""
+    per_key = gathered_terms(df, [key], text, stop_words, coded=True)
+    schema = T.StructType([per_key.schema[key], T.StructField("term", T.LongType()), T.StructField("tf", T.LongType())])
+    return per_key.mapInArrow(_code_counter(), schema)
+
+
 def _l2_normalised(df: DataFrame, key: str, raw: str = "w_raw") -> DataFrame:
     # window on the document/question key: rows per key are bounded by its distinct terms
     norm = F.sqrt(F.sum(F.col(raw) * F.col(raw)).over(Window.partitionBy(key)))
@@ -120,8 +169,11 @@ def _l2_normalised(df: DataFrame, key: str, raw: str = "w_raw") -> DataFrame:
 
 def document_norms(tf: DataFrame, vocab: DataFrame, n_docs: Column) -> DataFrame:
     """(pos, norm): L2 norm of (1 + ln tf) * idf per document. Most terms lie in one document and share one
-    idf, so only the terms of several documents are joined."""
+    idf, so only the terms of several documents are joined; as codes they are hashed where they meet their postings,
+    which are then not sorted."""
     shared = vocab.where("df > 1").select("term", "idf")
+    if vocab.schema["term"].dataType == T.LongType():
+        shared = shared.hint("shuffle_hash")
     alone = F.log((F.lit(1.0) + n_docs) / 2) + 1
     w = tf.join(shared, "term", "left").select("pos", _w_raw(F.col("tf"), F.coalesce("idf", alone)).alias("w"))
     return w.groupBy("pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -147,7 +199,7 @@ class FittedIndex(TfidfIndex):
 def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos",
                       title_col: str = "title", text_col: str = "text",
                       category_col: str | None = "category",
-                      stop_words: list[str] | None = None, checkpoint: bool = True) -> TfidfIndex:
+                      stop_words: list[str] | None = None, checkpoint: bool = True, coded: bool = False) -> TfidfIndex:
     """Fit the TF-IDF index over a corpus DataFrame.
 
     ``pos`` (unique, numeric) is the internal document key. With ``checkpoint``
@@ -170,7 +222,7 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
     buckets = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if checkpoint:
         texts = texts.repartition(buckets, "pos")
-    tf = term_frequencies(texts, ["pos"], F.col("_t"), stop_words)
+    tf = code_frequencies(texts, "pos", F.col("_t"), stop_words) if coded else term_frequencies(texts, ["pos"], F.col("_t"), stop_words)
     if checkpoint:
         tf = materialize_buckets(tf, "tf", "pos", buckets)
     vocab = (tf.groupBy("term").agg(F.count("tf").alias("df"))
@@ -179,8 +231,8 @@ def build_tfidf_index(corpus: DataFrame, id_col: str = "id", pos_col: str = "pos
         vocab = materialize(vocab, "vocab")
     norms = document_norms(tf, vocab, n_docs)
     if checkpoint:
-        return FittedIndex(docs, tf, vocab, norms, stop_words, fitted=True)
-    return TfidfIndex(docs, tf, vocab, norms, stop_words)
+        return FittedIndex(docs, tf, vocab, norms, stop_words, fitted=True, coded=coded)
+    return TfidfIndex(docs, tf, vocab, norms, stop_words, coded=coded)
 
 
 # Question-side term rows (q_id, term) are broadcast to the scans of the index
@@ -197,7 +249,7 @@ def query_vectors(questions: DataFrame, index: TfidfIndex, q_col: str = "q_id",
     vocabulary scan; ``None`` decides by counting them first.
     """
     tf = term_frequencies(questions.select(F.col(q_col).alias("q_id"), F.col(text_col).alias("_t")),
-                          ["q_id"], F.col("_t"), index.stop_words)
+                          ["q_id"], F.col("_t"), index.stop_words, index.coded)
     if broadcast is None:
         broadcast = tf.count() <= MAX_BROADCAST_QUERY_TERMS
     q = F.broadcast(tf) if broadcast else tf

@@ -120,8 +120,8 @@ class Ctx:
 
     @cached_property
     def index_reused(self) -> rt.TfidfIndex:
-        """The index with postings materialised, for jobs that rank more than once."""
-        return self.index.checkpoint()
+        """The index with terms as 64-bit codes, for jobs that rank more than once and read no term."""
+        return rt.build_tfidf_index(self.corpus, coded=True)
 
     @cached_property
     def questions(self) -> DataFrame:

@@ -88,3 +88,35 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     index = SegmentIndex(spark, str(tmp_path), buckets=2)
     dealt = index._deal(spark.range(500).select(F.col("id").alias("pos"), (F.col("id") % 2).cast("int").alias("bucket")))
     assert dealt.select("bucket", "_part").distinct().count() > 2
+
+
+def test_coded_terms_rank_like_terms(spark, corpus, monkeypatch):
+    """Codes in place of terms: counted alike for null, repeated and empty texts and across counting chunks."""
+    df = spark.createDataFrame([(1, "copay copay rider"), (1, "rider"), (2, ""), (3, None), (None, "copay"), (None, "copay"), (4, "of the"),
+                                (5, "rider copay Straße_9 copay rider copay")], "k long, t string")
+    want = rt.term_frequencies(df, ["k"], F.col("t"))
+    runs = sorted(((r["k"], r["tf"]) for r in want.collect()), key=str)
+    counter = rt._code_counter
+    for limit in (1, 4, 1 << 20):
+        monkeypatch.setattr(rt, "_code_counter", lambda n=limit: counter(n))
+        got = rt.code_frequencies(df, "k", F.col("t")).collect()
+        assert sorted(((r["k"], r["tf"]) for r in got), key=str) == runs
+        assert sorted(got, key=str) == sorted(rt.term_frequencies(df, ["k"], F.col("t"), coded=True).collect(), key=str)
+    # a code is that of the token, a bigram's code that of its tokens' codes
+    codes = {r["term"] for r in got if r["k"] == 1}
+    c, r = F.xxhash64(F.lit("copay")), F.xxhash64(F.lit("rider"))
+    assert codes == set(spark.range(1).select(c, r, F.xxhash64(c, c), F.xxhash64(c, r)).first())
+    index, coded = rt.build_tfidf_index(corpus), rt.build_tfidf_index(corpus, coded=True)
+    assert coded.tf.schema["term"].dataType.simpleString() == "bigint" and coded.tf.count() == index.tf.count()
+    qs = spark.createDataFrame([(1, "copay word3 policy"), (2, "policy title1 unknown"), (3, None), (4, "member copay word1")], "q_id long, question string")
+    assert sorted(rt.tfidf_topk(qs, coded, 3).collect()) == sorted(rt.tfidf_topk(qs, index, 3).collect())
+    assert rt.tfidf_topk(qs, coded.checkpoint(), 3, pad=False).where("q_id = 3").isEmpty()
+
+
+def test_rounds_read_codes(spark):
+    """What ranks in rounds writes, deals and joins codes; no term text is in the tables of its index."""
+    from coverwise.plans.retrieval_q import Ctx
+    index = Ctx(spark, "/root/testdata/sf0.001").index_reused
+    assert index.coded
+    assert {t.schema["term"].dataType.simpleString() for t in (index.tf, index.vocab)} == {"bigint"}
+    assert "SortMergeJoin" not in plan(rt.document_norms(index.tf, index.vocab, F.lit(10.0)))
