@@ -74,3 +74,18 @@ def test_own_answerer_is_asked_again_until_it_is_graded_ok(spark, kb, idx):
     got = {r["q_id"]: r for r in qa.answer_questions(_qs(spark, "When is open enrollment?", "specialist copay"), idx, _text(kb), cfg, answerer=answerer).collect()}
     assert (got[0]["n_generations"], got[0]["regen_count"], got[0]["answer_ok"]) == (2, 1, True) and "November 1" in got[0]["answer"]
     assert (got[1]["n_generations"], got[1]["regen_count"], got[1]["answer"]) == (3, 3, "no 2")
+
+
+def test_texts_meet_ranked_rows_that_are_written(spark, kb, idx, monkeypatch):
+    """The join with the texts is planned over a written table of few rows, not over the ranking."""
+    plans = {}
+
+    def spy(df, name="t", f=qa_loop.materialize):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return f(df, name)
+
+    monkeypatch.setattr(qa_loop, "materialize", spy)
+    qs = _qs(spark, "parking fee nightly", "telehealth")
+    qa.answer_questions(qs, idx, _text(kb), STRICT, retriever=qa_loop.keyword_retriever(idx)).collect()
+    assert "row_number" in plans["top-0"]
+    assert not any("row_number" in p for name, p in plans.items() if name.startswith("round-"))
