@@ -4,10 +4,15 @@ A text is cut before white space that follows a visible character. The
 tokenizers used here never merge across such a place, so the ids of the text are the ids of
 its pieces in order. Each distinct piece of a batch goes through the tokenizer once and
 its ids are then gathered for all its occurrences; natural text repeats its words.
+
+A tokenizer that drops white space and looks at words, digits and signs apart (``WORD_PATTERN``) is given smaller pieces, in lower
+case where that is what it would make of them: see :class:`WordTokenizer`.
 """
 from __future__ import annotations
 
+import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -82,6 +87,14 @@ class PieceTokenizer:
             flat.append(np.delete(ids, marks))
         return np.concatenate(size), np.concatenate(flat)
 
+    def _cut(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes to encode, where pieces start); texts start pieces whatever this says."""
+        visible = _VISIBLE[data[:-1]]
+        visible[1:] |= data[:-2] == 0xC3  # the second byte of U+00C0 to U+00FF
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = _SPACE[data[1:]] & visible
+        return data, start
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); null is empty."""
         if len(texts) == 0:
@@ -93,10 +106,7 @@ class PieceTokenizer:
         ends = offsets - offsets[0]
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        visible = _VISIBLE[data[:-1]]
-        visible[1:] |= data[:-2] == 0xC3  # the second byte of U+00C0 to U+00FF
-        start = np.zeros(len(data) + 1, bool)
-        start[1:-1] = _SPACE[data[1:]] & visible
+        data, start = self._cut(data)
         start[ends] = True
         bounds = np.flatnonzero(start)
         starts = bounds[:-1]
@@ -112,6 +122,88 @@ class PieceTokenizer:
         return out, np.diff(per)
 
 
+#: Splits words from digits and signs, single digits from each other, and keeps no white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+_OTHER, _LETTER, _DIGIT, _SIGN, _QUOTE, _BLANK = range(6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x27] = _QUOTE
+_KIND[[*range(0x09, 0x0E), 0x20]] = _BLANK
+#: Whether a piece starts between bytes of two kinds. A quote may go with letters after it ('s, 't).
+_EDGE = np.zeros((6, 6), bool)
+_EDGE[1:, 1:] = ~np.eye(5, dtype=bool)
+_EDGE[_DIGIT, _DIGIT] = True
+_EDGE[_QUOTE, [_LETTER, _SIGN]] = _EDGE[_SIGN, _QUOTE] = False
+_EDGE[_BLANK, _OTHER] = _EDGE[_OTHER, _BLANK] = True
+_EDGE = _EDGE.reshape(-1)
+
+
+class WordTokenizer(PieceTokenizer):
+    """For tokenizers with ``WORD_PATTERN`` after NFC and lower case.
+
+    Texts are cut where ASCII and U+00C0 to U+00FF change between letters, digits, signs and white space: there the pattern cuts
+    whatever stands around, and composition (NFC) reaches no further. A letter becomes lower case here unless
+    a character that may compose with it follows. Pieces of such letters alone need neither normalizer nor pattern and go to
+    the tokenizer's model through a plain split at spaces; all others go through the whole tokenizer."""
+
+    def __init__(self, path: str, parts: dict):
+        super().__init__(path)
+        from tokenizers import Tokenizer, models, pre_tokenizers
+        m = parts["model"]
+        # pieces come here once: a cache of theirs would only be filled
+        model = models.BPE(m["vocab"], [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]], cache_capacity=0,
+                           end_of_word_suffix=m["end_of_word_suffix"])
+        self.tokenizer.model = model
+        self.plain = Tokenizer(model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+    @staticmethod
+    def fits(parts: dict) -> bool:
+        """Whether the tokenizer of this file (read as JSON) may be cut so."""
+        m, norm, pre = parts["model"], parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+        split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        return (norm.get("normalizers") == _NORMAL and pre.get("pretokenizers") == [split, _BYTES] and m["type"] == "BPE" and "0" in m["vocab"]
+                and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+                and bool(m.get("end_of_word_suffix")))
+
+    def _cut(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind, follows = _KIND.take(data), np.append(data[1:], np.uint8(0))
+        upper = (data - np.uint8(0x41) < 26) & ((follows < 0x80) | (follows == 0xC3))
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        low = data[lead + 1]
+        kind[lead] = kind[lead + 1] = np.where((low == 0x97) | (low == 0xB7), _OTHER, _LETTER)
+        after = follows[lead + 1]
+        upper[lead + 1] = (low < 0x9F) & (low != 0x97) & ((after < 0x80) | (after == 0xC3))
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = _EDGE.take(kind[:-1] * np.uint8(6) + kind[1:])
+        return data + (upper.view(np.uint8) << np.uint8(5)), start
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As above; words of plain letters take the shorter way."""
+        plain = np.fromiter((self.letters(p) is not None for p in pieces), bool, len(pieces))
+        whole = self.tokenizer
+        size, flat = np.zeros(len(pieces), np.int32), []
+        try:
+            for chosen, tokenizer in ((plain, self.plain), (~plain, whole)):
+                self.tokenizer = tokenizer
+                n, ids = super()._encode([pieces[i] for i in np.flatnonzero(chosen).tolist()])
+                size[chosen] = n
+                flat.append((np.flatnonzero(chosen), n, ids))
+        finally:
+            self.tokenizer = whole
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint32)
+        for which, n, ids in flat:
+            out[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return size, out
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK):
     """(from, to) ranges of rows with at most ``limit`` bytes of text each, one row at least."""
     if len(texts) == 0:
@@ -132,5 +224,7 @@ _loaded: dict[str, PieceTokenizer] = {}
 def tokenizer(path: str) -> PieceTokenizer:
     """One tokenizer per file and Python worker; what it remembers serves later tasks too."""
     if path not in _loaded:
-        _loaded[path] = PieceTokenizer(path)
+        with open(path, "rb") as f:
+            parts = json.load(f)
+        _loaded[path] = WordTokenizer(path, parts) if WordTokenizer.fits(parts) else PieceTokenizer(path)
     return _loaded[path]
