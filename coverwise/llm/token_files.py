@@ -177,6 +177,15 @@ class _Model:
         self.slots[self.at] = self.slot
 
 
+def _interval(starts: np.ndarray, full: np.ndarray, other: np.ndarray, neither: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Part of the range of order 2, or of an ``other``: order 1, or order 0 if ``neither`` says it."""
+    end = np.where(other, starts[1], starts[0])
+    np.copyto(end, full, where=neither)
+    start = np.where(neither, starts[1], starts[0])
+    start *= other
+    return start, end
+
+
 def _encode_orders(ranks: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """[length, blocks] of ranks, the last block with ``last`` ranks only -> (words, their number by block, which
     ranks are left to order 0)."""
@@ -190,20 +199,13 @@ def _encode_orders(ranks: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray
             places, past = model.places(past[1:-1], past[:-2]), past[-2:]
         m = n - (t >= last)
         rank = ranks[t, :m]
-        say, (first, second) = model.predict(places[t % 16][:, :m])
+        say, starts = model.predict(places[t % 16][:, :m])
+        starts *= coder.range[:m] >> _MIX
         hit = say == rank
-        hit1, hit2 = hit
-        r = coder.range[:m] >> _MIX
-        first *= r
-        second *= r
-        how = 2 - hit1.view(np.int8)
-        how[hit2] = 0
-        start, end = np.where(hit1, first, second), np.where(hit1, second, coder.range[:m])
-        np.copyto(end, first, where=hit2)
-        start[hit2] = 0
-        coder.code(start, end, m)
-        np.equal(how, 2, out=left[t, :m])
-        model.update(how, hit, rank)
+        other = ~hit[1]  # than order 2
+        neither = np.greater(other, hit[0], out=left[t, :m])
+        coder.code(*_interval(starts, coder.range[:m], other, neither), m)
+        model.update(other.view(np.int8) + neither.view(np.int8), hit, rank)
     return *coder.finish(), left
 
 
@@ -216,21 +218,15 @@ def _decode_orders(words: np.ndarray, used: np.ndarray, others: np.ndarray, coun
     back1 = back2 = np.zeros(n, np.int64)
     for t in range(length):
         m = n - (t >= last)
-        say, (first, second) = model.predict(model.places(back1[:m], back2[:m]))
-        code, r = coder.code[:m], coder.range[:m] >> _MIX
-        first *= r
-        second *= r
-        other, left = code >= first, code >= second  # than order 2; than both
-        end = np.where(other, second, first)
-        np.copyto(end, coder.range[:m], where=left)
-        start = np.where(left, second, first)
-        start *= other
-        coder.take(start, end, m)
+        say, starts = model.predict(model.places(back1[:m], back2[:m]))
+        starts *= coder.range[:m] >> _MIX
+        other, neither = coder.code[:m] >= starts
+        coder.take(*_interval(starts, coder.range[:m], other, neither), m)
         rank = np.where(other, say[0], say[1])
-        np.copyto(rank, others.take(at[:m]), where=left)
-        at[:m] += left
+        np.copyto(rank, others.take(at[:m]), where=neither)
+        at[:m] += neither
         out[t, :m] = rank
-        model.update(other.view(np.int8) + left.view(np.int8), say == rank, rank)
+        model.update(other.view(np.int8) + neither.view(np.int8), say == rank, rank)
         back1, back2 = rank.astype(np.int64), back1
     return out
 
@@ -326,14 +322,15 @@ def _bit_places(bits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _pack_places(places: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, words = _bit_places(bits, counts)
-    out = np.zeros(int(words.sum()) + 3, np.int64)
+    total = int(words.sum())
+    out = np.zeros(total // 2 + 2, np.int64)  # two words each
     if len(at):
-        word = at >> 4
-        new = np.flatnonzero(np.diff(word, prepend=-1))
-        value, word = np.add.reduceat(places << (at & 15), new), word[new]
-        for k in range(3):
-            out[word + k] += (value >> (16 * k)) & 0xFFFF
-    return out[:-3].astype("<u2"), words
+        pair = at >> 5
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        value, pair = np.add.reduceat(places << (at & 31), new), pair[new]
+        out[pair] += value & 0xFFFFFFFF
+        out[pair + 1] += value >> 32
+    return out.astype("<u4").view("<u2")[:total], words
 
 
 def _unpack_places(packed: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -375,7 +372,7 @@ def pack_file(docs: list[int | None], sizes: list[int], ids: np.ndarray) -> byte
         ranks[:len(part)] = rank[part]
         ranks = ranks.reshape(hi - lo, length)
         orders, order_words, left = _encode_orders(ranks.T.copy(), last)
-        left = left.T
+        left = left.T.copy()
         counts, others = left.sum(axis=1), ranks[left]
         bits = bits_of[others]
         classes, class_words = _encode_classes(class_of[others], counts, shares)
