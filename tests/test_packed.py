@@ -49,3 +49,61 @@ def test_a_coded_index_writes_no_vocabulary(spark, texts, tmp_path):
     asked = spark.createDataFrame([("copay",), ("zebra",)], "t string").select(F.xxhash64("t").alias("term"))
     got = coded.vocab_of(asked).collect()
     assert [(r["df"], round(r["idf"], 9)) for r in got] == [(r["df"], round(r["idf"], 9)) for r in index.vocab.where("term = 'copay'").collect()]
+
+
+def test_numbered_tokens_count_like_terms(spark, monkeypatch):
+    """For repeated, missing and empty keys and texts, and across counting chunks; a term's code is found from its text."""
+    from coverwise.functions.text import term_code
+    df = spark.createDataFrame([(1, 0, "copay copay rider"), (1, 0, "rider"), (1, 1, "rider x9"), (2, 0, ""), (3, 0, None), (None, 0, "copay"), (None, 0, "copay"),
+                                (4, 0, "of the"), (5, 0, "rider copay Straße_9 copay rider copay")], "k long, b int, t string")
+    want = sorted(rt.term_frequencies(df, ["k", "b"], F.col("t")).collect(), key=str)
+    counter = rt._term_counter
+    for limit in (1, 4, 1 << 20):
+        monkeypatch.setattr(rt, "_term_counter", lambda n=limit, **kw: counter(n, **kw))
+        assert sorted(rt.dealt_frequencies(df.repartition(3, "k"), ["k", "b"], F.col("t")).collect(), key=str) == want
+    one = df.where("b = 0 and k = 5")
+    codes = {r["term"] for r in rt.code_frequencies(one, "k", F.col("t")).collect()}
+    assert {r[0] for r in rt.dealt_frequencies(one, ["k"], F.col("t")).select(term_code(F.col("term"))).collect()} == codes
+
+
+def test_open_segments_write_no_vocabulary(spark, tmp_path, monkeypatch):
+    """Neither a merged vocabulary nor strings of all postings are needed to rank; a batch without tombstones reads no older postings."""
+    from coverwise.operators import segments
+    from test_segments import SCHEMA, change
+    index = segments.SegmentIndex(spark, str(tmp_path / "i"), buckets=4)
+    read = []
+    monkeypatch.setattr(segments.SegmentIndex, "_table", lambda self, name, parts, f=segments.SegmentIndex._table: read.append((name, tuple(parts))) or f(self, name, parts))
+    index.apply(0, spark.createDataFrame([change("a", 1, 1, "open enrollment"), change("b", 1, 2, "prior copay")], SCHEMA))
+    index.apply(1, spark.createDataFrame([change("c", 1, 3, "visit copay")], SCHEMA))
+    assert not any(name == "tf" and "batch=0000000000" in parts and len(parts) == 1 for name, parts in read[-4:])
+    written = []
+    monkeypatch.setattr(segments, "materialize", lambda df, name="t", f=segments.materialize: written.append(name) or f(df, name))
+    opened = index.open(fitted=True)
+    top = rt.tfidf_topk(spark.createDataFrame([(1, "copay")], "q_id long, question string"), opened, 3, pad=False)
+    assert {r["pos"] for r in top.collect()} == {2, 3}
+    assert "vocab" not in written and "asked-vocab" in written
+    assert opened.vocab_of(spark.createDataFrame([("copay",)], "term string")).first()["df"] == 2
+
+
+def test_blocks_of_a_coded_index(spark, texts):
+    """Words of the corpus name the blocks of codes: the same blocks and ranks as with terms. Contexts are dealt as codes."""
+    from coverwise.operators import synonyms as sy
+    corpus = texts.where("pos is not null").groupBy("pos").agg(F.first("text").alias("text")).select(
+        F.concat(F.lit("d"), "pos").alias("id"), "pos", F.lit("title").alias("title"), "text", F.lit("en").alias("category"))
+    pairs = spark.createDataFrame([("rider", "copay")], "word string, code string")
+    words = sy.corpus_words(corpus, rt.doc_text(F.col("title"), F.col("text")))
+    plain = sy.build_blocks(rt.build_tfidf_index(corpus), pairs)
+    coded = sy.build_blocks(rt.build_tfidf_index(corpus, coded=True), pairs, words=words)
+    assert sorted(coded.blocks.collect()) == sorted(plain.blocks.collect()) and sorted(coded.sizes.collect()) == sorted(plain.sizes.collect())
+    qs = spark.createDataFrame([(1, "rider word3"), (2, "only7 policy"), (3, None)], "q_id long, question string")
+    assert sorted(sy.block_topk(qs, coded, 3).collect()) == sorted(sy.block_topk(qs, plain, 3).collect())
+    assert set(sy.contexts(corpus, F.col("text"), buckets=4).columns) == {"context", "word", "n"}
+
+
+def test_champions_of_asked_terms_only(spark, texts):
+    from coverwise.operators import blockmax
+    corpus = texts.where("pos is not null").groupBy("pos").agg(F.first("text").alias("text")).select(
+        F.concat(F.lit("d"), "pos").alias("id"), "pos", F.lit("title").alias("title"), "text", F.lit("en").alias("category"))
+    blocks = blockmax.build_blocks(rt.build_tfidf_index(corpus, coded=True))
+    found = blocks.champions(spark.range(1).select(F.xxhash64(F.lit("copay")).alias("term")))
+    assert found.select("term").distinct().count() == 1 and found.count() == blockmax.CHAMPIONS
