@@ -107,3 +107,21 @@ def test_champions_of_asked_terms_only(spark, texts):
     blocks = blockmax.build_blocks(rt.build_tfidf_index(corpus, coded=True))
     found = blocks.champions(spark.range(1).select(F.xxhash64(F.lit("copay")).alias("term")))
     assert found.select("term").distinct().count() == 1 and found.count() == blockmax.CHAMPIONS
+
+
+def test_ranked_ids_are_brought_to_the_texts(spark, texts):
+    from coverwise.operators import evaluation as ev
+    docs = texts.where("pos is not null").select(F.concat(F.lit("d"), "pos").alias("id"), "text").distinct()
+    ranked = docs.limit(3).select("id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rt.texts_of(docs.select("id", "text"), ranked)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        passages = spark.createDataFrame([(1, "policy member copay"), (2, "a zebra crossing")], "q_id long, question string")
+        pairs = ev.containment_pairs(passages, docs)
+        assert "SortMergeJoin [did" not in pairs._jdf.queryExecution().executedPlan().toString()
+        want = docs.where(F.contains("text", F.lit("policy member copay"))).collect()
+        assert {tuple(r) for r in pairs.collect()} == {(1, r["id"]) for r in want}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
